@@ -173,6 +173,26 @@ def fraction_bound(dh: Column, tm: Column, cond: Conditions) -> Column:
     return 1.0 / (1.0 + F.exp(dh * 1000.0 / GAS * (1.0 / ta - 1.0 / (tm + 273.15))))
 
 
-def run_energy(col: Column) -> Column:
-    """Simplified 37 C energy of a perfectly paired run: step terms plus both end terms."""
-    return free_energy(step_sum(col, 0) + end_terms(col, 0), step_sum(col, 1) + end_terms(col, 1))
+def _micro(h: float, s: float) -> int:
+    """37 C energy of one table row in whole millionths of a kcal/mol, so cut-offs compare exactly."""
+    return round((h - 310.15 * s / 1000.0) * 1e6)
+
+
+def step_prefix(col: Column) -> Column:
+    """Running step energies: element ``i`` covers the first ``i`` bases (element 1 is 0)."""
+    lookup = F.create_map(*[x for k, v in STEP_TERMS.items() for x in (F.lit(k), F.lit(_micro(*v)).cast("long"))])
+    steps = F.sequence(F.lit(1), F.length(col) - 1)
+    start = F.array(F.lit(0).cast("long"))
+    return F.when(F.length(col) < 2, start).otherwise(F.aggregate(
+        steps, start,
+        lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.element_at(lookup, F.substr(col, i, F.lit(2))))))
+
+
+def run_energy(col: Column, prefix: Column, at: Column, length: Column) -> Column:
+    """Energy (millionths of kcal/mol) of the perfectly paired run ``col[at, at + length)``, 1-based."""
+    def end(position: Column) -> Column:
+        return F.when(F.substr(col, position, F.lit(1)).isin("A", "T"), F.lit(_micro(*END_AT))).otherwise(
+            F.lit(_micro(*END_GC)))
+
+    last = at + length - 1
+    return F.element_at(prefix, last) - F.element_at(prefix, at) + end(at) + end(last)

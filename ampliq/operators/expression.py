@@ -105,20 +105,21 @@ def stability_ranking(variation: DataFrame, keys: list[str], max_genes: int) ->
     ``rank`` 1 is the tied final pair; ``m`` is the gene's M value when it left. Each round is one
     small aggregate over all studies at once, ``max_genes - 2`` rounds in total.
     """
-    remaining = variation
+    remaining = cut_lineage(variation)
     done = None
     for round_no in range(max(max_genes - 2, 0)):
         m = remaining.groupBy(*keys, "gene").agg(F.avg("v").alias("m"), F.count("*").alias("others"))
-        worst = (m.filter("others >= 2").groupBy(*keys)
-                 .agg(F.max(F.struct("m", "gene")).alias("w"), F.max("others").alias("others"))
-                 .select(*keys, F.col("w.gene").alias("gene"), F.col("w.m").alias("m"),
-                         (F.col("others") + 1).alias("place")))
+        # The losers are a few rows per study; writing them out keeps every round's plan flat.
+        worst = cut_lineage(
+            m.filter("others >= 2").groupBy(*keys)
+            .agg(F.max(F.struct("m", "gene")).alias("w"), F.max("others").alias("others"))
+            .select(*keys, F.col("w.gene").alias("gene"), F.col("w.m").alias("m"),
+                    (F.col("others") + 1).alias("place")))
         done = worst if done is None else done.unionByName(worst)
-        gone = worst.select(*keys, F.col("gene").alias("g"))
-        remaining = (remaining.join(gone.withColumnRenamed("g", "gene"), [*keys, "gene"], "left_anti")
-                     .join(gone.withColumnRenamed("g", "other"), [*keys, "other"], "left_anti"))
+        for side in ("gene", "other"):
+            remaining = remaining.join(worst.select(*keys, F.col("gene").alias(side)), [*keys, side], "left_anti")
         if round_no % 4 == 3:
-            remaining, done = cut_lineage(remaining), cut_lineage(done)
+            remaining = cut_lineage(remaining)
     final = remaining.groupBy(*keys, "gene").agg(F.avg("v").alias("m")).withColumn("place", F.lit(1).cast("bigint"))
     return final if done is None else done.unionByName(final)
 

@@ -200,10 +200,10 @@ def _states(spark, folder):
     return hit.withColumn("state", P.failure_state(F.col("mm"), F.col("olen"), F.col("clean3p")))
 
 
-@query("failed_amplification_reasons", f"""WITH {_SEEDED}, both AS (
+@query("failed_amplification_reasons", f"""WITH {_SEEDED}, hitpairs AS (
   SELECT item_id, doc_id, coalesce(max(state) FILTER (role = 'F'), 'absent') AS f_state,
     coalesce(max(state) FILTER (role = 'R'), 'absent') AS r_state FROM why GROUP BY 1, 2), failed AS (
-  SELECT * FROM both p WHERE NOT EXISTS (SELECT 1 FROM amp a WHERE a.item_id = p.item_id AND a.doc_id = p.doc_id))
+  SELECT * FROM hitpairs p WHERE NOT EXISTS (SELECT 1 FROM amp a WHERE a.item_id = p.item_id AND a.doc_id = p.doc_id))
 SELECT item_id, f_state, r_state, count(*)::BIGINT AS subjects FROM failed GROUP BY ALL
 UNION ALL SELECT a.item_id, 'absent', 'absent', (SELECT count(*) FROM subjects)
   - (SELECT count(*) FROM amp x WHERE x.item_id = a.item_id) - (SELECT count(*) FROM failed f WHERE f.item_id = a.item_id)

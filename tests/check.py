@@ -30,7 +30,7 @@ for name, build in E.queries().items():
             n = df.count()
             problems = [] if n else ["no rows"]
     except Exception as exc:  # noqa: BLE001
-        problems = [f"{type(exc).__name__}: {str(exc)[:1500]}"]
+        problems = [f"{type(exc).__name__}: {str(exc).split('JVM')[0][:700]}"]
         n = ""
     bad += bool(problems)
     print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - t:.1f}s {'(rows only)' if name not in sqls else ''} {n}", flush=True)
