@@ -172,27 +172,39 @@ def pareto_fronts(items: DataFrame, run: list[str], key: str, metrics: list[str]
     raise RuntimeError("more fronts than max_fronts")
 
 
-def skyline(live: DataFrame, run: list[str], key: str, slices: int = 16) -> DataFrame:
-    """Non-dominated rows per run: slice skylines first, then their merge."""
+def skyline(live: DataFrame, run: list[str], key: str, block: int = 2048) -> DataFrame:
+    """Non-dominated rows per run.
+
+    Rows are dealt into blocks of about ``block``; a block keeps only its own skyline. The
+    survivors are blocked again and every survivor is tested against every block of its run, so no
+    task ever holds more than a block, however large the run or its front.
+    """
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    rows = live.withColumn("s", total).withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)))
-    local = _fold_skyline(rows.groupBy(*run, "slice"), key).select(*run, F.explode("kept").alias("k"))
-    merged = local.select(*run, F.col("k.id").alias(key), F.col("k.v").alias("v"), F.col("k.s").alias("s"))
-    final = _fold_skyline(merged.groupBy(*run), key).select(*run, F.explode("kept").alias("k"))
-    return final.select(*run, F.col("k.id").alias(key), F.col("k.v").alias("v"))
+    rows = _dealt(live.withColumn("s", total), run, key, block)
+    gathered = rows.groupBy(*run, "block").agg(
+        F.array_sort(F.collect_list(F.struct("s", F.col(key).alias("id"), "v"))).alias("all"))
+    # Sorted by metric sum, a row can only be dominated by an earlier one.
+    empty = F.filter("all", lambda _: F.lit(False))
+    kept = F.aggregate("all", empty, lambda acc, r: F.when(
+        F.exists(acc, lambda q: _dominates(q["v"], r["v"])), acc).otherwise(F.array_append(acc, r)))
+    local = gathered.select(*run, F.explode(kept).alias("k")).select(
+        *run, F.col("k.id").alias(key), F.col("k.v").alias("v"))
+    again = _dealt(local, run, key, block)
+    blocks = again.groupBy(*run, "block").agg(F.collect_list("v").alias("vs"))
+    meets = again.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    tested = meets.join(blocks, [*run, "block"]).withColumn(
+        "beaten", F.exists("vs", lambda q: _dominates(q, F.col("v"))))
+    return (tested.groupBy(*run, key).agg(F.first("v").alias("v"), F.bool_or("beaten").alias("beaten"))
+            .filter(~F.col("beaten")).drop("beaten"))
 
 
-def _fold_skyline(groups, key: str) -> DataFrame:
-    """Sort by metric sum, then keep each row no earlier kept row dominates."""
-    gathered = groups.agg(F.array_sort(F.collect_list(F.struct("s", F.col(key).alias("id"), "v"))).alias("all"))
-    empty = F.filter("all", lambda _: F.lit(False))
+def _dealt(rows: DataFrame, run: list[str], key: str, block: int) -> DataFrame:
+    sizes = rows.groupBy(*run).agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    return rows.join(sizes, run).withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")).cast("int"))
 
-    def dominates(a: Column, b: Column) -> Column:
-        return F.forall(F.arrays_zip(a["v"].alias("x"), b["v"].alias("y")), lambda p: p["x"] <= p["y"]) & (a["v"] != b["v"])
 
-    kept = F.aggregate("all", empty, lambda acc, r: F.when(
-        F.exists(acc, lambda q: dominates(q, r)), acc).otherwise(F.array_append(acc, r)))
-    return gathered.withColumn("kept", kept).drop("all")
+def _dominates(a: Column, b: Column) -> Column:
+    return F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"] <= p["y"]) & (a != b)
 
 
 CATEGORIES = {
