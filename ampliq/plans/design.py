@@ -303,10 +303,10 @@ def junction_relations(spark, folder):
 
 
 @query("shared_isoform_blocks", """WITH s AS (SELECT conv_id, turn, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM conversations), t AS (SELECT conv_id, count(DISTINCT turn) AS n, min(turn) AS f FROM s GROUP BY 1),
-g AS (SELECT conv_id, turn, at, substr(s, at, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(s) - 2)) AS at FROM s WHERE length(s) >= 3)),
+g AS (SELECT conv_id, turn, pos, substr(s, pos, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(s) - 2)) AS pos FROM s WHERE length(s) >= 3)),
 k AS (SELECT g.conv_id, g.g, any_value(f) AS f FROM (SELECT DISTINCT conv_id, turn, g FROM g) g JOIN t USING (conv_id) GROUP BY g.conv_id, g.g HAVING count(*) = any_value(n)),
-i AS (SELECT g.conv_id, at, at - row_number() OVER (PARTITION BY g.conv_id ORDER BY at) AS isle FROM g JOIN k ON g.conv_id = k.conv_id AND g.g = k.g AND g.turn = k.f),
-r AS (SELECT conv_id, min(at) AS st, count(*) + 2 AS n FROM i GROUP BY conv_id, isle)
+i AS (SELECT g.conv_id, pos, pos - row_number() OVER (PARTITION BY g.conv_id ORDER BY pos) AS isle FROM g JOIN k ON g.conv_id = k.conv_id AND g.g = k.g AND g.turn = k.f),
+r AS (SELECT conv_id, min(pos) AS st, count(*) + 2 AS n FROM i GROUP BY conv_id, isle)
 SELECT conv_id, (-max((n, -st))[2])::BIGINT AS start, max((n, -st))[1]::BIGINT AS length FROM r GROUP BY 1""")
 def shared_isoform_blocks(spark, folder):
     rows = table(spark, folder, "conversations").select("conv_id", "turn", S.letters_only(F.col("text")).alias("s"))
