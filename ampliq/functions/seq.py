@@ -99,13 +99,13 @@ def longest_dinucleotide_repeat(col: Column) -> Column:
     return F.greatest(*counts).cast("int")
 
 
+_SETS = "map(" + ", ".join(
+    f"'{code}', array({', '.join(repr(b) for b in bases)})" for code, bases in IUPAC_SETS.items()) + ")"
+
+
 def base_set(letter: Column) -> Column:
-    """Array of concrete bases one ambiguity letter stands for."""
-    out = F.array(letter)
-    for code, bases in IUPAC_SETS.items():
-        if len(bases) > 1:
-            out = F.when(letter == code, F.array(*[F.lit(b) for b in bases])).otherwise(out)
-    return out
+    """Array of concrete bases one ambiguity letter stands for; other letters stand for themselves."""
+    return F.coalesce(F.try_element_at(F.expr(_SETS), letter), F.array(letter))
 
 
 def degeneracy_fold(col: Column) -> Column:
@@ -125,54 +125,60 @@ def resolutions(col: Column) -> Column:
     )
 
 
-def mask_words(col: Column, max_len: int) -> list[Column]:
-    """Base-set masks of a sequence, right aligned, ``WORD`` bases per 64-bit word.
+# Packed base masks. A sequence is a list of 64-bit words, right aligned: word 0 holds the last
+# WORD bases with the final base in the lowest nibble, so sequences of different length line up on
+# their 3' ends. The helpers below build SQL text over named word columns: one parse instead of
+# hundreds of separate expression calls.
+
+
+def word_count(max_len: int) -> int:
+    return (max_len + WORD - 1) // WORD
 
-    Word 0 holds the last ``WORD`` bases with the final base in the lowest nibble, so two
-    sequences of different length line up on their 3' ends.
-    """
-    words = []
-    for k in range((max_len + WORD - 1) // WORD):
-        upto = F.left(col, F.greatest(F.length(col) - F.lit(k * WORD), F.lit(0)))
-        part = F.right(upto, F.lit(WORD))
-        hexed = F.translate(part, IUPAC_LETTERS, IUPAC_HEX)
-        words.append(F.coalesce(F.conv(hexed, 16, 10).cast("long"), F.lit(0)))
-    return words
 
+def hex_word(text: str) -> str:
+    """One word from at most WORD hex digits; empty text is zero."""
+    return f"coalesce(cast(conv({text}, 16, 10) as bigint), 0L)"
 
-def nibble_range(words: list[Column], start: int, stop: int) -> Column:
+
+def mask_words(col: str, max_len: int, prefix: str) -> dict[str, Column]:
+    """Word columns ``prefix0, prefix1, ...`` of a sequence column."""
+    out = {}
+    for k in range(word_count(max_len)):
+        part = f"right(left({col}, greatest(length({col}) - {k * WORD}, 0)), {WORD})"
+        out[f"{prefix}{k}"] = F.expr(hex_word(f"translate({part}, '{IUPAC_LETTERS}', '{IUPAC_HEX}')"))
+    return out
+
+
+def nibble_range(prefix: str, start: int, stop: int) -> str:
     """Bases ``[start, stop)`` counted from the 3' end as one integer of at most 15 nibbles."""
-    out = F.lit(0).cast("long")
-    for k, word in enumerate(words):
+    parts = []
+    for k in range(start // WORD, (stop - 1) // WORD + 1):
         lo, hi = max(start, k * WORD), min(stop, (k + 1) * WORD)
-        if lo < hi:
-            part = F.shiftright(word, 4 * (lo - k * WORD)).bitwiseAND(F.lit((1 << (4 * (hi - lo))) - 1))
-            out = out.bitwiseOR(F.shiftleft(part, 4 * (lo - start)))
-    return out
+        part = f"(shiftright({prefix}{k}, {4 * (lo - k * WORD)}) & {(1 << (4 * (hi - lo))) - 1}L)"
+        parts.append(f"shiftleft({part}, {4 * (lo - start)})")
+    return "(" + " | ".join(parts) + ")"
 
 
-def match_flags(a: Column, b: Column) -> Column:
+def match_flags(a: str, b: str) -> str:
     """One set bit per nibble where the two base sets intersect."""
-    both = a.bitwiseAND(b)
-    spread = both.bitwiseOR(F.shiftright(both, 1)).bitwiseOR(F.shiftright(both, 2)).bitwiseOR(F.shiftright(both, 3))
-    return spread.bitwiseAND(F.lit(ONES))
+    both = f"({a} & {b})"
+    return f"(({both} | shiftright({both}, 1) | shiftright({both}, 2) | shiftright({both}, 3)) & {ONES}L)"
 
 
-def nonzero_flags(a: Column) -> Column:
+def nonzero_flags(a: str) -> str:
     """One set bit per nibble that is not zero."""
-    return match_flags(a, F.lit(int("F" * WORD, 16)))
+    return f"(({a} | shiftright({a}, 1) | shiftright({a}, 2) | shiftright({a}, 3)) & {ONES}L)"
 
 
-def match_count(flags: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(f) for f in flags])
+def match_count(flags: list[str]) -> str:
+    return "(" + " + ".join(f"bit_count({f})" for f in flags) + ")"
 
 
-def nibbles_all_set(flags: list[Column], start: int, stop: int) -> Column:
+def nibbles_all_set(prefix: str, start: int, stop: int) -> str:
     """True when every flag nibble in ``[start, stop)``, counted from the 3' end, is set."""
     tests = []
-    for k, word in enumerate(flags):
+    for k in range(start // WORD, (stop - 1) // WORD + 1):
         lo, hi = max(start, k * WORD), min(stop, (k + 1) * WORD)
-        if lo < hi:
-            const = sum(1 << (4 * (n - k * WORD)) for n in range(lo, hi))
-            tests.append(word.bitwiseAND(F.lit(const)) == F.lit(const))
-    return reduce(lambda x, y: x & y, tests, F.lit(True))
+        const = sum(1 << (4 * (n - k * WORD)) for n in range(lo, hi))
+        tests.append(f"({prefix}{k} & {const}L) = {const}L")
+    return "(" + " AND ".join(tests) + ")"

@@ -11,7 +11,6 @@ while its size estimate is small and shuffles on the seed otherwise.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +33,24 @@ class SeedPlan:
     def span(self) -> int:
         return self.anchor + self.width * self.pieces
 
-    def keys(self, words: list[Column]) -> list[Column]:
-        """One integer key per seed, built from base-mask words: anchor bits under block bits."""
-        tail = S.nibble_range(words, 0, self.anchor) if self.anchor else F.lit(0).cast("long")
+    def code(self, piece: int) -> int:
+        return self.width * 16 + piece
+
+    def keys(self, prefix: str) -> list[str]:
+        """SQL of one integer key per seed: anchor bits under block bits."""
+        tail = S.nibble_range(prefix, 0, self.anchor) if self.anchor else "0L"
         if not self.pieces:
             return [tail]
-        return [
-            tail.bitwiseOR(F.shiftleft(
-                S.nibble_range(words, self.anchor + j * self.width, self.anchor + (j + 1) * self.width),
-                4 * self.anchor))
-            for j in range(self.pieces)]
+        return [f"({tail} | shiftleft({S.nibble_range(prefix, *self.block(j))}, {4 * self.anchor}))"
+                for j in range(self.pieces)]
+
+    def block(self, piece: int) -> tuple[int, int]:
+        return self.anchor + piece * self.width, self.anchor + (piece + 1) * self.width
+
+    def first_exact(self, prefix: str) -> str:
+        """SQL of the code of the first block whose flags are all set."""
+        cases = " ".join(f"WHEN {S.nibbles_all_set(prefix, *self.block(j))} THEN {self.code(j)}" for j in range(self.pieces))
+        return f"CASE {cases} END"
 
 
 def strands(subjects: DataFrame, seq: str, which: str) -> DataFrame:
@@ -71,66 +78,70 @@ def windows(subjects: DataFrame, keys: list[str], seq: str, max_len: int, which:
               .withColumn("piece", F.translate(F.substr(F.col("__s"), F.col("base") - F.col("off") + 1,
                                                         F.col("off") + CHUNK), S.IUPAC_LETTERS, S.IUPAC_HEX))
               .select(*keys, "strand", "slen", "base", "off", "piece"))
-    at = F.col("off") + F.col("i")
     words = []
-    for k in range((max_len + S.WORD - 1) // S.WORD):
-        stop = at - k * S.WORD + 1
-        first = F.greatest(stop - S.WORD, F.lit(0))
-        part = F.substr(F.col("piece"), first + 1, F.greatest(stop - first, F.lit(0)))
-        words.append(F.coalesce(F.conv(part, 16, 10).cast("long"), F.lit(0)).alias(f"m{k}"))
-    local = F.sequence(F.lit(0), F.length("piece") - F.col("off") - 1)
-    return (chunks.withColumn("i", F.explode(local))
-            .select(*keys, "strand", "slen", (F.col("base") + F.col("i")).alias("q"), *words))
-
-
-def _oligo_seeds(oligos: DataFrame, oligo: str, plan: SeedPlan) -> DataFrame:
-    """Concrete seed keys of every oligo, plus one row that meets ambiguous windows."""
-    star = F.array(F.struct(F.lit(0).alias("j"), F.lit(AMBIGUOUS).cast("long").alias("seed")))
-    items = [star]
-    for j in range(max(plan.pieces, 1)):
-        end = F.length(oligo) - plan.anchor
-        block = (F.substr(F.col(oligo), end - (j + 1) * plan.width + 1, F.lit(plan.width))
-                 if plan.pieces else F.lit(""))
-        tail = F.right(F.col(oligo), F.lit(plan.anchor)) if plan.anchor else F.lit("")
-        items.append(_as_seeds(S.resolutions(F.concat(block, tail)), j))
-    return oligos.withColumn("__p", F.explode(F.flatten(F.array(*items)))).select("*", "__p.j", "__p.seed").drop("__p")
-
-
-def _as_seeds(texts: Column, j: int) -> Column:
+    for k in range(S.word_count(max_len)):
+        stop = f"(off + i - {k * S.WORD - 1})"
+        first = f"greatest({stop} - {S.WORD}, 0)"
+        words.append(F.expr(S.hex_word(f"substr(piece, {first} + 1, greatest({stop} - {first}, 0))")).alias(f"m{k}"))
+    return (chunks.withColumn("i", F.expr("explode(sequence(0, length(piece) - off - 1))"))
+            .select(*keys, "strand", "slen", F.expr("base + i").alias("q"), *words))
+
+
+def _oligo_seeds(oligos: DataFrame, oligo: str, plans: list[SeedPlan], degenerate: bool) -> DataFrame:
+    """Seed rows (code, key) of every oligo, plus one row per plan that meets ambiguous windows."""
+    by_plan = None
+    for plan in plans:
+        items = [F.array(F.struct(F.lit(plan.code(0)).alias("code"), F.lit(AMBIGUOUS).cast("long").alias("seed")))]
+        if degenerate:
+            for j in range(max(plan.pieces, 1)):
+                lo, hi = plan.block(j) if plan.pieces else (0, 0)
+                text = F.expr(f"concat(substr({oligo}, length({oligo}) - {hi} + 1, {hi - lo}), right({oligo}, {plan.anchor}))")
+                items.append(_as_seeds(S.resolutions(text), plan.code(j)))
+        else:
+            items.append(F.expr("array(" + ", ".join(
+                f"struct({plan.code(j)} AS code, {key} AS seed)" for j, key in enumerate(plan.keys("om"))) + ")"))
+        mine = F.flatten(F.array(*items))
+        by_plan = mine if by_plan is None else F.when(F.col("tier") == plan.width, mine).otherwise(by_plan)
+    return oligos.withColumn("__p", F.explode(by_plan)).select("*", "__p.code", "__p.seed").drop("__p")
+
+
+def _as_seeds(texts: Column, code: int) -> Column:
     def one(text: Column) -> Column:
         key = F.conv(F.translate(text, S.IUPAC_LETTERS, S.IUPAC_HEX), 16, 10).cast("long")
-        return F.struct(F.lit(j).alias("j"), key.alias("seed"))
+        return F.struct(F.lit(code).alias("code"), key.alias("seed"))
 
     return F.transform(texts, one)
 
 
-def _window_seeds(wins: DataFrame, plan: SeedPlan, n_words: int) -> DataFrame:
-    """Seed keys of every window.
+def _window_seeds(wins: DataFrame, plans: list[SeedPlan]) -> DataFrame:
+    """Seed rows of every window, all plans at once.
 
     A window with an ambiguous base in its seed span cannot equal a concrete seed, so it takes
-    one row that meets every oligo instead.
+    one row that meets every oligo of the plan instead.
+    """
+    groups = []
+    for plan in plans:
+        spans = [S.nibble_range("m", k * S.WORD, min(plan.span, (k + 1) * S.WORD))
+                 for k in range((plan.span + S.WORD - 1) // S.WORD)]
+        crowded = " + ".join(f"bit_count({x})" for x in spans) + " > " + " + ".join(f"bit_count({S.nonzero_flags(x)})" for x in spans)
+        exact = "array(" + ", ".join(f"struct({plan.code(j)} AS code, {key} AS seed)" for j, key in enumerate(plan.keys("m"))) + ")"
+        star = f"array(struct({plan.code(0)} AS code, {AMBIGUOUS}L AS seed))"
+        none = f"slice({star}, 1, 0)"
+        groups.append(f"CASE WHEN q + 1 < {max(plan.span, 1)} THEN {none} WHEN {crowded} THEN {star} ELSE {exact} END")
+    merged = groups[0] if len(groups) == 1 else f"concat({', '.join(groups)})"
+    return wins.withColumn("__p", F.expr(f"explode({merged})")).select("*", "__p.code", "__p.seed").drop("__p")
+
+
+def _tiers(oligos: DataFrame, seq: str, anchor: int, pieces: int) -> tuple[DataFrame, list[int], bool]:
+    """Give each oligo the widest seed block its length allows; at most four widths exist.
+
+    Reads back which widths occur and whether any oligo is degenerate: at most eight small rows.
     """
-    words = [F.col(f"m{k}") for k in range(n_words)]
-    bits, bases = [], []
-    for k in range((plan.span + S.WORD - 1) // S.WORD):
-        part = S.nibble_range(words, k * S.WORD, min(plan.span, (k + 1) * S.WORD))
-        bits.append(F.bit_count(part))
-        bases.append(F.bit_count(S.nonzero_flags(part)))
-    ambiguous = reduce(lambda x, y: x + y, bits) > reduce(lambda x, y: x + y, bases)
-    exact = F.array(*[F.struct(F.lit(j).alias("j"), key.alias("seed")) for j, key in enumerate(plan.keys(words))])
-    star = F.array(F.struct(F.lit(0).alias("j"), F.lit(AMBIGUOUS).cast("long").alias("seed")))
-    enough = wins.filter(F.col("q") + 1 >= max(plan.span, 1))
-    return (enough.withColumn("__p", F.explode(F.when(ambiguous, star).otherwise(exact)))
-            .select("*", "__p.j", "__p.seed").drop("__p"))
-
-
-def _tiers(oligos: DataFrame, seq: str, anchor: int, pieces: int) -> tuple[DataFrame, list[int]]:
-    """Give each oligo the widest seed block its length allows; at most four widths exist."""
-    room = F.floor((F.length(seq) - anchor) / F.lit(max(pieces, 1)))
-    width = F.when(room >= 8, 8).when(room >= 5, 5).when(room >= 3, 3).when(room >= 2, 2).otherwise(1)
-    tiered = oligos.withColumn("tier", width if pieces else F.lit(0))
-    present = [r[0] for r in tiered.select("tier").distinct().collect()]
-    return tiered, sorted(present)
+    room = f"floor((length({seq}) - {anchor}) / {max(pieces, 1)})"
+    width = f"CASE WHEN {room} >= 8 THEN 8 WHEN {room} >= 5 THEN 5 WHEN {room} >= 3 THEN 3 WHEN {room} >= 2 THEN 2 ELSE 1 END"
+    tiered = oligos.withColumn("tier", F.expr(width if pieces else "0"))
+    present = tiered.groupBy("tier").agg(F.bool_or(F.col(seq).rlike("[^ACGT]")).alias("deg")).collect()
+    return tiered, sorted(r[0] for r in present) or [0], any(r[1] for r in present)
 
 
 def find_sites(
@@ -164,67 +175,52 @@ def find_sites(
     checked = known.withColumn(
         oligo, F.when(F.length(oligo) > max_len, F.raise_error(F.lit("oligo longer than max_len")))
         .otherwise(F.col(oligo)))
-    tiered, present = _tiers(checked, oligo, anchor, pieces)
-    tiered = tiered.withColumn("olen", F.length(oligo))
-    for k, word in enumerate(S.mask_words(F.col(oligo), max_len)):
-        tiered = tiered.withColumn(f"om{k}", word)
-    n_words = (max_len + S.WORD - 1) // S.WORD
+    tiered, present, degenerate = _tiers(checked, oligo, anchor, pieces)
+    plans = [SeedPlan(anchor, tier, pieces) for tier in present]
+    tiered = tiered.withColumns({"olen": F.length(oligo), **S.mask_words(oligo, max_len, "om")})
+    n_words = S.word_count(max_len)
 
     clean = subjects.withColumn(seq, F.regexp_replace(seq, f"[^{alphabet}]", "0"))
     wins = windows(clean, subject_keys, seq, max_len, which)
-    flags = [F.col(f"f{k}") for k in range(n_words)]
-    found = None
-    for tier in present or [0]:
-        plan = SeedPlan(anchor, tier, pieces)
-        left = _oligo_seeds(tiered.filter(F.col("tier") == tier), oligo, plan).drop(oligo, "tier")
-        hit = _join_seeds(left, _window_seeds(wins, plan, n_words), strand_of_oligo)
-        flagged = [S.match_flags(F.col(f"m{k}"), F.col(f"om{k}")) for k in range(n_words)]
-        # One cheap bound in the join; everything else reads the flag columns computed once.
-        hit = hit.filter((F.col("q") + 1 >= F.col("olen")) & (F.col("olen") - S.match_count(flagged) <= max_mm))
-        hit = hit.withColumns({f"f{k}": f for k, f in enumerate(flagged)})
-        if anchor:
-            hit = hit.filter(S.nibbles_all_set(flags, 0, anchor))
-        if pieces:
-            # The same site can be reached through several blocks; keep its first exact one.
-            first = F.lit(None).cast("int")
-            for j in reversed(range(pieces)):
-                lo = anchor + j * tier
-                first = F.when(S.nibbles_all_set(flags, lo, lo + tier), F.lit(j)).otherwise(first)
-            hit = hit.filter((F.col("seed") == AMBIGUOUS) | (F.col("j") == first))
-        found = hit if found is None else found.unionByName(hit)
-
-    outside = F.col("m0").bitwiseAND(F.bitwise_not(F.col("om0"))).bitwiseAND(F.lit(0xFFF))
-    definite = (outside == 0) & (S.nonzero_flags(F.col("m0")).bitwiseAND(F.lit(0x111)) == 0x111)
-    plus = F.col("strand") == "+"
-    lo = F.when(plus, F.col("q") - F.col("olen") + 1).otherwise(F.col("slen") - 1 - F.col("q"))
-    return found.select(
-        *oligo_keys, *subject_keys, "strand", "olen",
-        (F.col("olen") - S.match_count(flags)).alias("mm"),
-        lo.cast("int").alias("lo"), (lo + F.col("olen") - 1).cast("int").alias("hi"),
-        S.nibbles_all_set([F.col("f0")], 0, 3).alias("q3"), definite.alias("q3_definite"),
-        ambiguous_bases([F.col(f"m{k}") for k in range(n_words)], F.col("olen")).alias("ambiguous_bases"))
-
-
-def ambiguous_bases(words: list[Column], olen: Column) -> Column:
-    """Bases of the site that stand for more than one letter."""
-    total = F.lit(0)
-    for k, word in enumerate(words):
-        held = F.greatest(F.least(olen - k * S.WORD, F.lit(S.WORD)), F.lit(0))
-        keep = F.call_function("shiftrightunsigned", F.lit(int("F" * S.WORD, 16)), (4 * (S.WORD - held)).cast("int"))
-        site = word.bitwiseAND(keep)
-        total = total + F.bit_count(_crowded_nibbles(site))
-    return total
-
-
-def _crowded_nibbles(site: Column) -> Column:
-    """One flag per nibble that holds at least two bits."""
-    bit = [F.shiftright(site, n).bitwiseAND(F.lit(S.ONES)) for n in range(4)]
-    both = [bit[a].bitwiseAND(bit[b]) for a in range(4) for b in range(a + 1, 4)]
-    return reduce(lambda x, y: x.bitwiseOR(y), both)
+    left = _oligo_seeds(tiered, oligo, plans, degenerate).drop(oligo)
+    hit = _join_seeds(left, _window_seeds(wins, plans), strand_of_oligo)
+    flagged = [S.match_flags(f"m{k}", f"om{k}") for k in range(n_words)]
+    # One cheap bound in the join; everything else reads the flag columns computed once.
+    hit = hit.filter(F.expr(f"q + 1 >= olen AND olen - {S.match_count(flagged)} <= {max_mm}"))
+    hit = hit.withColumns({f"f{k}": F.expr(f) for k, f in enumerate(flagged)})
+    if anchor:
+        hit = hit.filter(F.expr(S.nibbles_all_set("f", 0, anchor)))
+    if pieces:
+        # The same site can be reached through several blocks; keep its first exact one.
+        cases = " ".join(f"WHEN tier = {p.width} THEN {p.first_exact('f')}" for p in plans)
+        hit = hit.filter(F.expr(f"seed = {AMBIGUOUS} OR code = CASE {cases} END"))
+
+    lo = "CASE WHEN strand = '+' THEN q - olen + 1 ELSE slen - 1 - q END"
+    tail = "(m0 & 4095L)"
+    flags = [f"f{k}" for k in range(n_words)]
+    return hit.select(
+        *oligo_keys, *subject_keys, "strand", "olen", F.expr(f"cast(olen - {S.match_count(flags)} as int)").alias("mm"),
+        F.expr(f"cast({lo} as int)").alias("lo"), F.expr(f"cast({lo} + olen - 1 as int)").alias("hi"),
+        F.expr(S.nibbles_all_set("f", 0, 3)).alias("q3"),
+        F.expr(f"({tail} & ~om0) = 0 AND ({S.nonzero_flags(tail)} & 273L) = 273L").alias("q3_definite"),
+        F.expr(ambiguous_bases(n_words)).alias("ambiguous_bases"))
+
+
+def ambiguous_bases(n_words: int) -> str:
+    """SQL of the number of site bases that stand for more than one letter."""
+    full = int("F" * S.WORD, 16)
+    parts = []
+    for k in range(n_words):
+        held = f"greatest(least(olen - {k * S.WORD}, {S.WORD}), 0)"
+        site = f"(m{k} & shiftrightunsigned({full}L, 4 * ({S.WORD} - {held})))"
+        bits = [f"(shiftright({site}, {n}) & {S.ONES}L)" for n in range(4)]
+        crowded = " | ".join(f"({bits[a]} & {bits[b]})" for a in range(4) for b in range(a + 1, 4))
+        parts.append(f"bit_count({crowded})")
+    return " + ".join(parts)
 
 
 def _join_seeds(left: DataFrame, right: DataFrame, strand_of_oligo: str | None) -> DataFrame:
-    keys = ["j", "seed"]
+    keys = ["code", "seed"]
     if strand_of_oligo:
         left = left.withColumnRenamed(strand_of_oligo, "strand")
         keys.append("strand")
