@@ -28,7 +28,7 @@ def letters_only(col: Column, alphabet: str = "ACGT") -> Column:
 
     Letters are dropped before the case change, so no special letter unfolds into new ones.
     """
-    return F.upper(F.regexp_replace(col, f"[^{alphabet}{alphabet.lower()}]", ""))
+    return F.upper(F.regexp_replace(col, f"[^{alphabet}{alphabet.lower()}]+", ""))
 
 
 def revcomp(col: Column) -> Column:

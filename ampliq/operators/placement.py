@@ -97,7 +97,7 @@ def best_placements(oligos: DataFrame, subjects: DataFrame, *, oligo_key: str, s
         names = [(1, "none")]
     wanted = F.array(*[F.struct(F.lit(n).alias("olen"), F.lit(b).alias("block")) for n, b in names])
     text = F.translate(F.upper(F.col(seq)), "U", "T")
-    both = strands(subjects.select(F.col(subject_key).alias("subject"), text.alias("t")), "t", "+-").select(
+    both = strands(subjects.select(F.col(subject_key).cast("string").alias("subject"), text.alias("t")), "t", "+-").select(
         "subject", "strand", F.col("__s").alias("s")).filter(F.length("s") > 0)
     chunks = both.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(CHUNK))))
     pairs = (chunks.withColumn("b", F.explode(wanted))
@@ -107,12 +107,12 @@ def best_placements(oligos: DataFrame, subjects: DataFrame, *, oligo_key: str, s
     work = pairs.join(blocks, "block").select("subject", "strand", "start", "piece", "ids", "oligos")
     kind = dict(subjects.dtypes)[subject_key]
     scored = work.mapInArrow(
-        _score_blocks, f"subject {kind}, strand string, oligo_id string, oligo string, score long, offset long, window string")
+        _score_blocks, "subject string, strand string, oligo_id string, oligo string, score long, offset long, window string")
     best = scored.groupBy("oligo_id", "oligo", "subject").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), "strand", "offset", "window")).alias("b"))
     return best.select(
         F.col("oligo_id").cast(dict(oligos.dtypes)[oligo_key]).alias(oligo_key), "oligo",
-        F.col("subject").alias(subject_key), F.col("b.strand").alias("strand"), F.col("b.offset").alias("offset"),
+        F.col("subject").cast(kind).alias(subject_key), F.col("b.strand").alias("strand"), F.col("b.offset").alias("offset"),
         (-F.col("b.neg")).alias("score"), (-F.col("b.neg") / F.length("oligo")).alias("ident"),
         F.col("b.window").alias("window"))
 

@@ -75,12 +75,12 @@ def shared_blocks(isoforms: DataFrame, key: str, isoform: str, seq: str, k: int)
     """Longest block per key whose k-mers occur in every isoform, on the first isoform's axis."""
     starts = F.sequence(F.lit(1), F.length(seq) - k + 1)
     grams = (isoforms.filter(F.length(seq) >= k).select(key, isoform, F.col(seq).alias("s"), F.explode(starts).alias("at"))
-             .select(key, isoform, "at", F.substr("s", F.col("at"), F.lit(k)).alias("g")))
-    total = isoforms.groupBy(key).agg(F.countDistinct(isoform).alias("n"), F.min(isoform).alias("first"))
-    shared = (grams.select(key, isoform, "g").distinct().groupBy(key, "g").agg(F.count("*").alias("m"))
-              .join(total, key).filter("m = n").select(key, "g", "first"))
+             .select(key, isoform, "at", F.substr("s", F.col("at"), F.lit(k)).alias("__g")))
+    total = isoforms.groupBy(key).agg(F.countDistinct(isoform).alias("__n"), F.min(isoform).alias("__first"))
+    shared = (grams.select(key, isoform, "__g").distinct().groupBy(key, "__g").agg(F.count("*").alias("__m"))
+              .join(total, key).filter("__m = __n").select(key, "__g", "__first"))
     w = Window.partitionBy(key).orderBy("at")
-    spots = grams.join(shared, [key, "g"]).filter(F.col(isoform) == F.col("first")).select(key, "at")
+    spots = grams.join(shared, [key, "__g"]).filter(F.col(isoform) == F.col("__first")).select(key, "at")
     islands = spots.withColumn("isle", F.col("at") - F.row_number().over(w))
     runs = islands.groupBy(key, "isle").agg(F.min("at").alias("start"), (F.count("*") + k - 1).alias("length"))
     best = runs.groupBy(key).agg(F.max(F.struct("length", (-F.col("start")).alias("neg"))).alias("b"))

@@ -86,7 +86,6 @@ def read_feedback(spark: SparkSession, path: str, kind: str = "json") -> DataFra
     return docs.select(F.explode(F.coalesce("records", F.array(flat))).alias("r")).select("r.*")
 
 
-_CANDIDATE = "forward string, reverse string, probe string, rank int, candidate_rank int"
 _RUN_FIELDS = ["candidates", "ranked_candidates", "finalists", "results", "rows", "designs"]
 
 
@@ -179,8 +178,8 @@ def read_oligo_pool(spark: SparkSession, path: str) -> DataFrame:
     cut = F.when(F.col("v").contains(","), F.split("v", ",", 2)).when(F.col("v").contains("\t"), F.split("v", "\t", 2)).otherwise(F.split("v", r"\s+"))
     p = lines.withColumn("p", F.transform(cut, F.trim))
     spaced = ~F.col("v").contains(",") & ~F.col("v").contains("\t")
-    pair = (F.size("p") == 2) & (F.col("p")[1] != "") & (~spaced | (F.length(F.col("p")[1]) >= F.length(F.col("p")[0])))
-    return p.select(F.when(pair & (F.col("p")[0] != ""), F.col("p")[0]).alias("name"), F.when(pair, F.col("p")[1]).otherwise(F.col("v")).alias("seq"))
+    pair = (F.size("p") == 2) & (F.get("p", F.lit(1)) != "") & (~spaced | (F.length(F.get("p", F.lit(1))) >= F.length(F.col("p")[0])))
+    return p.select(F.when(pair & (F.col("p")[0] != ""), F.col("p")[0]).alias("name"), F.when(pair, F.get("p", F.lit(1))).otherwise(F.col("v")).alias("seq"))
 
 
 def split_exons(transcripts: DataFrame, key: str, text: str) -> DataFrame:
