@@ -237,7 +237,8 @@ def pairwise_preference_accuracy(spark, folder):
     rows = ranking(spark, folder).withColumn("good_above", above).withColumn("good", good)
     out = rows.groupBy("run").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"),
                                   F.sum(F.when(~F.col("good"), F.col("good_above")).otherwise(0)).alias("good_pairs"))
-    return out.select("run", (F.col("g") * F.col("b")).alias("pairs"), F.col("good_pairs").alias("good"))
+    out = out.select("run", (F.col("g") * F.col("b")).alias("pairs"), F.col("good_pairs").alias("good"))
+    return out.filter("pairs > 0")
 
 
 @query("evidence_ablation", f"""WITH {_CAND}, x AS (SELECT * REPLACE (0 AS signal_subjects, 0 AS product_subjects,

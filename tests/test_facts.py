@@ -149,7 +149,7 @@ def test_reversed_pairs_equal_brute_force(spark):
 
 def test_shared_block(spark):
     df = spark.createDataFrame([("g", 1, "TTACGTACGGTT"), ("g", 2, "CCACGTACGGAA")], "g string, t int, s string")
-    r = RD.shared_blocks(df, "g", "t", "s", 4).first()
+    r = RD.shared_blocks(df, "g", "t", "s", 6).first()
     assert (r.start, r.length) == (3, 8)
 
 
