@@ -61,6 +61,23 @@ def ranked(candidates: DataFrame, run: list[str], ties: list[str]) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w))
 
 
+def ranked_wide(candidates: DataFrame, run: list[str], ties: list[str], slices: int | None = None) -> DataFrame:
+    """The same ranks for runs too large to sort in one task.
+
+    Rows are range partitioned on run and sort key and written out once, so slice numbers are
+    fixed; each slice is numbered on its own and shifted by the rows of the run in earlier slices.
+    """
+    order = [*run, "rank_key", *ties]
+    n = slices or int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_lineage(candidates.repartitionByRange(n, *order).withColumn("slice", F.spark_partition_id()))
+    sizes = cut.groupBy(*run, "slice").agg(F.count("*").alias("size"))
+    before = Window.partitionBy(*run).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    local = Window.partitionBy(*run, "slice").orderBy("rank_key", *ties)
+    return (cut.withColumn("local", F.row_number().over(local)).join(offsets, [*run, "slice"])
+            .withColumn("rank", (F.col("offset") + F.col("local")).cast("int")).drop("slice", "local", "offset"))
+
+
 def decisive_component(df: DataFrame, run: list[str], objective_name: str) -> DataFrame:
     """First key component that separates a candidate from the next rank."""
     w = Window.partitionBy(*run).orderBy("rank")

@@ -158,3 +158,10 @@ def test_profiles(spark):
     assert chemistry("parasite_mtdna")["anneal_c"] == 54.0
     c = custom_limits("idt_taqman", tm=(64, 58), gc=(-5, 120), amp=(10, 9000), length=(5, 50))
     assert (c["tm_min"], c["tm_opt"], c["gc_min"], c["gc_max"], c["amp_min"], c["amp_max"], c["len_min"], c["len_max"]) == (58.0, 61.0, 0.0, 100.0, 40, 2000, 12, 40)
+
+
+def test_wide_ranking_equals_plain_ranking(spark):
+    rows = [("a" if i % 3 else "b", i, [float(i * 7 % 13), float(i % 5)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "run string, id int, rank_key array<double>")
+    plain = {(r.run, r.id): r["rank"] for r in R.ranked(df, ["run"], ["id"]).collect()}
+    assert {(r.run, r.id): r["rank"] for r in R.ranked_wide(df, ["run"], ["id"], slices=7).collect()} == plain

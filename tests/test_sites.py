@@ -74,7 +74,9 @@ def test_product_facts(spark):
     assert rows[1].n_products == 1 and rows[1].product == len(whole) and rows[1].probe_binds
 
 
-def test_sweep_equals_all_pairs(spark):
+@pytest.mark.parametrize("stretch", [1 << 16, 1])
+def test_sweep_equals_all_pairs(spark, monkeypatch, stretch):
+    monkeypatch.setattr(P, "STRETCH", stretch)
     rnd = random.Random(2)
     text = "".join(rnd.choice("ACG") for _ in range(900))
     assays = [(k, text[k * 40:k * 40 + 10], rc(text[k * 40 + 60:k * 40 + 70]), None) for k in range(8)]
@@ -128,3 +130,15 @@ def test_clean_and_notation(spark):
     marks = spark.createDataFrame([("/56-FAM/CT+TA+C*A /3BHQ/",)], "s string")
     row = marks.select(S.strip_order_marks(F.col("s")).alias("b"), S.locked_positions(F.col("s")).alias("p")).first()
     assert row.b == "CTTACA" and row.p == [3, 5]
+
+
+@pytest.mark.parametrize("stretch", [1 << 16, 1])
+def test_probe_binding_equals_containment(spark, monkeypatch, stretch):
+    monkeypatch.setattr(P, "STRETCH", stretch)
+    rnd = random.Random(11)
+    spans = [(1, 1, lo, lo + rnd.randint(30, 99)) for lo in (rnd.randint(0, 900) for _ in range(60))]
+    probes = [(1, 1, lo, lo + 14) for lo in (rnd.randint(0, 900) for _ in range(12))]
+    got = P.mark_probe_binding(spark.createDataFrame(spans, "a int, d int, span_lo int, span_hi int"),
+                               spark.createDataFrame(probes, "a int, d int, lo int, hi int"), ["a", "d"], max_product=100)
+    rows = [(r.span_lo, r.span_hi, r.probe_binds) for r in got.collect()]
+    assert sorted(rows) == sorted((lo, hi, any(lo <= p[2] and p[3] <= hi for p in probes)) for _, _, lo, hi in spans)
