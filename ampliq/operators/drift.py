@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import products as P
 
+# Assay ids that travel together in one row.
+BLOCK = 1024
+
 
 def scan_assays(assays: DataFrame, records: DataFrame, *, assay: str, record: str, min_product: int = 40,
                 max_product: int = 3000, min_ident: float = 85.0, max_len: int = 60) -> DataFrame:
@@ -33,13 +36,23 @@ def new_records(base: DataFrame, current: DataFrame, key: str = "sequence_sha256
 def drift_reasons(assays: DataFrame, fresh: DataFrame, calls: DataFrame, *, assay: str, record: str) -> DataFrame:
     """Every (assay, new record) with a reason; a target without a product is found by absence.
 
-    A new target record owes a product to every registered assay, so this report lists one row
-    per missing one by definition; the count form is ``drift_counts``.
+    A new target record owes a product to every registered assay, so the report holds one row per
+    missing one by definition. Assay ids travel in bounded blocks and only the missing ones are
+    unfolded; the count form is ``drift_counts``.
     """
     seen = calls.join(fresh.select(record, "role", "sequence_sha256"), record)
     found = seen.withColumn("code", reason_code(F.col("role"), F.lit(True), F.col("signal")))
-    owed = fresh.filter("role = 'target'").select(record, "sequence_sha256", "role").crossJoin(assays.select(assay).distinct())
-    lost = owed.join(calls, [assay, record], "left_anti").withColumn("code", reason_code(F.col("role"), F.lit(False), F.lit(False)))
+    targets = fresh.filter("role = 'target'").select(record, "sequence_sha256", "role")
+    n_blocks = assays.select(assay).distinct().agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    block = F.pmod(F.xxhash64(assay), F.greatest("n_blocks", F.lit(1))).cast("int")
+    blocks = (assays.select(assay).distinct().join(n_blocks).withColumn("block", block)
+              .groupBy("block").agg(F.collect_list(assay).alias("ids")))
+    got = (calls.join(targets.select(record), record).join(n_blocks).withColumn("block", block)
+           .groupBy(record, "block").agg(F.collect_list(assay).alias("got")))
+    asked = targets.join(n_blocks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    missing = F.when(F.col("got").isNull(), F.col("ids")).otherwise(F.array_except("ids", "got"))
+    lost = (asked.join(blocks, "block").join(got, [record, "block"], "left").withColumn(assay, F.explode(missing))
+            .withColumn("code", reason_code(F.col("role"), F.lit(False), F.lit(False))))
     cols = [assay, record, "sequence_sha256", "role", "code"]
     return found.filter("code is not null").select(*cols).unionByName(lost.select(*cols))
 
