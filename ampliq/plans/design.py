@@ -153,7 +153,7 @@ def diverse_assay_beam(spark, folder):
 
 @query("designed_assays")
 def designed_assays(spark, folder):
-    """Whole design chain with the interaction gates on; tests hold it to its own gates."""
+    """Whole design chain with the interaction gates on."""
     wins = D.enumerate_windows(spread(X.templates(spark, folder), "item_id"), ["item_id"], "t", 12, 13)
     kept = (wins.filter(D.primer_rejection(F.col("oligo"), SHORT).isNull())
             .withColumn("tm", T.melting_temperature(F.col("oligo")))

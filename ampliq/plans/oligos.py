@@ -159,7 +159,7 @@ def confusability_edges(spark, folder):
 
 @query("independent_panel")
 def independent_panel(spark, folder):
-    """A maximal conflict-free panel; tests check that no edge is inside and no oligo could join."""
+    """A maximal conflict-free panel: no edge inside, and no oligo left out could join."""
     pool = X.pool(spark, folder)
     return I.independent_set(pool.select("id"), I.confusability_edges(pool, "id", "seq", -9.0), "id")
 
