@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
 QUERIES = {
+    "op3_secret_ownership": (secrets.op3_secret_ownership, secrets.SQL),
     "op6_mix_sources": (mixing.op6_mix_sources, mixing.SQL),
 }
