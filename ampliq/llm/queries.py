@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import decontam, mixing, secrets
 
 QUERIES = {
     "op3_secret_ownership": (secrets.op3_secret_ownership, secrets.SQL),
+    "op10_winnowing": (decontam.op10_winnowing, decontam.SQL),
     "op6_mix_sources": (mixing.op6_mix_sources, mixing.SQL),
 }
