@@ -116,7 +116,7 @@ def route(patterns: Sequence[tuple[tuple, int]], targets: dict, repeats: int) ->
 
 
 def mix(docs: DataFrame, id_col: str, text_col: str, sources: Column, *, weights: Sequence[float] = (3, 1, 2),
-        share: float = 1.5, repeats: int = 2, seed: str = "mix", rows_per_bucket: int = 4096) -> DataFrame:
+        share: float = 1.5, repeats: int = 2, seed: str = "mix", rows_per_bucket: int = 1024) -> DataFrame:
     """One row per input row: id, size, sources, taken (words that the mix takes, repeats counted), plus the
     plan of its pattern: source_sizes and targets (by source).
 
