@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, secrets, toxicity
+from . import brown, decontam, langid, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_language_id": (langid.op1_language_id, None),
     "op2_toxicity_grammar": (toxicity.op2_toxicity_grammar, None),
     "op3_secret_ownership": (secrets.op3_secret_ownership, secrets.SQL),
     "op10_winnowing": (decontam.op10_winnowing, decontam.SQL),
+    "op4_brown_classes": (brown.op4_brown_classes, None),
     "op6_mix_sources": (mixing.op6_mix_sources, mixing.SQL),
 }
