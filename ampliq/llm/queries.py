@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, mixing, secrets, toxicity
+from . import brown, decontam, langid, lines, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_language_id": (langid.op1_language_id, None),
@@ -11,4 +11,5 @@ QUERIES = {
     "op10_winnowing": (decontam.op10_winnowing, decontam.SQL),
     "op4_brown_classes": (brown.op4_brown_classes, None),
     "op6_mix_sources": (mixing.op6_mix_sources, mixing.SQL),
+    "op7_line_dedup": (lines.op7_line_dedup, lines.SQL),
 }
