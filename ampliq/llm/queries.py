@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, lines, mixing, secrets, suffixes, toxicity
+from . import brown, decontam, langid, lines, mixing, ngram_join, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_language_id": (langid.op1_language_id, None),
@@ -12,5 +12,6 @@ QUERIES = {
     "op4_brown_classes": (brown.op4_brown_classes, None),
     "op6_mix_sources": (mixing.op6_mix_sources, mixing.SQL),
     "op7_line_dedup": (lines.op7_line_dedup, lines.SQL),
+    "op8_ngram_jaccard": (ngram_join.op8_ngram_jaccard, ngram_join.SQL),
     "op9_bucket_pointers": (suffixes.op9_bucket_pointers, suffixes.SQL),
 }
