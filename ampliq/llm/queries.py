@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, lines, mixing, ngram_join, secrets, suffixes, toxicity
+from . import brown, decontam, langid, lines, mixing, multi_index, ngram_join, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_language_id": (langid.op1_language_id, None),
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_ownership": (secrets.op3_secret_ownership, secrets.SQL),
     "op10_winnowing": (decontam.op10_winnowing, decontam.SQL),
     "op4_brown_classes": (brown.op4_brown_classes, None),
+    "op5_multi_index": (multi_index.op5_multi_index, multi_index.SQL),
     "op6_mix_sources": (mixing.op6_mix_sources, mixing.SQL),
     "op7_line_dedup": (lines.op7_line_dedup, lines.SQL),
     "op8_ngram_jaccard": (ngram_join.op8_ngram_jaccard, ngram_join.SQL),
