@@ -57,7 +57,8 @@ def _extra(n: int) -> int:
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included), digest
+    (64 bits, of the text), stays (the row is its component's first by id, null last, then digest).
 
     Two texts link when 100 * overlap >= percent * union of their shingle sets. Null, empty and blank texts have no
     shingles and link with nothing. Copies link and are searched once; repeated rows and ids count like others. A null id is
@@ -205,14 +206,31 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
     links = links.unionAll(cut_lineage(verify(pairs)))
     roots = components(links, "a", "b").withColumnRenamed("node", "dk")
     joined = rows.join(roots, "dk", "left").withColumn("root", F.coalesce("root", "dk"))
-    least = joined.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "dk")
+    least = joined.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"), F.min(place).alias("first"))
     return (joined.join(least, "root", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+                    F.col("dk").alias("digest"), ((F.col("n") == 0) | F.coalesce(place.eqNullSafe(F.col("first")), F.lit(False))).alias("stays")))
+
+
+def first_of_each(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The rows of docs, all columns, one per component; texts without shingles all stay."""
+    found = jaccard_components(docs, id_col, text_col, **options)
+    lists = cut_lineage(found.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
+                        .agg(F.max("stays").alias("_stays"), F.max("n_shingles").alias("_n"), F.count("*").alias("_k")).where("_stays"))
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
+    again = kept.where("_k > 1 and _n > 0")
+    # Rows equal in id and text are rare; only they are compared once more.
+    single = kept.where("not (_k > 1 and _n > 0)").drop("_id", "_digest", "_stays", "_n", "_k")
+    if lists.where("_k > 1 and _n > 0").limit(1).count():
+        return single.unionByName(again.dropDuplicates(["_digest"]).drop("_id", "_digest", "_stays", "_n", "_k"))
+    return single
 
 
 def op8_ngram_jaccard(spark, folder: str) -> DataFrame:
-    return jaccard_components(table(spark, folder, "documents"), "doc_id", "text")
+    return jaccard_components(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

@@ -30,7 +30,7 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str, *, copied_from: int = 3) -> DataFrame:
-    """One row per input row: id, repo, owner and `spans`, an array of (start, kind_no, kind, end, value_sha, repos,
+    """One row per input row: id, repo, owner, digest (md5 of the text) and `spans`, an array of (start, kind_no, kind, end, value_sha, repos,
     owners, live) ordered by start, then kind. Positions are code points, end exclusive.
 
     kind_no below 3: base spans (assign, access, hex), leftmost non-overlapping per kind. `token`: a bare token equal
@@ -47,13 +47,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
         m, g = _pieces(text, pattern)
         parts.append(F.struct(F.lit(no).alias("no"), m.alias("m"), g.alias("g")))
     raw = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(repo_col).alias("repo"),
-                      F.col(owner_col).alias("owner"), F.filter(F.array(*parts), lambda p: p["m"].isNotNull()).alias("parts"))
+                      F.col(owner_col).alias("owner"), F.md5(text).alias("digest"), F.filter(F.array(*parts), lambda p: p["m"].isNotNull()).alias("parts"))
     # A bare token is worth keeping only if it could be a credential: letters and digits mixed.
-    rows = (raw.select("rid", "id", "repo", "owner", F.explode_outer("parts").alias("p"))
-            .select("rid", "id", "repo", "owner", F.col("p.no").alias("no"),
+    row = ["rid", "id", "repo", "owner", "digest"]
+    rows = (raw.select(*row, F.explode_outer("parts").alias("p"))
+            .select(*row, F.col("p.no").alias("no"),
                     F.explode_outer(F.arrays_zip(F.col("p.m").alias("m"), F.slice(F.col("p.g"), 1, F.size("p.m")).alias("g"),
                                                  F.sequence(F.lit(1), F.size("p.m")).alias("at"))).alias("x"))
-            .select("rid", "id", "repo", "owner", "no", F.col("x.m").alias("m"), F.col("x.g").alias("g"), F.col("x.at").alias("at")))
+            .select(*row, "no", F.col("x.m").alias("m"), F.col("x.g").alias("g"), F.col("x.at").alias("at")))
     # Written once: row ids and positions below all come from the same pass over the texts.
     hits = cut_lineage(rows)
     order = Window.partitionBy("rid", "no").orderBy("at")
@@ -78,11 +79,11 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
              .groupBy("rid").agg(F.array_sort(F.collect_list(spans)).alias("all")))
     kept = F.filter("all", lambda t: (t["kind_no"] < BASE) | ~F.exists(
         F.filter("all", lambda b: b["kind_no"] < BASE), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    heads = hits.groupBy("rid").agg(F.first("id").alias("id"), F.first("repo").alias("repo"), F.first("owner").alias("owner"))
+    heads = hits.groupBy("rid").agg(F.first("id").alias("id"), F.first("repo").alias("repo"), F.first("owner").alias("owner"), F.first("digest").alias("digest"))
     none = F.expr("cast(array() as array<struct<start:bigint,kind_no:int,kind:string,end:bigint,value_sha:string,"
                   "repos:bigint,owners:bigint,live:boolean>>)")
     return (heads.join(lists.withColumn("spans", kept), "rid", "left")
-            .select(F.col("id").alias(id_col), "rid", F.col("repo").alias("repo"), F.col("owner").alias("owner"),
+            .select(F.col("id").alias(id_col), "rid", "repo", "owner", "digest",
                     F.coalesce("spans", none).alias("spans")))
 
 
@@ -90,6 +91,29 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def redact(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str, length_col: str, **options) -> DataFrame:
+    """All rows and columns of docs; live spans of the text are replaced by [kind], its length by the new one.
+
+    Copied examples stay. Texts without live spans, null texts and their lengths are unchanged.
+    """
+    found = scan(docs, id_col, text_col, repo_col, owner_col, **options)
+    # Where a span stands depends on the text alone.
+    live = cut_lineage(found.select(F.col("digest").alias("_digest"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
+                       .where(F.size("_spans") > 0).dropDuplicates(["_digest"]))
+    text = F.col(text_col)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    done = F.aggregate("_spans", start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
+        s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+                                       F.lit("["), s["kind"], F.lit("]")).alias("out")))
+        .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
+        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2 ** 31 - 1))))
+    joined = docs.join(live, F.md5(text) == F.col("_digest"), "left")
+    new = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done))
+    return new.select(*[F.coalesce("_new", text).alias(c) if c == text_col else
+                        F.when(F.col("_new").isNotNull(), F.length("_new").cast(k)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c)
+                        for c, k in docs.dtypes])
+
+
 def op3_secret_ownership(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = scan(docs, "doc_id", "text", repo_col="source", owner_col="source")
