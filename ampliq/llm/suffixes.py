@@ -21,6 +21,7 @@ from ..session import cut_lineage, table
 
 Q = 24
 LOW = np.uint64(0xFFFFFFFF)
+RECORD = np.dtype([("wh", np.uint64), ("dk", np.int64), ("a", np.int32), ("known", bool)])
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -119,8 +120,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, length: int = 400, b
     Extra columns are not read. Texts and anchors are named by 64-bit digests.
 
     Skew: equal segments collapse before the shuffle. An anchor with more than `block` different segments is cut into
-    blocks that are sorted apart; each sends one row per different string to a second grouping, so strings shared by
-    two blocks are found as well.
+    blocks that are sorted apart; each sends one record per different string to a second grouping, dealt by hash into as
+    many parts as there are blocks, so strings shared by two blocks are found as well.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.xxhash64(raw).alias("dk"), F.octet_length(raw).cast("long").alias("n_bytes"),
@@ -145,16 +146,16 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, length: int = 400, b
     whole = (marks.join(segments.where("n > 1").select("h", "g"), ["h", "g"], "left_semi")
              .select("dk", F.col("s0").alias("a"), (F.col("s1") + length).alias("b")))
     mixed = segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = (segments.join(mixed, "h").select("h", "g", "n", "at.*", F.when(F.col("kinds") > block, F.pmod(F.hash("g"), F.ceil(F.col("kinds") / block)))
-                                              .otherwise(F.lit(-1)).cast("int").alias("salt")))
-    wanted = cut_lineage(asked.groupBy("dk").agg(F.collect_list(F.struct("h", "salt", "n", "s0", "s1")).alias("asks")))
+    asked = (segments.join(mixed, "h").select("h", "g", "n", "at.*", F.when(F.col("kinds") > block, F.ceil(F.col("kinds") / block)).otherwise(F.lit(0)).cast("int").alias("salts"))
+             .withColumn("salt", F.when(F.col("salts") > 0, F.pmod(F.hash("g"), F.col("salts"))).otherwise(F.lit(0))))
+    wanted = cut_lineage(asked.groupBy("dk").agg(F.collect_list(F.struct("h", "salt", "salts", "n", "s0", "s1")).alias("asks")))
     n_wanted = wanted.count()
     held = texts.join(_near(wanted.select("dk"), n_wanted), "dk", "left_semi") if n_wanted <= 500_000 else texts
 
     def extract(batches):
         for batch in batches:
             dk, done = batch.column(0).to_pylist(), set()
-            names = ["h", "salt", "dk", "s0", "n", "seg"]
+            names = ["h", "salt", "dk", "s0", "n", "seg", "salts"]
             out: list[list] = [[] for _ in names]
             size = 0
             for i, key in enumerate(dk):
@@ -164,7 +165,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, length: int = 400, b
                 data = batch.column(1)[i].as_py().encode()
                 for ask in batch.column(2)[i].as_py():
                     seg = data[ask["s0"]:ask["s1"] + length]
-                    for column, value in zip(out, (ask["h"], ask["salt"], key, ask["s0"], ask["n"], seg)):
+                    for column, value in zip(out, (ask["h"], ask["salt"], key, ask["s0"], ask["n"], seg, ask["salts"])):
                         column.append(value)
                     size += len(seg)
                 if size > 4 << 20:
@@ -173,12 +174,14 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, length: int = 400, b
             yield _batch(out, names)
 
     def _batch(out, names):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     # The same text in several rows asks for the same segments: one copy is enough, and a second one must not count.
     pieces = (held.join(wanted, "dk").select("dk", "t", "asks")
-              .mapInArrow(extract, "h long, salt int, dk long, s0 int, n long, seg binary").dropDuplicates(["h", "salt", "dk", "s0"]))
+              .mapInArrow(extract, "h long, salt int, dk long, s0 int, n long, seg binary, salts int").dropDuplicates(["h", "salt", "dk", "s0"]))
+
+    fields = ["dk", "a", "b", "h", "part", "pack"]
 
     def settle(group):
         segs = [s for b in group for s in b.column(5).to_pylist()]
@@ -193,20 +196,27 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, length: int = 400, b
         dk = np.concatenate([b.column(2).to_numpy() for b in group])
         s0 = np.concatenate([b.column(3).to_numpy() for b in group]).astype(np.int64)
         n = np.concatenate([b.column(4).to_numpy() for b in group])
-        salt = np.concatenate([b.column(1).to_numpy() for b in group])
+        h, salts = (np.concatenate([b.column(i).to_numpy() for b in group]) for i in (0, 6))
         own, a, b = _spans(many & (n == 1)[owner], owner, s0[owner] + local, length)
-        yield pa.RecordBatch.from_arrays([pa.array(dk[own]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
-                                          pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_())], ["dk", "a", "b", "wh", "many"])
+        empty = [pa.nulls(len(own), k) for k in (pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(dk[own]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *empty], fields)
+        # What a block of a crowded anchor holds, one record per different string, dealt by the string's hash.
         _, lead = np.unique(kind, return_index=True)
-        lead = lead[salt[owner[lead]] >= 0]
+        lead = lead[salts[owner[lead]] > 0]
         if len(lead):
-            at = begins[owner[lead]] + local[lead]
+            at, seg = begins[owner[lead]] + local[lead], owner[lead]
             sums = tx.prefix_hashes(data)
             wh = tx.mixed((sums[at + length] - sums[at]) * tx.powers(len(data) + 1, down=True)[at])
-            a = s0[owner[lead]] + local[lead]
-            known = many[lead] | (n != 1)[owner[lead]]
-            yield pa.RecordBatch.from_arrays([pa.array(dk[owner[lead]]), pa.array(a.astype(np.int32)), pa.array((a + length).astype(np.int32)),
-                                              pa.array(wh.view(np.int64)), pa.array(known)], ["dk", "a", "b", "wh", "many"])
+            records = np.empty(len(lead), RECORD)
+            records["wh"], records["dk"], records["a"] = wh, dk[seg], s0[seg] + local[lead]
+            records["known"] = many[lead] | (n[seg] != 1)
+            part = (wh % salts[seg].astype(np.uint64)).astype(np.int32)
+            order = np.lexsort((part, h[seg]))
+            records, part, key = records[order], part[order], h[seg][order]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(key)]
+            empty = [pa.nulls(len(cuts) - 1, k) for k in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(key[cuts[:-1]]), pa.array(part[cuts[:-1]]), tx.binary_column(
+                [records[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])])], fields)
 
     def sort(batches):
         group, size, last = [], 0, None
@@ -228,13 +238,35 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, *, length: int = 400, b
         if group:
             yield from settle(group)
 
+    def share(batches):
+        """Strings that two blocks of one anchor hold."""
+        held, last = [], None
+
+        def settle():
+            r = np.concatenate([np.frombuffer(x, RECORD) for x in held])
+            _, back, times = np.unique(r["wh"], return_inverse=True, return_counts=True)
+            r = r[(times[back] > 1) & ~r["known"]]
+            r = r[np.lexsort((r["a"], r["dk"]))]
+            new = np.ones(len(r), bool)
+            new[1:] = (r["dk"][1:] != r["dk"][:-1]) | (r["a"][1:] > r["a"][:-1] + length)
+            end = np.append(new[1:], True)[:len(r)]
+            return pa.RecordBatch.from_arrays([pa.array(r["dk"][new]), pa.array(r["a"][new]), pa.array(r["a"][end] + np.int32(length))], fields[:3])
+
+        for batch in batches:
+            for h, part, pack in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (h, part) != last:
+                    yield settle()
+                    held = []
+                last = (h, part)
+                held.append(pack)
+        if held:
+            yield settle()
+
     sorted_out = cut_lineage(pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
-                             .mapInArrow(sort, "dk long, a int, b int, wh long, many boolean"))
-    # Strings that two blocks of one anchor share: at most one row per block and string.
-    across = (sorted_out.where("wh is not null").groupBy("wh")
-              .agg(F.count("*").alias("blocks"), F.collect_list(F.when(~F.col("many"), F.struct("dk", "a", "b"))).alias("single"))
-              .where("blocks > 1").select(F.explode("single").alias("x")).select("x.*"))
-    spans = whole.unionByName(sorted_out.where("wh is null").select("dk", "a", "b")).unionByName(across)
+                             .mapInArrow(sort, "dk long, a int, b int, h long, part int, pack binary"))
+    across = (sorted_out.where("pack is not null").select("h", "part", "pack").repartition("h", "part").sortWithinPartitions("h", "part")
+              .mapInArrow(share, "dk long, a int, b int"))
+    spans = whole.unionByName(sorted_out.where("pack is null").select("dk", "a", "b")).unionByName(across)
     gone = cut_lineage(spans.groupBy("dk").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     n_gone = gone.count()
     lost = texts.join(_near(gone.select("dk"), n_gone), "dk", "left_semi") if n_gone <= 500_000 else texts
