@@ -250,7 +250,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
         for rows, offsets, data in tx.slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([rows.column(0), tx.binary_column([f.tobytes() for f in matcher.features(offsets, data)])], ["y", "x"])
 
-    got = sample.mapInArrow(accepted, "y boolean, x binary").orderBy("y", "x").toPandas()
+    got = sample.mapInArrow(accepted, "y boolean, x binary").toPandas().sort_values(["y", "x"])
     x = _squash(np.stack([np.frombuffer(b) for b in got["x"]]))
     scale = np.append(base.weights / np.log(3), base.bias)
     w = logistic(np.column_stack([x, np.ones(len(x))]), got["y"].to_numpy(float), scale)
