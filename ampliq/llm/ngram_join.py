@@ -19,6 +19,7 @@ from .decontam import _near
 from ..session import cut_lineage, table
 
 SLICE = 4 << 20
+BITS = 1024
 STEPS = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(5).integers(1, 2**62, 16)]
 
 
@@ -37,10 +38,10 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.nd
         if b - a >= size:
             out.append(np.unique(s[a:b - size + 1]))
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.array([b - a], np.uint64)
             for j in range(b - a):
-                x = tx.mixed(np.array([x * STEPS[15] + w[a + j]], np.uint64))[0]
-            out.append(np.array([x], np.uint64))
+                x = tx.mixed(x * STEPS[15] + w[a + j])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -56,6 +57,13 @@ def _extra(n: int) -> int:
     return max(1, n // 10)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of BITS classes. Where two sets differ in k parities, at least k shingles
+    are in one set only."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included), digest
     (64 bits, of the text), stays (the row is its component's first by id, null last, then digest).
@@ -67,8 +75,8 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
 
     Skew: a slice of texts sends one entry for a shingle, however many of its texts hold it; frequencies and leaders
     are partial aggregates; joins on shingles have no hint, so AQE splits hot ones. Lists of texts with a common
-    shingle are first linked to one leader each; pairs are only written out between texts that are in different
-    components after that.
+    shingle are first linked to leaders, one each in a turn; pairs are only written out between texts in different
+    components after that whose sketches of parities do not rule a link out.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -160,16 +168,21 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
             sets = shingle_sets(offsets, data, size)
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["dk", "s"])
+            bits = np.concatenate([parities(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            each = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                                              pa.ListArray.from_arrays(pa.array(each), pa.array(bits))], ["dk", "s", "bits"])
 
     sets = cut_lineage(base.select("t", "dk").join(_near(alive, n_alive), "dk", "left_semi").select("t", "dk")
-                       .mapInArrow(full, "dk long, s array<long>").dropDuplicates(["dk"]).withColumn("n", F.size("s").cast("long")))
+                       .mapInArrow(full, "dk long, s array<long>, bits array<long>").dropDuplicates(["dk"]).withColumn("n", F.size("s").cast("long")))
     cells = sets.select("dk", "n", F.explode("s").alias("e"))
     often = cells.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     must = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("cols"))
     prefix = (cells.join(often, "e").groupBy("dk", "n").agg(F.collect_list(F.struct("df", "e")).alias("cols"))
               .withColumn("must", must.cast("int")).where("must > 0")
-              .select("dk", "n", F.explode(F.slice(F.array_sort("cols"), 1, F.col("must"))).alias("c")).select("dk", "n", F.col("c.e").alias("e")))
+              # A text whose columns are common is the centre of its family.
+              .withColumn("hub", F.aggregate("cols", F.lit(0).cast("long"), lambda a, c: a + c["df"]) / F.col("n"))
+              .select("dk", "n", "hub", F.explode(F.slice(F.array_sort("cols"), 1, F.col("must"))).alias("c")).select("dk", "n", "hub", F.col("c.e").alias("e")))
     prefix = cut_lineage(prefix)
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
@@ -183,26 +196,32 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
                 .where(overlap * 100 >= (F.size("sa") + F.size("sb") - overlap) * percent).select("a", "b"))
 
     links, named = None, prefix.withColumn("root", F.col("dk"))
-    member = F.struct("n", "dk", "root")
-    for _ in range(2):
-        # One leader per list, from outside the largest component known so far.
-        lists = named.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(member).alias("lead")).where("r0 <> r1")
+    for turn in range(3):
+        # One leader per list: its centre, and from the second turn on the centre of what the first did not reach.
+        lead = F.min(F.struct((-F.col("hub")).alias("far"), "dk", "n", "root"))
+        lists = named.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), lead.alias("lead")).where("r0 <> r1").select("e", "lead")
+        if turn:
+            lists = (named.join(lists, "e").where(F.col("root") != F.col("lead.root")).groupBy("e").agg(lead.alias("lead")))
         pairs = (named.join(lists, "e").where(F.col("root") != F.col("lead.root"))
                  .select(F.col("dk").alias("a"), F.col("n").alias("na"), F.col("lead.dk").alias("b"), F.col("lead.n").alias("nb")))
         found = cut_lineage(verify(pairs))
         links = found if links is None else links.unionAll(found)
         roots = components(links, "a", "b")
         named = cut_lineage(prefix.join(roots.withColumnRenamed("node", "dk"), "dk", "left").withColumn("root", F.coalesce("root", "dk"))
-                            .select("dk", "n", "e", "root"))
-        member = F.struct((F.col("root") == F.col("dk")).cast("int").alias("x"), "n", "dk", "root")
+                            .select("dk", "n", "hub", "e", "root"))
     # What is left: lists that still hold several components. The side outside the largest one meets all others.
     sizes = named.groupBy("e", "root").agg(F.count("*").alias("k"))
     main = (sizes.groupBy("e").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("m")).where("roots > 1")
             .select("e", F.col("m.root").alias("main")))
-    open_lists = named.join(main, "e")
-    outside = open_lists.where("root <> main").select("e", F.col("dk").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    others = open_lists.select("e", F.col("dk").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    pairs = (outside.join(others, "e").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b")))))
+    open_lists = named.join(main, "e").join(sets.select("dk", "bits"), "dk")
+    outside = open_lists.where("root <> main").select("e", F.col("dk").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("xa"))
+    others = open_lists.select("e", F.col("dk").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("xb"),
+                               (F.col("root") == F.col("main")).alias("in_main"))
+    # Linked sets differ in at most (na + nb) * (100 - percent) / (100 + percent) shingles, so in no more parities.
+    differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(BITS // 64)), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    pairs = outside.join(others, (outside["e"] == others["e"]) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits & near)
+    pairs = pairs.select("a", "na", "b", "nb")
     links = links.unionAll(cut_lineage(verify(pairs)))
     roots = components(links, "a", "b").withColumnRenamed("node", "dk")
     joined = rows.join(roots, "dk", "left").withColumn("root", F.coalesce("root", "dk"))
