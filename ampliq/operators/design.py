@@ -37,15 +37,19 @@ def quality_flags(seq: Column) -> tuple[Column, Column]:
     return flags, penalty
 
 
-def window_starts(length: Column, window: int, max_windows: int, step: int) -> Column:
-    """Starts that span a target: an even grid joined with a fixed-step grid, at most ``max_windows``."""
+def window_starts(length: Column, window: int, max_windows: int, step: int, *, limit: bool = False) -> Column:
+    """Starts that span a target: an even grid of ``max_windows`` joined with a fixed-step grid.
+
+    With ``limit`` a target whose joint grid is larger keeps the even grid alone; the default searches all starts.
+    """
     span = F.greatest(length - window, F.lit(0))
     even = F.transform(F.sequence(F.lit(0), F.lit(max_windows - 1)),
                        lambda i: F.bround(i * span / F.lit(max(1, max_windows - 1)), 0).cast("int"))
     stepped = F.transform(F.sequence(F.lit(0), span, F.lit(step)), lambda x: x.cast("int"))
     grid = F.array_sort(F.array_distinct(F.concat(even, stepped)))
-    return F.when(span == 0, F.array(F.lit(0))).otherwise(
-        F.when(F.size(grid) <= max_windows, grid).otherwise(F.array_sort(F.array_distinct(even))))
+    if limit:
+        grid = F.when(F.size(grid) <= max_windows, grid).otherwise(F.array_sort(F.array_distinct(even)))
+    return F.when(span == 0, F.array(F.lit(0))).otherwise(grid)
 
 
 def enumerate_windows(templates: DataFrame, keys: list[str], seq: str, len_min: int, len_max: int) -> DataFrame:
@@ -262,7 +266,7 @@ def synthetic_fragment(template: Column, f_start: Column, r_end: Column, *, flan
     s2 = s - both - F.when(right_room > both, F.lit(0)).otherwise(more_left)
     e2 = e + both + F.when(right_room > both, more_right).otherwise(F.lit(0))
     block = F.substr(template, s2 + 1, e2 - s2)
-    pad = F.substr(F.repeat(F.lit(FILLER), 2), F.lit(1), F.greatest(F.lit(min_len) - F.length(block), F.lit(0)))
+    pad = F.substr(F.repeat(F.lit(FILLER), F.lit(min_len // len(FILLER) + 1)), F.lit(1), F.greatest(F.lit(min_len) - F.length(block), F.lit(0)))
     return F.concat(block, pad)
 
 

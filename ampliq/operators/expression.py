@@ -99,15 +99,16 @@ def log2_quantity(cq: Column, efficiency: Column | float = 1.0) -> Column:
     return -cq * F.log2(factor)
 
 
-def stability_ranking(variation: DataFrame, keys: list[str], max_genes: int) -> DataFrame:
+def stability_ranking(variation: DataFrame, keys: list[str]) -> DataFrame:
     """Drop the least stable gene (ties: larger name) until two remain.
 
     ``rank`` 1 is the tied final pair; ``m`` is the gene's M value when it left. Each round is one
-    small aggregate over all studies at once, ``max_genes - 2`` rounds in total.
+    small aggregate over all studies at once, two fewer rounds than the largest study has genes.
     """
     remaining = cut_lineage(variation)
     done = None
-    for round_no in range(max(max_genes - 2, 0)):
+    genes = 1 + (remaining.groupBy(*keys, "gene").count().agg(F.max("count")).first()[0] or 0)
+    for round_no in range(max(genes - 2, 0)):
         m = remaining.groupBy(*keys, "gene").agg(F.avg("v").alias("m"), F.count("*").alias("others"))
         # The losers are a few rows per study; writing them out keeps every round's plan flat.
         worst = cut_lineage(

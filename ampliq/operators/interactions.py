@@ -83,7 +83,7 @@ def hairpin_energy(runs: Column, oligo: Column, loop: int = 3) -> Column:
     return F.coalesce(F.try_element_at(F.filter(runs, folds), F.lit(1))["dg"], F.lit(0.0))
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame, key: str, *, max_rounds: int = 64) -> DataFrame:
+def independent_set(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """A maximal set of mutually unconnected nodes by local-minimum rounds.
 
     Every round keeps nodes whose (degree, id) is the smallest among their live neighbours, then
@@ -99,7 +99,7 @@ def independent_set(nodes: DataFrame, edges: DataFrame, key: str, *, max_rounds:
                        .join(degree.select(F.col("x").alias("y"), F.col("deg").alias("ydeg")), "y")
                        .select("x", "y", F.struct("deg", "x").alias("px"), F.struct(F.col("ydeg").alias("deg"), F.col("y").alias("x")).alias("py")))
     alive = cut_lineage(degree.select("x", F.struct("deg", "x").alias("px")))
-    for _ in range(max_rounds):
+    while True:
         best = live.groupBy("x").agg(F.min("py").alias("near"))
         won = cut_lineage(alive.join(best, "x", "left").filter(F.col("near").isNull() | (F.col("px") < F.col("near"))).select("x"))
         if won.isEmpty():
@@ -108,8 +108,6 @@ def independent_set(nodes: DataFrame, edges: DataFrame, key: str, *, max_rounds:
         gone = cut_lineage(won.unionByName(live.join(won, "x", "left_semi").select(F.col("y").alias("x"))).distinct())
         alive = cut_lineage(alive.join(gone, "x", "left_anti"))
         live = cut_lineage(live.join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("y")), "y", "left_anti"))
-    else:
-        raise RuntimeError("independent set did not settle within max_rounds")
     return chosen.select(F.col("x").alias(key))
 
 

@@ -6,6 +6,8 @@ which Spark compares element by element, so one window orders every run at once.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,7 +169,7 @@ def reversal_triggers(df: DataFrame) -> DataFrame:
     return df.withColumn("triggers", F.when(c("nx").isNull(), F.array(F.lit("another_candidate_available"))).otherwise(codes))
 
 
-def pareto_fronts(items: DataFrame, run: list[str], key: str, metrics: list[str], *, max_fronts: int = 10_000) -> DataFrame:
+def pareto_fronts(items: DataFrame, run: list[str], key: str, metrics: list[str]) -> DataFrame:
     """Front number per candidate (all metrics minimised).
 
     Fronts are peeled, and each peel is a skyline in two steps: local skylines over hash slices of
@@ -177,7 +179,7 @@ def pareto_fronts(items: DataFrame, run: list[str], key: str, metrics: list[str]
     vec = F.array(*[F.col(m).cast("double") for m in metrics])
     live = cut_lineage(items.select(*run, key, vec.alias("v")))
     out = None
-    for front in range(1, max_fronts + 1):
+    for front in itertools.count(1):
         rivals = skyline(live, run, key)
         found = cut_lineage(rivals.withColumn("front", F.lit(front)))
         if found.isEmpty():
@@ -186,7 +188,6 @@ def pareto_fronts(items: DataFrame, run: list[str], key: str, metrics: list[str]
         live = live.join(found.select(*run, key), [*run, key], "left_anti")
         if front % 5 == 0:
             live, out = cut_lineage(live), cut_lineage(out)
-    raise RuntimeError("more fronts than max_fronts")
 
 
 def skyline(live: DataFrame, run: list[str], key: str, block: int = 2048) -> DataFrame:
@@ -284,7 +285,7 @@ def rank_stability(left: DataFrame, right: DataFrame, run: list[str], key: str,
             .withColumn("top_jaccard", F.col("top_overlap") / F.when(F.col("top_union") > 0, F.col("top_union"))).drop("d2"))
 
 
-def reversed_pairs(left: DataFrame, right: DataFrame, run: list[str], key: str, bits: int = 24) -> DataFrame:
+def reversed_pairs(left: DataFrame, right: DataFrame, run: list[str], key: str) -> DataFrame:
     """Number of shared pairs whose order differs between two rankings, without forming pairs.
 
     Inversions are counted level by level of the binary digits of the right-hand position: two
@@ -293,6 +294,8 @@ def reversed_pairs(left: DataFrame, right: DataFrame, run: list[str], key: str,
     """
     both = left.select(*run, key, F.col("rank").alias("l")).join(
         right.select(*run, key, F.col("rank").alias("r")), [*run, key])
+    both = cut_lineage(both)
+    bits = max(1, int(both.agg(F.max("r")).first()[0] or 0).bit_length())
     levels = both.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     prefix = F.call_function("shiftright", F.col("r"), F.col("bit") + 1)
     digit = F.call_function("shiftright", F.col("r"), F.col("bit")).bitwiseAND(F.lit(1))

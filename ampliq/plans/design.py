@@ -283,7 +283,7 @@ def synthetic_fragments(spark, folder):
 @query("search_window_starts", f"""WITH {X.SUBJECTS}, l AS (SELECT doc_id, greatest(length(seq) - 200, 0) AS span FROM subjects),
 g AS (SELECT doc_id, span, list_sort(list_distinct(list_transform(range(0, 6), lambda i: round_even(i * span / 5::DOUBLE, 0)::BIGINT))) AS ev, generate_series(0, span, 90) AS st FROM l),
 u AS (SELECT *, list_sort(list_distinct(list_concat(ev, st))) AS al FROM g)
-SELECT doc_id, array_to_string(CASE WHEN span = 0 THEN [0] WHEN len(al) <= 6 THEN al ELSE ev END, ',') AS starts FROM u""")
+SELECT doc_id, array_to_string(CASE WHEN span = 0 THEN [0] ELSE al END, ',') AS starts FROM u""")
 def search_window_starts(spark, folder):
     rows = X.subjects(spark, folder)
     return rows.select("doc_id", F.array_join(F.transform(D.window_starts(F.length("seq"), 200, 6, 90), lambda x: x.cast("string")), ",").alias("starts"))
@@ -365,7 +365,7 @@ def edit_metric_changes(spark, folder):
     return E.metric_changes(before, after, "id").select("id", "metric", "delta", "interpretation")
 
 
-@query("edit_positions", f"""WITH {X.POOL} SELECT id, array_to_string(list_filter(range(1, 21), lambda i: seq[i] <> translate(seq, 'A', 'C')[i]), ',') AS spots FROM pool WHERE length(seq) = 20""")
+@query("edit_positions", f"""WITH {X.POOL} SELECT id, array_to_string(list_filter(range(1, length(seq) + 1), lambda i: seq[i] <> translate(seq, 'A', 'C')[i]), ',') AS spots FROM pool""")
 def edit_positions(spark, folder):
     spots = E.edit_positions(F.col("seq"), F.translate("seq", "A", "C"))
-    return X.pool(spark, folder).filter(F.length("seq") == 20).select("id", F.array_join(F.transform(spots, lambda x: x.cast("string")), ",").alias("spots"))
+    return X.pool(spark, folder).select("id", F.array_join(F.transform(spots, lambda x: x.cast("string")), ",").alias("spots"))

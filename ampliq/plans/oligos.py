@@ -69,12 +69,12 @@ def reaction_condition_envelope(spark, folder):
 
 
 _ORDER_SQL = """(SELECT doc_id, '/56-FAM/' || upper(w) || '+A*C /3BHQ/' AS mark, w FROM (
-  SELECT doc_id, regexp_replace(upper(left(text, 200)), '[^ACGT]', '', 'g') AS w FROM documents))"""
+  SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS w FROM documents))"""
 
 
 def _order_text(spark, folder):
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    w = S.letters_only(F.left("text", F.lit(200)))
+    w = S.letters_only(F.col("text"))
     return docs.select("doc_id", w.alias("w")).withColumn(
         "mark", F.concat(F.lit("/56-FAM/"), F.col("w"), F.lit("+A*C /3BHQ/")))
 
@@ -109,13 +109,11 @@ _DEG = "translate(left(seq, 3), 'ACGT', 'RYSW') || substr(seq, 4)"
   ('S', 'C'), ('S', 'G'), ('W', 'A'), ('W', 'T')), d AS (SELECT id, {_DEG} AS oligo FROM pool),
 r AS (SELECT id, a.base || b.base || c.base || substr(oligo, 4) AS seq FROM d JOIN codes a ON a.code = oligo[1]
   JOIN codes b ON b.code = oligo[2] JOIN codes c ON c.code = oligo[3]), {nn_sql('r', 'id', 'seq')}, {tm_sql()}
-SELECT id, count(*)::BIGINT AS fold, round(min(tm), 3) AS tm_min, round(max(tm), 3) AS tm_max FROM melt GROUP BY id""")
+SELECT id, count(*)::BIGINT AS fold, round(min(tm), 3) AS tm_min, round(max(tm), 3) AS tm_max, false AS capped FROM melt GROUP BY id""")
 def degenerate_resolutions(spark, folder):
     oligo = F.concat(F.translate(F.left("seq", F.lit(3)), "ACGT", "RYSW"), F.substr("seq", F.lit(4), F.lit(100)))
-    rows = X.pool(spark, folder).select("id", oligo.alias("oligo")).withColumn("fold", S.degeneracy_fold(F.col("oligo")))
-    each = rows.filter("fold <= 64").withColumn("seq", F.explode(S.resolutions(F.col("oligo"))))
-    each = each.withColumn("tm", T.melting_temperature(F.col("seq")))
-    return each.groupBy("id", "fold").agg(F.round(F.min("tm"), 3).alias("tm_min"), F.round(F.max("tm"), 3).alias("tm_max"))
+    out = T.resolved_range(X.pool(spark, folder).select("id", oligo.alias("oligo")), ["id"], "oligo")
+    return out.select("id", "fold", F.round("tm_min", 3).alias("tm_min"), F.round("tm_max", 3).alias("tm_max"), "capped")
 
 
 _RUNS = f"""{X.POOL}, {_STEP_CTE}, lens AS (SELECT id, seq, unnest(generate_series(1, length(seq) - 1)) AS i FROM pool),
@@ -181,10 +179,10 @@ def hairpin_energies(spark, folder):
     return rows.select("id", F.round(I.hairpin_energy(F.col("runs"), F.col("seq")), 6).alias("hairpin_dg"))
 
 
-@query("pool_duplicates", f"""WITH {X.SUBJECTS} SELECT left(seq, 20) AS seq, count(*)::BIGINT AS n,
-  string_agg(DISTINCT src, ',' ORDER BY src) AS names FROM subjects GROUP BY 1 HAVING count(*) > 1""")
+@query("pool_duplicates", f"""WITH {X.TILED} SELECT seq, count(*)::BIGINT AS n,
+  string_agg(DISTINCT src, ',' ORDER BY src) AS names FROM tiles GROUP BY 1 HAVING count(*) > 1""")
 def pool_duplicates(spark, folder):
-    rows = X.subjects(spark, folder).select(F.left("seq", F.lit(20)).alias("seq"), "src")
+    rows = X.tiles(spark, folder)
     return (rows.groupBy("seq").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("src")), ",").alias("names"))
             .filter("n > 1"))
 

@@ -319,7 +319,7 @@ _GENES = 5
        + f" UNION ALL SELECT grp, gene, 1, m FROM m{_GENES - 2})")
 def reference_gene_ranking(spark, folder):
     v = X.pairwise_variation(_stable_cq(spark, folder), ["grp"])
-    out = X.stability_ranking(v, ["grp"], max_genes=_GENES)
+    out = X.stability_ranking(v, ["grp"])
     return out.select("grp", "gene", "place", F.round("m", 6).alias("m"))
 
 
@@ -330,6 +330,6 @@ def reference_gene_ranking(spark, folder):
 SELECT grp, ix::BIGINT AS n, round(stddev_samp(nf - nn), 6) AS v FROM nx WHERE ix >= 2 AND nn IS NOT NULL GROUP BY 1, 2""")
 def normalisation_panel_size(spark, folder):
     cq = _stable_cq(spark, folder)
-    ranking = X.stability_ranking(X.pairwise_variation(cq, ["grp"]), ["grp"], max_genes=_GENES)
+    ranking = X.stability_ranking(X.pairwise_variation(cq, ["grp"]), ["grp"])
     out = X.panel_size_variation(cq, ranking, ["grp"])
     return out.select("grp", "n", F.round("v", 6).alias("v"))

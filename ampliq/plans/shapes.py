@@ -38,9 +38,20 @@ def assay_oligos(spark: SparkSession, folder: str, with_probe: bool = False) ->
             .select("item_id", "o.role", "o.oligo").filter("oligo is not null"))
 
 
+#: Tiles of a subject get ids doc_id * TILES + number.
+TILES = 1 << 20
+
+
+def tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every subject cut into 20-letter oligos; the last one takes the remainder, so no letter is left out."""
+    n = F.floor(F.length("seq") / 20).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        (F.col("doc_id") * TILES + i).alias("id"), F.substr("seq", i * 20 + 1, F.when(i == n - 1, F.lit(40)).otherwise(F.lit(20))).alias("seq")))
+    return subjects(spark, folder).select("src", F.explode(cut).alias("t")).select("t.id", "t.seq", "src")
+
+
 def pool(spark: SparkSession, folder: str) -> DataFrame:
-    first = subjects(spark, folder).select("doc_id", F.left("seq", F.lit(20)).alias("seq"))
-    return first.groupBy("seq").agg(F.min("doc_id").alias("id"))
+    return tiles(spark, folder).groupBy("seq").agg(F.min("id").alias("id"))
 
 
 SUBJECTS = """subjects AS (
@@ -55,8 +66,11 @@ ASSAYS = TEMPLATES + """, assays AS (
   SELECT item_id, left(t, 12) AS forward, reverse(translate(right(t, 12), 'ACGT', 'TGCA')) AS reverse,
     CASE WHEN length(t) - 24 >= 8 THEN substr(t, 13, length(t) - 24) END AS probe FROM templates)"""
 
-POOL = SUBJECTS + """, pool AS (
-  SELECT seq, min(doc_id) AS id FROM (SELECT doc_id, left(seq, 20) AS seq FROM subjects) GROUP BY seq)"""
+TILED = SUBJECTS + f""", tiles AS (
+  SELECT doc_id * {TILES} + i AS id, src, substr(seq, i * 20 + 1, CASE WHEN i = length(seq) // 20 - 1 THEN 40 ELSE 20 END) AS seq
+  FROM (SELECT *, unnest(range(0, length(seq) // 20)) AS i FROM subjects) z)"""
+
+POOL = TILED + """, pool AS (SELECT seq, min(id) AS id FROM tiles GROUP BY seq)"""
 
 # All 12-base windows of every subject in oligo orientation, with the plus-strand start.
 WINDOWS12 = """win AS (
