@@ -68,7 +68,7 @@ def drift_counts(assays: DataFrame, fresh: DataFrame, calls: DataFrame, *, assay
         F.count_if((F.col("role") == "off_target") & F.col("signal")).alias("off_signal"))
     out = assays.select(assay).distinct().join(seen, assay, "left").join(sizes)
     zero = F.lit(0)
-    return out.select(assay, "n_target", (F.col("n_target") - F.coalesce("target_products", zero)).alias("lost_product"),
+    return out.select(assay, "n_target", "n_off", (F.col("n_target") - F.coalesce("target_products", zero)).alias("lost_product"),
                       F.coalesce("lost_probe", zero).alias("lost_probe"), F.coalesce("off_signal", zero).alias("off_signal"))
 
 

@@ -237,36 +237,61 @@ CATEGORIES = {
 
 
 def finalists(df: DataFrame, run: list[str], n: int = 10, region_size: int = 250) -> DataFrame:
-    """Category winners, then alternate regions, pairs and probes, up to ``n`` per run.
+    """Category winners, then alternate regions, pairs and probes in rank order, up to ``n`` per run.
 
-    Only the first candidate of each pair and region can ever be an alternate, so the sequential
-    fill reads at most a bounded list per run: winners plus the first ``n`` of each kind.
+    A later candidate of an unused pair may still open a new region, so the fill is sequential; but it can only skip
+    what at most n + 7 used pairs or regions rule out. Per region the first n + 8 pairs, per pair the first n + 8 regions
+    and of those 2 (n + 8)^2 + n by rank hold every alternate region; 2 n + 8 first members of pairs and
+    2 n + 8 different oligo sets hold the rest. That bounded list per run is filled in one pass.
     """
+    oligos = ["forward", "reverse"] + (["probe"] if "probe" in df.columns else [])
     valid = df.filter("hard_valid").withColumn("region", F.floor(F.col("f_start") / region_size))
 
     def order(names: list[str]) -> Column:
         return F.struct(*[(-F.col(x[1:]) if x.startswith("-") else F.col(x)).alias(f"o{i}") for i, x in enumerate(names)])
 
-    best = valid.groupBy(*run).agg(F.array(*[
-        F.min_by("rank", order(o)) for o in CATEGORIES.values()]).alias("winners"))
-    joined = valid.join(best, run)
-    cats = F.filter(F.transform(F.sequence(F.lit(1), F.lit(len(CATEGORIES))), lambda i: F.when(
-        F.element_at("winners", i) == F.col("rank"), F.element_at(F.array(*[F.lit(k) for k in CATEGORIES]), i))),
-        lambda x: x.isNotNull())
-    tagged = joined.withColumn("categories", cats).withColumn("won", F.size("categories") > 0)
-    pair = Window.partitionBy(*run, "forward", "reverse")
-    tagged = tagged.withColumn("pair_won", F.max("won").over(pair)).withColumn("pair_first", F.min("rank").over(pair))
-    fresh = ~F.col("won") & ~F.col("pair_won") & (F.col("pair_first") == F.col("rank"))
-    region_won = F.max("won").over(Window.partitionBy(*run, "region"))
-    tagged = tagged.withColumn("fresh", fresh).withColumn("region_won", region_won)
-    first_fresh = F.min(F.when(F.col("fresh"), F.col("rank"))).over(Window.partitionBy(*run, "region"))
-    tagged = tagged.withColumn("alt_region", F.col("fresh") & ~F.col("region_won") & (first_fresh == F.col("rank")))
-    tier = F.when(F.col("won"), 0).when(F.col("alt_region"), 1).when(F.col("fresh"), 2).otherwise(3)
-    label = (F.when(F.col("won"), F.array_join("categories", ",")).when(F.col("alt_region"), "alternate_region")
-             .when(F.col("fresh"), "alternate_primer_pair").otherwise("alternate_probe"))
-    line = Window.partitionBy(*run).orderBy("tier", "rank")
-    return (tagged.withColumn("tier", tier).withColumn("label", label)
-            .withColumn("slot", F.row_number().over(line)).filter(F.col("slot") <= n))
+    best = valid.groupBy(*run).agg(F.array(*[F.min_by("rank", order(o)) for o in CATEGORIES.values()]).alias("winners"))
+    slots, reach = n + len(CATEGORIES) + 1, 2 * (n + len(CATEGORIES) + 1) ** 2 + n
+
+    def first(frame: DataFrame, keys: list[str]) -> DataFrame:
+        """The best ranked row of each key: a partial aggregate."""
+        return frame.groupBy(*run, *keys).agg(F.min("rank").alias("rank"))
+
+    def ahead(frame: DataFrame, keys: list[str], limit: int) -> DataFrame:
+        line = Window.partitionBy(*run, *keys).orderBy("rank")
+        return frame.withColumn("__at", F.row_number().over(line)).filter(F.col("__at") <= limit).drop("__at")
+
+    spots = first(valid, ["forward", "reverse", "region"])
+    listed = (ahead(ahead(spots, ["region"], slots), [], reach).join(ahead(spots, ["forward", "reverse"], slots), [*run, "rank"], "left_semi").select(*run, "rank")
+              .unionByName(ahead(first(valid, ["forward", "reverse"]), [], 2 * n + slots).select(*run, "rank"))
+              .unionByName(ahead(first(valid, oligos), [], 2 * n + slots).select(*run, "rank"))
+              .unionByName(best.select(*run, F.explode("winners").alias("rank"))).distinct())
+    members = valid.join(listed, [*run, "rank"]).groupBy(*run).agg(F.array_sort(F.collect_list(
+        F.struct("rank", F.concat_ws("|", *oligos).alias("key"), F.concat_ws("|", "forward", "reverse").alias("pair"),
+                 F.col("region").cast("string").alias("region")))).alias("items")).join(best, run)
+    names = list(CATEGORIES)
+
+    @F.udf("array<struct<rank:bigint,label:string>>")
+    def fill(items, winners):
+        at = {x["rank"]: x for x in items}
+        labels: dict[int, list[str]] = {}
+        lead: dict[str, int] = {}
+        for name, rank in zip(names, winners):
+            labels.setdefault(lead.setdefault(at[rank]["key"], rank), []).append(name)
+        if len(labels) < n:
+            used = [at[r] for r in labels]
+            keys, pairs, regions = ({x[f] for x in used} for f in ("key", "pair", "region"))
+            for label, new_pair, new_region in (("alternate_region", True, True), ("alternate_primer_pair", True, False), ("alternate_probe", False, False)):
+                for x in items:
+                    if len(labels) < n and x["key"] not in keys and not (new_pair and x["pair"] in pairs) and not (new_region and x["region"] in regions):
+                        labels[x["rank"]] = [label]
+                        keys.add(x["key"])
+                        pairs.add(x["pair"])
+                        regions.add(x["region"])
+        return [(r, ",".join(labels[r])) for r in sorted(labels)[:n]]
+
+    chosen = members.select(*run, F.explode(fill("items", "winners")).alias("c")).select(*run, F.col("c.rank").alias("rank"), F.col("c.label").alias("label"))
+    return valid.join(chosen.withColumn("rank", F.col("rank").cast(dict(valid.dtypes)["rank"])), [*run, "rank"])
 
 
 def rank_stability(left: DataFrame, right: DataFrame, run: list[str], key: str, top_k: int = 10) -> DataFrame:

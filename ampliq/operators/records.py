@@ -113,22 +113,34 @@ def pairwise_votes(records: DataFrame, context: list[str], assay: str) -> DataFr
             .withColumn("preferred", F.when(clash, None).when(F.col("for_a") > 0, F.col("a")).otherwise(F.col("b"))))
 
 
-def calibration_gate(records: DataFrame) -> DataFrame:
-    """Whether the dataset could support a learned ranker, with every unmet requirement."""
+def calibration_gate(records: DataFrame, rejects: DataFrame | None = None, conflicts: DataFrame | None = None) -> DataFrame:
+    """Whether the dataset could support a learned ranker, with a code for every unmet requirement.
+
+    Equal records count once. ``rejects`` are records that validation refused, ``conflicts`` contexts with opposite
+    outcomes; one row of either keeps the gate shut. A dataset without ``ranker_version`` is unversioned.
+    """
+    records = records.distinct()
+    if "ranker_version" not in records.columns:
+        records = records.withColumn("ranker_version", F.lit(None).cast("string"))
     label = F.col("status").isin(*LABELLED)
+
+    def blank(name: str) -> Column:
+        return F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) == ""
+
     row = records.agg(
-        F.count_if(label).alias("n_labeled"), F.countDistinct("target_group").alias("n_groups"),
+        F.count_if(label).alias("n_labeled"), F.countDistinct(F.when(~blank("target_group"), F.col("target_group"))).alias("n_groups"),
         F.count_if(F.col("status") == "success").alias("n_success"), F.count_if(F.col("status") == "failed").alias("n_failed"),
-        F.count_if(label & F.col("target_group").isNull()).alias("no_group"))
+        F.count_if(label & blank("target_group")).alias("no_group"), F.count_if(label & blank("ranker_version")).alias("no_version"))
+    for name, other in (("n_conflicts", conflicts), ("n_rejected", rejects)):
+        row = row.withColumn(name, F.lit(0).cast("long")) if other is None else row.crossJoin(other.agg(F.count("*").alias(name)))
     decisive = F.col("n_success") + F.col("n_failed")
     minority = F.coalesce(F.least("n_success", "n_failed") / F.when(decisive > 0, decisive), F.lit(0.0))
     row = row.withColumn("minority_fraction", minority)
     unmet = F.array_compact(F.array(
-        F.when(F.col("n_labeled") < 100, "fewer than 100 labeled records"),
-        F.when(F.col("n_groups") < 10, "fewer than 10 target groups"),
-        F.when((F.col("n_success") < 25) | (F.col("n_failed") < 25), "fewer than 25 successes or 25 failures"),
-        F.when(F.col("minority_fraction") < 0.20, "outcome imbalance exceeds the 80/20 gate"),
-        F.when(F.col("no_group") > 0, "target_group missing from labeled records")))
+        F.when(F.col("n_labeled") < 100, "few_labeled"), F.when(F.col("n_groups") < 10, "few_groups"),
+        F.when((F.col("n_success") < 25) | (F.col("n_failed") < 25), "few_of_one_outcome"), F.when(F.col("minority_fraction") < 0.20, "imbalanced"),
+        F.when(F.col("no_group") > 0, "group_missing"), F.when(F.col("no_version") > 0, "version_missing"),
+        F.when(F.col("n_conflicts") > 0, "conflicts"), F.when(F.col("n_rejected") > 0, "rejects")))
     return row.withColumn("unmet", unmet).withColumn("allowed", F.size("unmet") == 0)
 
 

@@ -33,16 +33,19 @@ def new_snapshot_records(spark, folder):
 
 _COUNTS = _FRESH + """, c AS (SELECT item_id, count(*) FILTER (role = 'target') AS t, count(*) FILTER (role = 'target' AND has_probe AND ident < 85) AS lp,
   count(*) FILTER (role = 'off_target' AND (NOT has_probe OR ident >= 85)) AS os FROM calls JOIN fresh USING (doc_id) GROUP BY 1),
-dc AS (SELECT a.item_id, (SELECT count(*) FROM fresh WHERE role = 'target') AS nt, coalesce(t, 0) AS t, coalesce(lp, 0) AS lp, coalesce(os, 0) AS os FROM assays a LEFT JOIN c USING (item_id))"""
+dc AS (SELECT a.item_id, (SELECT count(*) FROM fresh WHERE role = 'target') AS nt, (SELECT count(*) FROM fresh WHERE role = 'off_target') AS no, (SELECT count(*) FROM subjects WHERE grp = 'en' AND doc_id % 10 >= 1) AS cur, coalesce(t, 0) AS t, coalesce(lp, 0) AS lp, coalesce(os, 0) AS os FROM assays a LEFT JOIN c USING (item_id))"""
 
 
-@query("drift_states", f"""WITH {_COUNTS} SELECT item_id, nt::BIGINT AS n_target, (nt - t)::BIGINT AS lost_product, lp::BIGINT AS lost_probe, os::BIGINT AS off_signal,
-  CASE WHEN os > 0 THEN 'Possible signal-generating off-target' WHEN nt - t > 0 OR lp > 0 THEN 'Possible target dropout' WHEN nt > 0 THEN 'Stable with new variation' ELSE 'Stable' END AS state FROM dc""")
+@query("drift_states", f"""WITH {_COUNTS} SELECT item_id, nt::BIGINT AS n_target, no::BIGINT AS n_off, (nt - t)::BIGINT AS lost_product, lp::BIGINT AS lost_probe, os::BIGINT AS off_signal,
+  CASE WHEN cur = 0 THEN 'Evidence insufficient' WHEN os > 0 THEN 'Possible signal-generating off-target' WHEN nt - t > 0 OR lp > 0 THEN 'Possible target dropout' WHEN nt + no > 0 THEN 'Stable with new variation' ELSE 'Stable' END AS state FROM dc""")
 def drift_states(spark, folder):
     fresh = fresh_records(spark, folder)
     out = D.drift_counts(X.assays(spark, folder), fresh, _scan(spark, folder, fresh), assay="item_id", record="doc_id")
-    state = R.drift_state(F.lit(True), F.lit(1), F.col("off_signal") > 0, (F.col("lost_product") > 0) | (F.col("lost_probe") > 0), F.col("n_target"))
-    return out.withColumn("state", state)
+    current = X.subjects(spark, folder).filter("grp = 'en' and doc_id % 10 >= 1").agg(F.count("*").alias("n_current"))
+    out = out.crossJoin(current)  # one row
+    # The scan reads both versions whole, so it is complete; additions on either side are new variation.
+    state = R.drift_state(F.lit(True), F.col("n_current"), F.col("off_signal") > 0, (F.col("lost_product") > 0) | (F.col("lost_probe") > 0), F.col("n_target") + F.col("n_off"))
+    return out.withColumn("state", state).drop("n_current")
 
 
 @query("vulnerability_records", f"""WITH {_FRESH}, r AS (SELECT item_id, f.doc_id, sha, CASE WHEN role = 'target' AND c.doc_id IS NULL THEN 'new_target_lost_coherent_product'

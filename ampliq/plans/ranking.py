@@ -141,20 +141,30 @@ def pareto_fronts(spark, folder):
     return R.pareto_fronts(rows, ["run"], "id", ["p_size", "p_retailprice", "name_len", "m4"]).select("run", "id", "front")
 
 
-@query("finalist_selection", f"""WITH {_RANKED}, v AS (SELECT *, f_start // 250 AS region FROM ranked WHERE hard_valid),
-w AS (SELECT run, min(rank) AS c1, arg_min(rank, (signal_subjects, product_subjects, rank)) AS c2,
-  arg_min(rank, (-target_coverage, -worst_3prime, rank)) AS c3, arg_min(rank, (-robustness, rank)) AS c4,
-  arg_min(rank, (amplicon, rank)) AS c5, arg_min(rank, (degeneracy_fold, rank)) AS c6, arg_min(rank, (panel_risk, rank)) AS c7 FROM v GROUP BY run),
-t AS (SELECT v.*, concat_ws(',', CASE WHEN rank = c1 THEN 'recommended_balanced' END, CASE WHEN rank = c2 THEN 'best_specificity' END,
-  CASE WHEN rank = c3 THEN 'best_inclusivity' END, CASE WHEN rank = c4 THEN 'most_condition_robust' END, CASE WHEN rank = c5 THEN 'best_short_amplicon' END,
-  CASE WHEN rank = c6 THEN 'minimal_degeneracy' END, CASE WHEN rank = c7 THEN 'best_multiplex_fit' END) AS cats FROM v JOIN w USING (run)),
-f AS (SELECT *, cats = '' AND NOT bool_or(cats <> '') OVER (PARTITION BY run, forward, reverse)
-  AND rank = min(rank) OVER (PARTITION BY run, forward, reverse) AS fresh, bool_or(cats <> '') OVER (PARTITION BY run, region) AS rwon FROM t),
-g AS (SELECT *, fresh AND NOT rwon AND rank = min(CASE WHEN fresh THEN rank END) OVER (PARTITION BY run, region) AS alt FROM f),
-h AS (SELECT *, CASE WHEN cats <> '' THEN 0 WHEN alt THEN 1 WHEN fresh THEN 2 ELSE 3 END AS tier FROM g),
-s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY tier, rank) AS slot FROM h)
-SELECT run, id, CASE tier WHEN 0 THEN cats WHEN 1 THEN 'alternate_region' WHEN 2 THEN 'alternate_primer_pair' ELSE 'alternate_probe' END AS label
-FROM s WHERE slot <= 10""")
+_PHASES = [("alternate_region", "AND NOT list_contains(pairs, c.pair) AND NOT list_contains(regions, c.region)"),
+           ("alternate_primer_pair", "AND NOT list_contains(pairs, c.pair)"), ("alternate_probe", "")]
+_TAKES = " OR ".join(f"(phase = {i} {test})" for i, (_, test) in enumerate(_PHASES))
+
+
+# The fill is sequential: a recursive walk over the candidates of a run, three times, with what is used so far.
+@query("finalist_selection", f"""WITH RECURSIVE {_RANKED}, v AS (SELECT *, (f_start // 250)::BIGINT AS region, forward || '|' || reverse AS pair,
+  row_number() OVER (PARTITION BY run ORDER BY rank) AS pos_no, count(*) OVER (PARTITION BY run) AS m FROM ranked WHERE hard_valid),
+w AS (SELECT run, [min(rank), arg_min(rank, (signal_subjects, product_subjects, rank)), arg_min(rank, (-target_coverage, -worst_3prime, rank)),
+  arg_min(rank, (-robustness, rank)), arg_min(rank, (amplicon, rank)), arg_min(rank, (degeneracy_fold, rank)), arg_min(rank, (panel_risk, rank))] AS won FROM v GROUP BY run),
+c0 AS (SELECT run, unnest(['recommended_balanced', 'best_specificity', 'best_inclusivity', 'most_condition_robust', 'best_short_amplicon', 'minimal_degeneracy',
+  'best_multiplex_fit']) AS cat, unnest(won) AS rank, unnest(range(7)) AS pos FROM w),
+c1 AS (SELECT c0.run, cat, pos, pair, region, first_value(c0.rank) OVER (PARTITION BY c0.run, pair ORDER BY pos) AS rank FROM c0 JOIN v ON v.run = c0.run AND v.rank = c0.rank),
+c2 AS (SELECT run, rank, string_agg(cat, ',' ORDER BY pos) AS label FROM c1 GROUP BY 1, 2),
+walk(run, phase, pos_no, ranks, labels, pairs, regions) AS (
+  SELECT run, 0, 1, list(rank ORDER BY rank), list(label ORDER BY rank), list(pair ORDER BY rank), list(region ORDER BY rank)
+  FROM c2 JOIN v USING (run, rank) GROUP BY run
+  UNION ALL SELECT run, CASE WHEN c.pos_no = c.m THEN phase + 1 ELSE phase END, CASE WHEN c.pos_no = c.m THEN 1 ELSE c.pos_no + 1 END,
+    CASE WHEN t THEN list_append(ranks, c.rank) ELSE ranks END, CASE WHEN t THEN list_append(labels, ['alternate_region', 'alternate_primer_pair', 'alternate_probe'][phase + 1]) ELSE labels END,
+    CASE WHEN t THEN list_append(pairs, c.pair) ELSE pairs END, CASE WHEN t THEN list_append(regions, c.region) ELSE regions END
+  FROM (SELECT walk.*, c, len(ranks) < 10 AND NOT list_contains(pairs, c.pair) AND ({_TAKES}) AS t FROM walk JOIN v c ON c.run = walk.run AND c.pos_no = walk.pos_no WHERE phase < 3) z),
+e AS (SELECT run, unnest(ranks) AS rank, unnest(labels) AS label FROM walk WHERE phase = 3),
+s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY rank) AS slot FROM e)
+SELECT s.run, id, label FROM s JOIN v USING (run, rank) WHERE slot <= 10""")
 def finalist_selection(spark, folder):
     return R.finalists(ranking(spark, folder), ["run"], 10).select("run", "id", "label")
 

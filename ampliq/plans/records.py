@@ -71,13 +71,15 @@ def pairwise_assay_votes(spark, folder):
 
 
 @query("calibration_gate", f"""WITH {_FEEDBACK}, g AS (SELECT count(*) AS n, count(DISTINCT target_group) AS k, count(*) FILTER (status = 'success') AS s,
-  count(*) FILTER (status = 'failed') AS f FROM feedback) SELECT n::BIGINT AS n_labeled, k::BIGINT AS n_groups, s::BIGINT AS n_success, f::BIGINT AS n_failed,
-  round(least(s, f) / (s + f)::DOUBLE, 6) AS minority_fraction, concat_ws(',', CASE WHEN n < 100 THEN 'fewer than 100 labeled records' END,
-  CASE WHEN k < 10 THEN 'fewer than 10 target groups' END, CASE WHEN least(s, f) < 25 THEN 'fewer than 25 successes or 25 failures' END,
-  CASE WHEN least(s, f) / (s + f)::DOUBLE < 0.2 THEN 'outcome imbalance exceeds the 80/20 gate' END) AS unmet FROM g""")
+  count(*) FILTER (status = 'failed') AS f FROM feedback), o AS (SELECT count(*) AS clash FROM (SELECT 1 FROM feedback GROUP BY assay_id, run_id HAVING count(DISTINCT status) > 1))
+SELECT n::BIGINT AS n_labeled, k::BIGINT AS n_groups, s::BIGINT AS n_success, f::BIGINT AS n_failed, clash::BIGINT AS n_conflicts, 0::BIGINT AS n_rejected,
+  round(least(s, f) / (s + f)::DOUBLE, 6) AS minority_fraction, concat_ws(',', CASE WHEN n < 100 THEN 'few_labeled' END, CASE WHEN k < 10 THEN 'few_groups' END,
+  CASE WHEN least(s, f) < 25 THEN 'few_of_one_outcome' END, CASE WHEN least(s, f) / (s + f)::DOUBLE < 0.2 THEN 'imbalanced' END,
+  CASE WHEN n > 0 THEN 'version_missing' END, CASE WHEN clash > 0 THEN 'conflicts' END) AS unmet FROM g, o""")
 def calibration_gate(spark, folder):
-    out = R.calibration_gate(feedback(spark, folder))
-    return out.select("n_labeled", "n_groups", "n_success", "n_failed", F.round("minority_fraction", 6).alias("minority_fraction"),
+    rows = feedback(spark, folder)
+    out = R.calibration_gate(rows, rows.filter(R.feedback_error(rows).isNotNull()), R.outcome_conflicts(rows, ["assay_id", "run_id"]))
+    return out.select("n_labeled", "n_groups", "n_success", "n_failed", "n_conflicts", "n_rejected", F.round("minority_fraction", 6).alias("minority_fraction"),
                       F.array_join("unmet", ",").alias("unmet"))
 
 

@@ -85,23 +85,36 @@ def test_skyline_with_many_blocks(spark):
 
 
 def test_finalists_equal_sequential_fill(spark):
-    rnd = random.Random(8)
-    rows = [("r", i + 1, rnd.random() < 0.8, rnd.randint(0, 1), rnd.randint(0, 2), rnd.choice([0.9, 1.0]), rnd.choice([0.8, 1.0]), rnd.choice([0.33, 1.0]),
-             rnd.randint(60, 99), rnd.choice([1, 2]), rnd.randint(0, 2), rnd.randint(0, 1500), f"F{rnd.randint(0, 6)}", f"R{rnd.randint(0, 3)}") for i in range(40)]
     names = ["run", "rank", "hard_valid", "signal_subjects", "product_subjects", "target_coverage", "worst_3prime", "robustness", "amplicon",
-             "degeneracy_fold", "panel_risk", "f_start", "forward", "reverse"]
-    got = [r["rank"] for r in R.finalists(spark.createDataFrame(rows, names), ["run"], 12).orderBy("rank").collect()]
-    valid = [dict(zip(names, r)) for r in rows if r[2]]
-    keys = [lambda x: x["rank"], lambda x: (x["signal_subjects"], x["product_subjects"], x["rank"]), lambda x: (-x["target_coverage"], -x["worst_3prime"], x["rank"]),
-            lambda x: (-x["robustness"], x["rank"]), lambda x: (x["amplicon"], x["rank"]), lambda x: (x["degeneracy_fold"], x["rank"]), lambda x: (x["panel_risk"], x["rank"])]
-    chosen = {min(valid, key=k)["rank"]: min(valid, key=k) for k in keys}
-    for need_region, need_pair in ((True, True), (False, True), (False, False)):
-        for x in valid:
-            pairs = {(c["forward"], c["reverse"]) for c in chosen.values()}
-            regions = {c["f_start"] // 250 for c in chosen.values()}
-            if len(chosen) < 12 and x["rank"] not in chosen and not (need_pair and (x["forward"], x["reverse"]) in pairs) and not (need_region and x["f_start"] // 250 in regions):
-                chosen[x["rank"]] = x
-    assert got == sorted(chosen)
+             "degeneracy_fold", "panel_risk", "f_start", "forward", "reverse", "probe"]
+    rows, expect = [], {}
+    # Few primers and regions: pairs come back in later regions, which the fill must notice. P2 in a new region beats rank 2.
+    for seed in range(25):
+        rnd = random.Random(seed)
+        own = [(f"r{seed}", i + 1, rnd.random() < 0.8, rnd.randint(0, 1), rnd.randint(0, 2), rnd.choice([0.9, 1.0]), rnd.choice([0.8, 1.0]), rnd.choice([0.33, 1.0]),
+                rnd.randint(60, 99), rnd.choice([1, 2]), rnd.randint(0, 2), rnd.randint(0, 1500), f"F{rnd.randint(0, 4)}", f"R{rnd.randint(0, 2)}", f"P{rnd.randint(0, 2)}")
+               for i in range(rnd.choice([5, 40, 120]))]
+        rows += own
+        valid = [dict(zip(names, r)) for r in own if r[2]]
+        keys = {"recommended_balanced": lambda x: x["rank"], "best_specificity": lambda x: (x["signal_subjects"], x["product_subjects"], x["rank"]),
+                "best_inclusivity": lambda x: (-x["target_coverage"], -x["worst_3prime"], x["rank"]), "most_condition_robust": lambda x: (-x["robustness"], x["rank"]),
+                "best_short_amplicon": lambda x: (x["amplicon"], x["rank"]), "minimal_degeneracy": lambda x: (x["degeneracy_fold"], x["rank"]),
+                "best_multiplex_fit": lambda x: (x["panel_risk"], x["rank"])}
+        ident, pair, region = (lambda x: (x["forward"], x["reverse"], x["probe"])), (lambda x: (x["forward"], x["reverse"])), (lambda x: x["f_start"] // 250)
+        chosen, label = {}, {}
+        for name, key in keys.items() if valid else ():
+            best = min(valid, key=key)
+            label.setdefault(chosen.setdefault(ident(best), best)["rank"], []).append(name)
+        for name, need_pair, need_region in (("alternate_region", True, True), ("alternate_primer_pair", True, False), ("alternate_probe", False, False)):
+            for x in valid:
+                if (len(chosen) < 12 and ident(x) not in chosen and not (need_pair and pair(x) in map(pair, chosen.values()))
+                        and not (need_region and region(x) in map(region, chosen.values()))):
+                    chosen[ident(x)] = x
+                    label[x["rank"]] = [name]
+        for rank in sorted(x["rank"] for x in chosen.values())[:12]:
+            expect[f"r{seed}", rank] = ",".join(label[rank])
+    got = {(r["run"], r["rank"]): r["label"] for r in R.finalists(spark.createDataFrame(rows, names), ["run"], 12).collect()}
+    assert got == expect
 
 
 def test_independent_set_is_maximal(spark):
