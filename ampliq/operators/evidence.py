@@ -38,37 +38,37 @@ def hard_failures(c: dict, objective: dict) -> Column:
 
     def primer(name: str, tm: str) -> list[Column]:
         s = col(name)
-        out = [F.when(~F.length(s).between(c["len_min"], c["len_max"]), "primer length outside chemistry limits"),
-               F.when(~S.gc_percent(s).between(c["gc_min"], c["gc_max"]), "primer GC outside chemistry limits"),
-               F.when(~col(tm).between(c["tm_min"], c["tm_max"]), "primer Tm outside chemistry limits"),
-               F.when(S.last5_gc(s) > c["max_3prime_gc"], "primer 3-prime GC clamp exceeds chemistry limit"),
-               F.when(S.longest_run(s, "G") >= c["max_g_run"], "G-run exceeds chemistry limit"),
-               F.when(S.longest_run(s) >= c["max_any_run"], "homopolymer run exceeds chemistry limit")]
+        out = [F.when(~F.length(s).between(c["len_min"], c["len_max"]), "primer_length"),
+               F.when(~S.gc_percent(s).between(c["gc_min"], c["gc_max"]), "primer_gc"),
+               F.when(~col(tm).between(c["tm_min"], c["tm_max"]), "primer_tm"),
+               F.when(S.last5_gc(s) > c["max_3prime_gc"], "primer_gc_clamp"),
+               F.when(S.longest_run(s, "G") >= c["max_g_run"], "primer_g_run"),
+               F.when(S.longest_run(s) >= c["max_any_run"], "primer_base_run")]
         if c["no_three_prime_t"]:
-            out.append(F.when(F.right(s, F.lit(1)) == "T", "3-prime terminal T prohibited by chemistry profile"))
+            out.append(F.when(F.right(s, F.lit(1)) == "T", "primer_ends_in_t"))
         return out
 
     checks = [
-        F.when(synth.rlike(f"[^{S.IUPAC_LETTERS}]"), "invalid synthesized-oligo base"),
-        F.when(F.instr(synth, "N") > 0, "unresolved N in synthesized oligo"),
+        F.when(synth.rlike(f"[^{S.IUPAC_LETTERS}]"), "invalid_base"),
+        F.when(F.instr(synth, "N") > 0, "unresolved_n"),
         F.when(~((col("f_start") < col("f_end")) & (col("f_end") <= col("r_start")) & (col("r_start") < col("r_end"))),
-               "incoherent primer geometry"),
-        F.when(~col("amplicon").between(c["amp_min"], c["amp_max"]), "amplicon outside declared limits"),
+               "geometry"),
+        F.when(~col("amplicon").between(c["amp_min"], c["amp_max"]), "amplicon_length"),
         F.when(F.coalesce(F.when(has_probe, col("signal_coverage")).otherwise(col("target_coverage")), F.lit(-1.0)) + 1e-12
-               < objective["min_target_coverage"], "target coverage below objective requirement"),
+               < objective["min_target_coverage"], "coverage_target"),
         F.when(has_probe & (F.coalesce(col("signal_coverage"), F.lit(0.0)) + 1e-12 < objective["min_probe_coverage"]),
-               "probe-bearing target coverage below objective requirement"),
-        F.when(col("fold") > objective["max_degeneracy_fold"], "degenerate pool exceeds objective limit"),
-        F.when(F.abs(col("f_tm") - col("r_tm")) > c["pair_tm_gap_max"], "primer Tm gap exceeds chemistry limit"),
+               "coverage_probe"),
+        F.when(col("fold") > objective["max_degeneracy_fold"], "degeneracy"),
+        F.when(F.abs(col("f_tm") - col("r_tm")) > c["pair_tm_gap_max"], "tm_gap"),
         *primer("forward", "f_tm"), *primer("reverse", "r_tm")]
     if objective["require_no_signal_offtargets"]:
-        checks.append(F.when(col("signal_subjects") > 0, "signal-generating off-target product predicted"))
+        checks.append(F.when(col("signal_subjects") > 0, "offtarget_signal"))
     if objective["require_no_product_offtargets"]:
-        checks.append(F.when(col("product_subjects") > 0, "off-target product predicted"))
+        checks.append(F.when(col("product_subjects") > 0, "offtarget_product"))
     if objective["require_junction"]:
-        checks.append(F.when(F.coalesce(col("junction_level"), F.lit("none")) != "strong", "required junction-spanning oligo absent"))
+        checks.append(F.when(F.coalesce(col("junction_level"), F.lit("none")) != "strong", "junction_absent"))
     if not c["no_probe"]:
-        checks.append(F.when(~has_probe, "probe required by chemistry profile"))
+        checks.append(F.when(~has_probe, "probe_absent"))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*checks))))
 
 

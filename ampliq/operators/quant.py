@@ -37,8 +37,8 @@ def dilution_series(starts: DataFrame, start: str, *, factor: float = 10.0, poin
 def point_errors(points: DataFrame) -> Column:
     """Reason a standard point is unusable; a null Cq is a non-detect, not an error."""
     q, c = F.col("quantity"), F.col("cq")
-    return (F.when(q.isNull() | F.isnan(q) | (q <= 0), "every standard quantity must be finite and greater than zero")
-            .when(c.isNotNull() & (F.isnan(c) | (c <= 0) | (c > 80)), "detected Cq values must be finite and in (0, 80]"))
+    return (F.when(q.isNull() | F.isnan(q) | (q <= 0), "quantity_not_positive")
+            .when(c.isNotNull() & (F.isnan(c) | (c <= 0) | (c > 80)), "cq_out_of_range"))
 
 
 def efficiency_from_slope(slope: Column) -> Column:

@@ -337,7 +337,7 @@ def reversed_pairs(left: DataFrame, right: DataFrame, run: list[str], key: str)
 
 # Evidence that an ablation neutralises, and the failure text it removes.
 ABLATIONS = {
-    "specificity": ({"signal_subjects": 0, "product_subjects": 0}, "off-target"),
+    "specificity": ({"signal_subjects": 0, "product_subjects": 0}, "offtarget"),
     "coverage": ({"target_coverage": 1.0, "worst_3prime": 1.0, "probe_identity": 1.0}, "coverage"),
     "three_prime": ({"worst_3prime": 1.0}, None), "probe": ({"probe_identity": 1.0}, None),
     "robustness": ({"robustness": 1.0}, None), "triplet": ({"triplet_penalty": 0.0, "worst_dimer": -3.0}, None),
@@ -352,7 +352,7 @@ def ablate(df: DataFrame, name: str) -> DataFrame:
     kinds = dict(df.dtypes)
     df = df.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in values.items()})
     if text:
-        df = df.withColumn("failures", F.filter("failures", lambda f: F.instr(f, text) == 0))
+        df = df.withColumn("failures", F.filter("failures", lambda f: ~F.startswith(f, F.lit(text))))
         df = df.withColumn("n_failures", F.size("failures").cast(kinds["n_failures"])).withColumn("hard_valid", F.col("n_failures") == 0)
     return df
 

@@ -31,25 +31,25 @@ def feedback_error(r: DataFrame) -> Column:
         text = F.col(name).cast("string")
         number = text.try_cast("double")
         given = text.isNotNull() & (F.trim(text) != "")
-        return (F.when(given & number.isNull(), f"{name} must be numeric")
-                .when(given & F.isnan(number), f"{name} must be finite")
-                .when(given & ~number.between(lo, hi), f"{name} must be in {lo:g}..{hi:g}"))
+        return (F.when(given & number.isNull(), f"{name}_not_numeric")
+                .when(given & F.isnan(number), f"{name}_not_finite")
+                .when(given & ~number.between(lo, hi), f"{name}_out_of_range"))
 
     present = set(r.columns)
-    checks = [F.when(~F.lower(F.trim("status")).isin(*STATUSES), "status must be a known state")]
+    checks = [F.when(~F.lower(F.trim("status")).isin(*STATUSES), "status_unknown")]
     if "designation" in present:
-        checks.append(F.when(~F.lower(F.trim("designation")).isin(*DESIGNATIONS), "designation must be a known state"))
+        checks.append(F.when(~F.lower(F.trim("designation")).isin(*DESIGNATIONS), "designation_unknown"))
     if "probe_signal_quality" in present:
-        checks.append(F.when(~F.lower(F.trim("probe_signal_quality")).isin(*SIGNALS, ""), "probe_signal_quality must be a known state"))
+        checks.append(F.when(~F.lower(F.trim("probe_signal_quality")).isin(*SIGNALS, ""), "probe_signal_quality_unknown"))
     limits = {"efficiency": (0, 300), "r2": (0, 1), "replicate_cv": (0, 500), "cq_at_declared_input": (0, 100)}
     checks += [outside(n, *v) for n, v in limits.items() if n in present]
     for n in ("nonspecific_products", "melt_peak_count"):
         if n in present:
             value = F.col(n).cast("string").try_cast("double")
             checks.append(F.when(F.col(n).isNotNull() & (value.isNull() | (value < 0) | (value != F.floor(value))),
-                                 f"{n} must be a non-negative integer"))
+                                 f"{n}_not_a_count"))
     labelled = F.lower(F.trim("status")).isin(*LABELLED)
-    checks.append(F.when(labelled & (F.coalesce(F.trim(F.col("assay_id").cast("string")), F.lit("")) == ""), "labeled feedback requires assay_id"))
+    checks.append(F.when(labelled & (F.coalesce(F.trim(F.col("assay_id").cast("string")), F.lit("")) == ""), "assay_missing"))
     return F.coalesce(*checks)
 
 
@@ -277,7 +277,7 @@ def contract_state(c: dict[str, Column]) -> Column:
 def objective_prerequisites(objective: Column, n_targets: Column, n_off: Column, n_panel: Column, n_junctions: Column) -> Column:
     """Evidence an objective needs that a run did not declare."""
     return F.array_compact(F.array(
-        F.when(objective.isin("discrimination", "confirmatory") & (n_off < 1), "off-target corpus"),
-        F.when((objective == "broad_inclusivity") & (n_targets < 2), "multiple representative target sequences"),
-        F.when((objective == "multiplex") & (n_panel < 1), "comparison panel"),
-        F.when((objective == "transcript_specific") & (n_junctions < 1), "declared exon-junction coordinates")))
+        F.when(objective.isin("discrimination", "confirmatory") & (n_off < 1), "off_target_corpus"),
+        F.when((objective == "broad_inclusivity") & (n_targets < 2), "several_targets"),
+        F.when((objective == "multiplex") & (n_panel < 1), "panel"),
+        F.when((objective == "transcript_specific") & (n_junctions < 1), "junction_coordinates")))

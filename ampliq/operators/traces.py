@@ -25,8 +25,8 @@ def trace_errors(trace: DataFrame, keys: list[str], min_points: int = 6) -> Data
     bad = F.isnan("fluor") | F.col("fluor").isNull() | F.col("cycle").isNull()
     facts = stepped.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(bad).alias("bad"), F.min("step").alias("step"))
     reason = (F.when(F.col("n") < min_points, F.lit(f"need >= {min_points} cycles of fluorescence"))
-              .when(F.col("bad"), "cycles and fluorescence must be finite")
-              .when(F.col("step") <= 0, "cycle values must be strictly increasing"))
+              .when(F.col("bad"), "trace_not_finite")
+              .when(F.col("step") <= 0, "cycles_not_increasing"))
     return facts.select(*keys, reason.alias("error")).filter("error is not null")
 
 

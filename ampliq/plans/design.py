@@ -315,15 +315,15 @@ def shared_isoform_blocks(spark, folder):
 
 @query("hard_failures", f"""WITH {X.ASSAYS}, o AS (SELECT item_id || 'f' AS k, forward AS oligo FROM assays UNION ALL SELECT item_id || 'r', reverse FROM assays), {nn_sql('o', 'k', 'oligo')}, {tm_sql()},
 a AS (SELECT a.item_id, forward, reverse, probe, f.tm AS ft, r.tm AS rt, length(t) AS amp FROM assays a JOIN templates USING (item_id) JOIN melt f ON f.k = a.item_id || 'f' JOIN melt r ON r.k = a.item_id || 'r'),
-e AS (SELECT item_id, unnest([CASE WHEN amp NOT BETWEEN 20 AND 75 THEN 'amplicon outside declared limits' END, CASE WHEN item_id % 4 * 0.25 < 0.9 THEN 'target coverage below objective requirement' END,
-  CASE WHEN probe IS NOT NULL AND item_id % 4 * 0.25 < 0.9 THEN 'probe-bearing target coverage below objective requirement' END,
-  CASE WHEN item_id % 3 = 0 THEN 'signal-generating off-target product predicted' END, CASE WHEN item_id % 3 <> 2 THEN 'off-target product predicted' END,
-  CASE WHEN abs(ft - rt) > 5 THEN 'primer Tm gap exceeds chemistry limit' END, CASE WHEN ft NOT BETWEEN 20 AND 60 OR rt NOT BETWEEN 20 AND 60 THEN 'primer Tm outside chemistry limits' END,
-  CASE WHEN right(forward, 1) = 'T' OR right(reverse, 1) = 'T' THEN '3-prime terminal T prohibited by chemistry profile' END,
-  CASE WHEN greatest(length(translate(right(forward, 5), 'AT', '')), length(translate(right(reverse, 5), 'AT', ''))) > 4 THEN 'primer 3-prime GC clamp exceeds chemistry limit' END,
-  CASE WHEN least(length(translate(forward, 'AT', '')), length(translate(reverse, 'AT', ''))) / 12 * 100 < 20 OR greatest(length(translate(forward, 'AT', '')), length(translate(reverse, 'AT', ''))) / 12 * 100 > 80 THEN 'primer GC outside chemistry limits' END,
-  CASE WHEN regexp_matches(forward, 'GGGG') OR regexp_matches(reverse, 'GGGG') THEN 'G-run exceeds chemistry limit' END,
-  CASE WHEN regexp_matches(forward, 'AAAA|CCCC|GGGG|TTTT') OR regexp_matches(reverse, 'AAAA|CCCC|GGGG|TTTT') THEN 'homopolymer run exceeds chemistry limit' END]) AS x FROM a)
+e AS (SELECT item_id, unnest([CASE WHEN amp NOT BETWEEN 20 AND 75 THEN 'amplicon_length' END, CASE WHEN item_id % 4 * 0.25 < 0.9 THEN 'coverage_target' END,
+  CASE WHEN probe IS NOT NULL AND item_id % 4 * 0.25 < 0.9 THEN 'coverage_probe' END,
+  CASE WHEN item_id % 3 = 0 THEN 'offtarget_signal' END, CASE WHEN item_id % 3 <> 2 THEN 'offtarget_product' END,
+  CASE WHEN abs(ft - rt) > 5 THEN 'tm_gap' END, CASE WHEN ft NOT BETWEEN 20 AND 60 OR rt NOT BETWEEN 20 AND 60 THEN 'primer_tm' END,
+  CASE WHEN right(forward, 1) = 'T' OR right(reverse, 1) = 'T' THEN 'primer_ends_in_t' END,
+  CASE WHEN greatest(length(translate(right(forward, 5), 'AT', '')), length(translate(right(reverse, 5), 'AT', ''))) > 4 THEN 'primer_gc_clamp' END,
+  CASE WHEN least(length(translate(forward, 'AT', '')), length(translate(reverse, 'AT', ''))) / 12 * 100 < 20 OR greatest(length(translate(forward, 'AT', '')), length(translate(reverse, 'AT', ''))) / 12 * 100 > 80 THEN 'primer_gc' END,
+  CASE WHEN regexp_matches(forward, 'GGGG') OR regexp_matches(reverse, 'GGGG') THEN 'primer_g_run' END,
+  CASE WHEN regexp_matches(forward, 'AAAA|CCCC|GGGG|TTTT') OR regexp_matches(reverse, 'AAAA|CCCC|GGGG|TTTT') THEN 'primer_base_run' END]) AS x FROM a)
 SELECT a.item_id, coalesce(string_agg(x, ',' ORDER BY x), '') AS failures FROM a LEFT JOIN e ON a.item_id = e.item_id AND x IS NOT NULL GROUP BY 1""")
 def hard_failures(spark, folder):
     a = X.assays(spark, folder).join(X.templates(spark, folder), "item_id")

@@ -257,8 +257,8 @@ SELECT run, arg_min(id, r)::BIGINT AS winner FROM (SELECT run, id, row_number()
 def evidence_ablation(spark, folder):
     """Winner per run once off-target evidence and its failures are taken away."""
     rows = candidates(spark, folder)
-    names = F.when(F.col("n_failures") == 2, F.array(F.lit("off-target product predicted"), F.lit("length"))).when(
-        F.col("n_failures") == 1, F.array(F.lit("off-target product predicted"))).otherwise(F.array().cast("array<string>"))
+    names = F.when(F.col("n_failures") == 2, F.array(F.lit("offtarget_product"), F.lit("length"))).when(
+        F.col("n_failures") == 1, F.array(F.lit("offtarget_product"))).otherwise(F.array().cast("array<string>"))
     out = R.ranked(R.keyed(R.ablate(rows.withColumn("failures", names), "specificity")), ["run"], ["f_start", "forward", "reverse", "id"])
     return out.filter("rank = 1").select("run", F.col("id").alias("winner"))
 

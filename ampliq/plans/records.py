@@ -24,8 +24,8 @@ def feedback(spark, folder):
                     (80.0 + F.col("o_totalprice") % 40).alias("efficiency"), (0.9 + (F.col("o_orderkey") % 100) / 1000.0).alias("r2"), (F.col("o_orderkey") % 40).alias("matrix"))
 
 
-@query("feedback_rejects", """SELECT CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status must be a known state'
-  WHEN o_totalprice / 1000 > 300 THEN 'efficiency must be in 0..300' ELSE 'labeled feedback requires assay_id' END AS error, count(*)::BIGINT AS n
+@query("feedback_rejects", """SELECT CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status_unknown'
+  WHEN o_totalprice / 1000 > 300 THEN 'efficiency_out_of_range' ELSE 'assay_missing' END AS error, count(*)::BIGINT AS n
 FROM orders WHERE o_orderstatus NOT IN ('F', 'O') OR o_totalprice / 1000 > 300 OR o_custkey % 9 = 0 GROUP BY 1""")
 def feedback_rejects(spark, folder):
     o = table(spark, folder, "orders").select(
@@ -236,9 +236,9 @@ def contract_comparison(spark, folder):
     return c.select("policy", "run", R.contract_state(checks).alias("state"))
 
 
-@query("objective_prerequisites", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 3 < 1 THEN 'off-target corpus' ELSE '' END
-  WHEN 1 THEN CASE WHEN o_custkey % 3 < 2 THEN 'multiple representative target sequences' ELSE '' END
-  WHEN 2 THEN CASE WHEN o_custkey % 3 < 1 THEN 'comparison panel' ELSE '' END ELSE CASE WHEN o_custkey % 3 < 1 THEN 'declared exon-junction coordinates' ELSE '' END END AS missing FROM orders""")
+@query("objective_prerequisites", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 3 < 1 THEN 'off_target_corpus' ELSE '' END
+  WHEN 1 THEN CASE WHEN o_custkey % 3 < 2 THEN 'several_targets' ELSE '' END
+  WHEN 2 THEN CASE WHEN o_custkey % 3 < 1 THEN 'panel' ELSE '' END ELSE CASE WHEN o_custkey % 3 < 1 THEN 'junction_coordinates' ELSE '' END END AS missing FROM orders""")
 def objective_prerequisites(spark, folder):
     o = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     names = F.array(*[F.lit(x) for x in ("confirmatory", "broad_inclusivity", "multiplex", "transcript_specific")])

@@ -199,8 +199,8 @@ def detection_limits(spark, folder):
 
 
 @query("standard_point_rejects", """SELECT l_linestatus AS run, CASE WHEN l_quantity - 5 <= 0
-    THEN 'every standard quantity must be finite and greater than zero'
-    ELSE 'detected Cq values must be finite and in (0, 80]' END AS error, count(*)::BIGINT AS points
+    THEN 'quantity_not_positive'
+    ELSE 'cq_out_of_range' END AS error, count(*)::BIGINT AS points
 FROM lineitem WHERE l_quantity - 5 <= 0 OR l_extendedprice / 1000 > 80 OR l_extendedprice / 1000 <= 0 GROUP BY 1, 2""")
 def standard_point_rejects(spark, folder):
     pts = table(spark, folder, "lineitem").select(

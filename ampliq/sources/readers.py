@@ -48,7 +48,7 @@ def read_cq_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     table = spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     names = table.columns
     if len(names) < 3 or names[0].lower() not in ("sample", "id", "name") or names[1].lower() not in ("group", "condition", "treatment"):
-        raise ValueError("header must be: sample, group, <gene1>, <gene2>, ...")
+        raise ValueError("a wide Cq table starts with a sample and a group column and has at least one gene column")
     ready = table.withColumnsRenamed({names[0]: "sample", names[1]: "grp"}).filter("sample is not null and sample <> ''")
     return wide_to_long(ready, ["sample", "grp"])
 
@@ -69,6 +69,7 @@ def read_gene_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return long.select("gene", "sample", "cq"), bad_cell.unionByName(twice).unionByName(uneven)
 
 
+# Fields of a feedback record.
 FEEDBACK = T.StructType([T.StructField(n, T.StringType()) for n in (
     "assay_id", "target_group", "design_run_id", "status", "designation", "ranker_version", "objective", "input_hash", "conditions",
     "efficiency", "r2", "replicate_cv", "cq_at_declared_input", "lod_observation", "nonspecific_products", "product_identity_method",
@@ -86,6 +87,7 @@ def read_feedback(spark: SparkSession, path: str, kind: str = "json") -> DataFra
     return docs.select(F.explode(F.coalesce("records", F.array(flat))).alias("r")).select("r.*")
 
 
+# Where exported runs keep their candidates.
 _RUN_FIELDS = ["candidates", "ranked_candidates", "finalists", "results", "rows", "designs"]
 
 

@@ -52,6 +52,7 @@ def write_snapshot(records: DataFrame, path: str, snapshot_id: str) -> None:
     records.write.mode("error").parquet(f"{path.rstrip('/')}/snapshot_id={snapshot_id}")
 
 
+# Columns of a plate sheet, in order.
 PLATE_FIELDS = ["well", "well_type", "candidate_id", "case_id", "case_role", "replicate", "expected", "observed", "cq",
                 "efficiency", "melt_abnormal", "unexpected_product", "probe_signal", "notes"]
 
@@ -61,6 +62,7 @@ def plate_sheet(wells: DataFrame) -> DataFrame:
                           for f in PLATE_FIELDS])
 
 
+# Columns of a panel report, in order.
 REPORT_FIELDS = ["name", "gene", "organism", "chemistry", "forward", "reverse", "probe", "amplicon_nt", "fwd_tm", "rev_tm", "probe_tm",
                  "specificity", "intron", "efficiency_pct", "r2", "validated_lod95", "lowest_fully_detected", "engine_version", "ranker_version",
                  "design_run_id", "manifest_sha256", "manifest_state", "objective", "candidate_rank", "preference_state", "evidence_state",
