@@ -18,23 +18,28 @@ from pyspark.sql import functions as F
 from ..session import table
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+UPPER = re.compile("[A-Z]+")
 GAP = re.compile("[ \t-\r]+")
+ODD_GAP = re.compile("[\t\v\f\r]|  ")
 
 
-def normalised(unit: str) -> str:
-    return GAP.sub(" ", unit.translate(LOWER)).strip(" ")
+def lowered(text: str) -> str:
+    """A-Z in lower case; other letters and all offsets stay."""
+    return text.lower() if text.isascii() else UPPER.sub(lambda m: m.group().lower(), text)
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
     """(start, end, normalised unit) of all lines and sentences of at least min_words words."""
     out, at = [], 0
+    text = lowered(text)
+    plain = not ODD_GAP.search(text)
     for line in text.split("\n"):
         spans = [(at, at + len(line))]
         inner = [(at + m.start(), at + m.end()) for m in SENTENCE.finditer(line)]
         spans += inner if inner != spans else []
         for start, end in spans:
-            unit = normalised(text[start:end])
+            unit = text[start:end] if plain else GAP.sub(" ", text[start:end])
+            unit = unit.strip(" ")
             if unit.count(" ") >= min_words - 1 and unit:
                 out.append((start, end, unit))
         at += len(line) + 1
