@@ -18,7 +18,7 @@ from . import text as tx
 from .langid import held_out
 from ..session import cut_lineage, table
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 ADD = 0.1
 
 
@@ -179,8 +179,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     return cls
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_words: int = 131_072, unit_words: int = 1000,
-          endings: int = 200, classes: int = 48) -> DataFrame:
+def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_words: int = 131_072, unit_words: int = 700,
+          endings: int = 150, classes: int = 48) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigram), score (class
     model), perplexity. `learn` says which rows are learned from; held_out is its negation.
 
