@@ -178,3 +178,36 @@ def test_wide_ranking_equals_plain_ranking(spark):
     df = spark.createDataFrame(rows, "run string, id int, rank_key array<double>")
     plain = {(r.run, r.id): r["rank"] for r in R.ranked(df, ["run"], ["id"]).collect()}
     assert {(r.run, r.id): r["rank"] for r in R.ranked_wide(df, ["run"], ["id"], slices=7).collect()} == plain
+
+
+def test_degenerate_oligos_beyond_the_cap_keep_a_row(spark):
+    rows = spark.createDataFrame([(1, "ACGTACGTACGTACGTACGT"), (2, "RCGTACGTACGTACGTACGT"), (3, "NNNNACGTACGTACGTACGT")], "id int, oligo string")
+    got = {r["id"]: r for r in T.resolved_range(rows, ["id"], "oligo").collect()}
+    assert [(got[i]["fold"], got[i]["capped"], got[i]["tm_min"] is None) for i in (1, 2, 3)] == [(1, False, False), (2, False, False), (256, True, True)]
+    assert got[1]["tm_min"] == got[1]["tm_max"] and got[2]["tm_min"] < got[2]["tm_max"]
+
+
+def test_short_oligos_are_placed(spark):
+    from ampliq.operators.products import best_seeded_hit
+    oligos = spark.createDataFrame([("seven", "ACGTTGC", "+"), ("six", "GGATCC", "+"), ("gone", "TTTTTTT", "+")], "name string, oligo string, on string")
+    subjects = spark.createDataFrame([(1, "AACCACGTTGCAACCGGATCCAA")], "doc int, seq string")
+    got = {r["name"]: (r["mm"], r["olen"]) for r in best_seeded_hit(oligos, subjects, ["name"], ["doc"]).collect()}
+    assert got == {"seven": (0, 7), "six": (0, 6)}
+
+
+def test_stability_ranks_every_gene(spark):
+    from ampliq.operators.expression import stability_ranking
+    genes = "abcdefgh"
+    rows = [("s", x, y, float((genes.index(x) + 1) * (genes.index(y) + 1))) for x in genes for y in genes if x != y]
+    got = sorted((r["place"], r["gene"]) for r in stability_ranking(spark.createDataFrame(rows, "study string, gene string, other string, v double"), ["study"]).collect())
+    assert got == [(1, "a"), (1, "b"), (3, "c"), (4, "d"), (5, "e"), (6, "f"), (7, "g"), (8, "h")]
+
+
+def test_reversals_of_very_large_ranks(spark):
+    rnd = random.Random(3)
+    left = [("r", i, i + 1) for i in range(30)]
+    right = [("r", i, rnd.randrange(1, 2 ** 40)) for i in range(30)]
+    kind = "run string, id int, rank long"
+    got = R.reversed_pairs(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), ["run"], "id").collect()
+    want = sum(1 for i in range(30) for j in range(i) if right[j][2] > right[i][2])
+    assert got[0]["n_reversed"] == want
