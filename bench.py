@@ -16,7 +16,7 @@ from ampliq.plans import all_queries  # noqa: E402
 HEADLINE = [
     "assay_amplification", "primer_site_counts", "target_coverage", "probe_identity", "inclusivity_by_group",
     "oligo_conservation", "drift_states", "snapshot_metrics", "cq_calls", "melt_products", "standard_curves",
-    "detection_limits", "fold_changes", "oligo_thermodynamics", "cross_dimer_pairs", "primer_gate_attrition",
+    "detection_limits", "fold_changes", "oligo_thermodynamics", "degenerate_resolutions", "primer_gate_attrition",
     "diverse_assay_beam", "candidate_ranking", "assay_evidence", "subject_properties",
 ]
 
