@@ -196,7 +196,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
                 .where(overlap * 100 >= (F.size("sa") + F.size("sb") - overlap) * percent).select("a", "b"))
 
     links, named = None, prefix.withColumn("root", F.col("dk"))
-    for turn in range(3):
+    for turn in range(2):
         # One leader per list: its centre, and from the second turn on the centre of what the first did not reach.
         lead = F.min(F.struct((-F.col("hub")).alias("far"), "dk", "n", "root"))
         lists = named.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), lead.alias("lead")).where("r0 <> r1").select("e", "lead")
