@@ -51,7 +51,9 @@ def tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, folder: str) -> DataFrame:
-    return tiles(spark, folder).groupBy("seq").agg(F.min("id").alias("id"))
+    distinct = tiles(spark, folder).groupBy("seq").agg(F.min("id").alias("id"))
+    # Few bytes but much work per oligo: keep the tasks that AQE would merge by size.
+    return distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
 
 
 SUBJECTS = """subjects AS (
