@@ -1,8 +1,10 @@
 """LM scoring with Brown classes: exchange clustering, class transitions and word emissions.
 
-Word counts cover the whole training corpus and stay a distributed table. Clustering works on units: each of the most
-frequent words is one, rarer words share one per ending. A text's probability needs the counts of its own words only:
-frequent ones come from a table of bounded size, the rest from a join on the word.
+Word counts cover the whole training corpus and stay a distributed table. A core of the most frequent words is clustered
+by exchange among units: each core word is one, other words share one per ending. Every other word of the training corpus
+then goes to the class that its own neighbours make likeliest. Only words never learned from keep the class of their ending. A text's
+probability needs the counts and classes of its own words only: frequent ones come from a table of bounded size, the rest
+from a join on the word.
 """
 
 from __future__ import annotations
@@ -46,10 +48,11 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class Units:
-    """Frequent words by hash (sorted), their counts, and the unit of each word."""
+    """Frequent words by hash (sorted), their counts, the unit of each core word (-1 outside the core) and of each ending."""
     keys: np.ndarray
     counts: np.ndarray
     unit: np.ndarray
+    shared: np.ndarray
     endings: int
     frequent: int
 
@@ -94,7 +97,7 @@ def frequent_units(counts: DataFrame, *, table_words: int, unit_words: int, endi
         least = row["l"]
     got = counts.where(level >= least).toPandas() if least is not None else None
     if got is None or not len(got):
-        return Units(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), endings, 0)
+        return Units(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, endings, 0)
     got = got.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     arr = pa.array(got["word"], pa.string())
     offsets, data = tx.buffers(arr)
@@ -102,7 +105,9 @@ def frequent_units(counts: DataFrame, *, table_words: int, unit_words: int, endi
     rank = np.arange(len(h))
     frequent = min(unit_words, len(h))
     order = np.argsort(h)
-    return Units(h[order], got["c"].to_numpy()[order], np.where(rank < frequent, rank, -1)[order], endings, frequent)
+    units = Units(h[order], got["c"].to_numpy()[order], np.where(rank < frequent, rank, -1)[order], np.zeros(0, np.int64), endings, frequent)
+    units.shared = units.ending(data, offsets[:-1], offsets[1:])[order]
+    return units
 
 
 def bigrams(texts: DataFrame, column: str, units: Units) -> np.ndarray:
@@ -179,6 +184,127 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     return cls
 
 
+def transitions(steps: np.ndarray) -> np.ndarray:
+    """log10 of the smoothed chance of each class after each class."""
+    classes = len(steps)
+    prior = (steps.sum(axis=0) + 1) / (steps.sum() + classes)
+    smooth = ADD * classes
+    return np.log10((steps + smooth * prior) / (steps.sum(axis=1, keepdims=True) + smooth))
+
+
+@dataclass
+class Classes:
+    """Class of each unit and of each word of the table."""
+    units: Units
+    unit: np.ndarray
+    word: np.ndarray
+
+    def of(self, data, starts, ends, place: np.ndarray) -> np.ndarray:
+        """Classes of words; outside the table that of the ending."""
+        known = place >= 0
+        out = self.unit[self.units.ending(data, starts, ends)]
+        out[known] = self.word[place[known]]
+        return out
+
+
+def assigned(texts: DataFrame, column: str, start: Classes, steps: np.ndarray) -> DataFrame:
+    """(h, place, k, c): class and count of every word outside the core, named by its hash; place in the table or -1.
+
+    A word's contexts are the counts of its neighbours' classes in `start` on either side. It joins the class under
+    which they are likeliest, transitions and class sizes held fixed.
+    """
+    units, n = start.units, len(steps)
+    free = np.append(units.unit < 0, True)
+
+    def rows(h, key, c):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "key", "c"])
+
+    def count(batches):
+        # Contexts of the table's words are summed over the task: at most 2 * classes cells a word.
+        held = np.zeros(len(units.keys) * 2 * n, np.int32)
+        for _, offsets, data in tx.slices(batches, column):
+            data, starts, ends, first, h = _words(offsets, data)
+            if not len(starts):
+                continue
+            place = units.find(h)
+            line = np.zeros(len(starts) + len(first), np.int64)
+            at = np.arange(len(starts)) + np.repeat(np.arange(1, len(first)), np.diff(first))
+            line[at] = start.of(data, starts, ends, place)
+            for mine in (np.flatnonzero(free[place] & (place >= 0)), np.flatnonzero(place < 0)):
+                some, name = (None, place[mine]) if not len(mine) or place[mine[0]] >= 0 else np.unique(h[mine], return_inverse=True)
+                code = np.concatenate([name * 2 * n + line[at[mine] + 1], name * 2 * n + n + line[at[mine] - 1]])
+                code, times = np.unique(code, return_counts=True)
+                if some is None:
+                    held[code] += times.astype(np.int32)
+                else:
+                    yield rows(some[code // (2 * n)], code % (2 * n), times)
+        code = np.flatnonzero(held)
+        for i in range(0, len(code), 1 << 17):
+            part = code[i:i + (1 << 17)]
+            yield rows(units.keys[part // (2 * n)], part % (2 * n), held[part])
+
+    change, size = transitions(steps), np.log10(steps.sum(axis=0) + 1)
+    gain = np.concatenate([change.T, change - size])  # followed by class k, then preceded by class k
+
+    def best(batches):
+        for batch in batches:
+            m, keys, times = batch.num_rows, batch.column(1), batch.column(2)
+            row = np.repeat(np.arange(m), np.diff(keys.offsets.to_numpy()))
+            seen = np.bincount(row * 2 * n + keys.flatten().to_numpy(), times.flatten().to_numpy(), m * 2 * n).reshape(m, 2 * n)
+            # Class 0 is that of text ends.
+            to = (seen @ gain[:, 1:]).argmax(axis=1) + 1
+            place = units.find(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array(to), pa.array(seen[:, :n].sum(axis=1).astype(np.int64))],
+                                             ["h", "place", "k", "c"])
+
+    # Tasks have summed already, so one shuffle on the word serves both groupings.
+    cells = texts.select(column).mapInArrow(count, "h long, key int, c long").repartition("h").groupBy("h", "key").agg(F.sum("c").alias("c"))
+    each = cells.groupBy("h").agg(F.collect_list(F.struct("key", "c")).alias("x")).select("h", "x.key", "x.c")
+    return cut_lineage(each.mapInArrow(best, "h long, place long, k long, c long"))
+
+
+def _joined(pairs: DataFrame, rare: DataFrame) -> DataFrame:
+    """Pairs of neighbours (a, a_word, b, b_word, ...) with the classes of words outside the table put in; others have no word."""
+    known = rare.select(F.col("h").alias("_name"), F.col("k").alias("_k"))
+    for side, other in (("a", "b"), ("b", "a")):
+        # Rows without a word on this side must not meet in one task; the flag keeps them from matching.
+        pairs = pairs.withColumns({"_on": F.coalesce(f"{side}_word", f"{other}_word", F.lit(0)), "_is": F.col(f"{side}_word").isNotNull()}) \
+            .join(known, F.col("_on") == F.col("_name"), "left") \
+            .withColumn(side, F.when(F.col("_is"), F.coalesce("_k", side)).otherwise(F.col(side))).drop("_on", "_is", "_name", "_k")
+    return pairs
+
+
+def class_steps(texts: DataFrame, column: str, cls: Classes, rare: DataFrame, classes: int) -> np.ndarray:
+    """classes x classes counts of neighbours over all texts; at most classes ** 2 rows leave Spark."""
+    units = cls.units
+
+    def count(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for _, offsets, data in tx.slices(batches, column, SLICE):
+            data, starts, ends, first, h = _words(offsets, data)
+            place = units.find(h)
+            line = np.zeros(len(starts) + len(first), np.int64)
+            outside, name = np.zeros(len(line), bool), np.zeros(len(line), np.int64)
+            at = np.arange(len(starts)) + np.repeat(np.arange(1, len(first)), np.diff(first))
+            line[at], outside[at], name[at] = cls.of(data, starts, ends, place), place < 0, h.view(np.int64)
+            loose = outside[:-1] | outside[1:]
+            total += np.bincount((line[:-1] * classes + line[1:])[~loose], minlength=classes * classes)
+            i = np.flatnonzero(loose)
+            names = [pa.array(name[j], mask=~outside[j]) for j in (i, i + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(line[i]), names[0], pa.array(line[i + 1]), names[1], pa.array(np.ones(len(i), np.int64))],
+                                             ["a", "a_word", "b", "b_word", "c"])
+        some = np.flatnonzero(total)
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(some // classes), none, pa.array(some % classes), none, pa.array(total[some])],
+                                         ["a", "a_word", "b", "b_word", "c"])
+
+    pairs = texts.select(column).mapInArrow(count, "a long, a_word long, b long, b_word long, c long")
+    out = np.zeros((classes, classes))
+    for a, b, c in _joined(pairs, rare).groupBy("a", "b").agg(F.sum("c")).collect():
+        out[a, b] = c
+    return out
+
+
 def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_words: int = 131_072, unit_words: int = 700,
           endings: int = 150, classes: int = 48) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigram), score (class
@@ -197,25 +323,19 @@ def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_w
     units = frequent_units(counts, table_words=table_words, unit_words=unit_words, endings=endings)
     pairs = bigrams(corpus, "t", units)
     # The edge before the first text of a slice and behind its last one stand for one text end between any two texts.
-    cls = exchange(pairs, classes)
-    one = np.eye(classes)[cls]
-    steps = one.T @ pairs @ one
-    prior = (steps.sum(axis=0) + 1) / (steps.sum() + classes)
-    smooth = ADD * classes
-    change = np.log10((steps + smooth * prior) / (steps.sum(axis=1, keepdims=True) + smooth))
-
-    def shapes(batches):
-        for batch in batches:
-            offsets, data = tx.buffers(batch.column(0))
-            offsets, data = offsets - offsets[0], data[offsets[0]:offsets[-1]]
-            u = units.of(data, offsets[:-1], offsets[1:], units.find(tx.word_hashes(data, offsets[:-1], offsets[1:])))
-            c = cls[u]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(np.bincount(c, batch.column(1).to_numpy(), classes)),
-                                              pa.array(np.bincount(c, minlength=classes))], ["k", "c", "v"])
-
-    mass, kinds = np.zeros(classes), np.zeros(classes)
-    for k, c, v in counts.mapInArrow(shapes, "k long, c double, v long").groupBy("k").agg(F.sum("c"), F.sum("v")).collect():
-        mass[k], kinds[k] = c, v
+    unit_class = exchange(pairs, classes)
+    one = np.eye(classes)[unit_class]
+    cls = Classes(units, unit_class, unit_class[np.where(units.unit >= 0, units.unit, units.shared)])
+    found = assigned(corpus, "t", cls, one.T @ pairs @ one)
+    for place, k in found.where("place >= 0").select("place", "k").collect():  # at most table_words rows
+        cls.word[place] = k
+    beyond = found.where("place < 0").select("h", "k", "c")
+    change = transitions(class_steps(corpus, "t", cls, beyond, classes))
+
+    mass, kinds = np.bincount(cls.word, units.counts, classes), np.bincount(cls.word, minlength=classes).astype(float)
+    for k, c, v in beyond.groupBy("k").agg(F.sum("c"), F.count("*")).collect():
+        mass[k] += c
+        kinds[k] += v
     below = np.log10(mass + ADD * (kinds + 1))
     # The class of text ends holds nothing else: its emission is certain.
     edge_count, table_log = np.log10(n_texts + ADD), np.log10(units.counts + ADD)
@@ -227,15 +347,22 @@ def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_w
             owner = np.repeat(np.arange(m), np.diff(first))
             place = units.find(h)
             known = place >= 0
-            c = cls[units.of(data, starts, ends, place)]
+            c = cls.of(data, starts, ends, place)
             line = np.zeros(len(c) + m, np.int64)
             mine = np.concatenate([[0], np.cumsum(np.diff(first) + 1)])
             line[np.arange(len(c)) + owner] = c
             prev = np.empty_like(line)
             prev[1:] = line[:-1]
             prev[mine[:-1]] = 0
-            moves = np.add.reduceat(change[prev, line], mine[:-1]) if m else np.zeros(0)
-            model = moves - np.bincount(owner, below[c], m)
+            # Steps from or to words outside the table, and their emissions, follow from the joins.
+            where = np.arange(len(c)) + owner
+            outside = np.zeros(len(line), bool)
+            outside[where[~known]] = True
+            loose = outside.copy()
+            loose[1:] |= outside[:-1]
+            loose[mine[:-1]] = outside[mine[:-1]]
+            moves = np.add.reduceat(np.where(loose, 0.0, change[prev, line]), mine[:-1]) if m else np.zeros(0)
+            model = moves - np.bincount(owner[known], below[c[known]], m)
             tally = np.bincount(owner[known], table_log[place[known]], m)
             sure = np.bincount(owner[known], minlength=m)
             rare = np.flatnonzero(~known)
@@ -245,25 +372,43 @@ def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_w
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(order)))
             lists = np.searchsorted(owner[order[at]], np.arange(m + 1)).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(lists), _spelled(data, starts[order[at]], ends[order[at]]))
+            words = pa.ListArray.from_arrays(pa.array(lists), pa.array(h[order[at]].view(np.int64)))
             often = pa.ListArray.from_arrays(pa.array(lists), pa.array(times))
+            kind = pa.ListArray.from_arrays(pa.array(lists), pa.array(c[order[at]]))
+            # Ends of a loose step: a class, or `classes` + place in the text's list of words.
+            sign = line.copy()
+            sign[where[order]] = classes + np.cumsum(new) - 1 - lists[owner[order]]
+            i = np.flatnonzero(loose)
+            before = np.where(np.isin(i, mine[:-1]), 0, sign[i - 1])
+            ends_at = np.searchsorted(i, mine).astype(np.int32)
+            moved = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(before << 32 | sign[i]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(first) + 1), pa.array(sure),
-                                              pa.array(tally), pa.array(model), words, often],
-                                             ["rid", "id", "held_out", "n", "sure", "tally", "model", "words", "times"])
+                                              pa.array(tally), pa.array(model), words, often, kind, moved],
+                                             ["rid", "id", "held_out", "n", "sure", "tally", "model", "words", "times", "ks", "moves"])
 
     kind = dict(docs.dtypes)[id_col]
     scored = cut_lineage(rows.mapInArrow(run, f"rid long, id {kind}, held_out boolean, n long, sure long, tally double, model double, "
-                                              "words array<string>, times array<long>"))
-    rare = (scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w"))
-            .select("rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-            .join(counts, "word", "left")
-            .groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"),
+                                              "words array<long>, times array<long>, ks array<long>, moves array<long>"))
+    emit = F.element_at(F.array(*[F.lit(float(x)) for x in below]), (F.coalesce("k", "own") + 1).cast("int"))
+    rare = (scored.select("rid", F.explode(F.arrays_zip("words", "times", "ks")).alias("w"))
+            .select("rid", F.col("w.words").alias("h"), F.col("w.times").alias("times"), F.col("w.ks").alias("own"))
+            .join(beyond, "h", "left")
+            .groupBy("rid").agg(F.sum(F.col("times") * emit).alias("emitted"),
+                                F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"),
                                 F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("found")))
+    plain = lambda x: x < classes
+    side = lambda x: (F.when(plain(x), x).otherwise(F.get("ks", (x - classes).cast("int"))),
+                      F.when(~plain(x), F.get("words", (x - classes).cast("int"))))
+    names = ("a", "a_word", "b", "b_word")
+    ends = lambda x: [c.alias(n) for c, n in zip((*side(F.shiftright(x, 32)), *side(x.bitwiseAND(F.lit(2 ** 32 - 1)))), names)]
+    loose = scored.select("rid", F.explode(F.transform("moves", lambda x: F.struct(*ends(x)))).alias("p")).select("rid", "p.*")
+    step = F.element_at(F.array(*[F.lit(float(x)) for x in change.ravel()]), (F.col("a") * classes + F.col("b") + 1).cast("int"))
+    stepped = _joined(loose, beyond).groupBy("rid").agg(F.sum(step).alias("stepped"))
     whole = F.col("tally") + F.coalesce("more", F.lit(0.0))
     tokens = F.col("n")
     each = float(np.log10(n_all + ADD * (n_words + 1)))
-    result = (whole + F.col("model"))
-    return scored.join(rare, "rid", "left").select(
+    result = whole + F.col("model") + F.coalesce("stepped", F.lit(0.0)) - F.coalesce("emitted", F.lit(0.0))
+    return scored.join(rare, "rid", "left").join(stepped, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", tokens.alias("n_tokens"),
         (F.col("sure") + F.coalesce("found", F.lit(0)) + F.lit(1 if n_texts else 0)).cast("long").alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),

@@ -171,6 +171,23 @@ def test_unigram_base_and_class_model(docs, rows, none):
     assert brown.score(none, "doc_id", "text", F.lit(True)).count() == 0
 
 
+def test_words_outside_the_core_have_classes_of_their_own(spark):
+    # Nouns and verbs end alike, so their ending says nothing; only their neighbours do.
+    rnd = np.random.default_rng(4)
+    nouns, verbs = [f"{a}{b}nos" for a in "abcdefgh" for b in "aeiou"], [f"{a}{b}nos" for a in "klmpqrtv" for b in "aeiou"]
+    made = [(i, " ".join(f"the {rnd.choice(nouns)} must {rnd.choice(verbs)} now" for _ in range(4))) for i in range(400)]
+    asked = [(1000, f"the {nouns[3]} must {verbs[5]} now"), (1001, f"the {verbs[5]} must {nouns[3]} now"), (1002, "the never must unseen now"), (1003, "")]
+    frame = spark.createDataFrame(made + asked, "doc_id long, text string").repartition(3)
+    run = lambda words: {r["doc_id"]: r for r in brown.score(
+        frame, "doc_id", "text", F.col("doc_id") < 1000, table_words=words, unit_words=20, endings=5, classes=6).collect()}
+    few, all_ = run(25), run(1000)
+    assert few[1000]["n_known"] == few[1001]["n_known"] == 6
+    assert all_[1000]["score"] > all_[1001]["score"] + 1
+    # Whether a word's class comes from the table or from the join makes no difference.
+    assert len(few) == len(all_) == 404
+    assert all(few[i]["score"] == pytest.approx(all_[i]["score"], abs=1e-9) for i in few)
+
+
 def test_exchange_finds_alternating_classes():
     pairs = np.zeros((9, 9), np.int64)
     for i in range(4):
