@@ -275,9 +275,15 @@ def _joined(pairs: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def class_steps(texts: DataFrame, column: str, cls: Classes, rare: DataFrame, classes: int) -> np.ndarray:
-    """classes x classes counts of neighbours over all texts; at most classes ** 2 rows leave Spark."""
+    """classes x classes counts of neighbours over all texts; at most 3 * classes ** 2 rows leave Spark.
+
+    Steps with a word outside the table on one side are rows (h, null, side), on both sides (h, next, 2 * classes).
+    """
     units = cls.units
 
+    def rows(h, to, side, c):
+        return pa.RecordBatch.from_arrays([h, to, pa.array(side.astype(np.int32)), pa.array(c)], ["h", "to", "side", "c"])
+
     def count(batches):
         total = np.zeros(classes * classes, np.int64)
         for _, offsets, data in tx.slices(batches, column, SLICE):
@@ -287,21 +293,28 @@ def class_steps(texts: DataFrame, column: str, cls: Classes, rare: DataFrame, cl
             outside, name = np.zeros(len(line), bool), np.zeros(len(line), np.int64)
             at = np.arange(len(starts)) + np.repeat(np.arange(1, len(first)), np.diff(first))
             line[at], outside[at], name[at] = cls.of(data, starts, ends, place), place < 0, h.view(np.int64)
-            loose = outside[:-1] | outside[1:]
-            total += np.bincount((line[:-1] * classes + line[1:])[~loose], minlength=classes * classes)
-            i = np.flatnonzero(loose)
-            names = [pa.array(name[j], mask=~outside[j]) for j in (i, i + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(line[i]), names[0], pa.array(line[i + 1]), names[1], pa.array(np.ones(len(i), np.int64))],
-                                             ["a", "a_word", "b", "b_word", "c"])
+            a, b = outside[:-1], outside[1:]
+            total += np.bincount((line[:-1] * classes + line[1:])[~(a | b)], minlength=classes * classes)
+            i = np.flatnonzero(a | b)
+            side = np.where(a[i] & b[i], 2 * classes, np.where(a[i], line[i + 1], classes + line[i]))
+            yield rows(pa.array(np.where(a[i], name[i], name[i + 1])), pa.array(name[i + 1], mask=~(a[i] & b[i])), side, np.ones(len(i), np.int64))
         some = np.flatnonzero(total)
         none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(some // classes), none, pa.array(some % classes), none, pa.array(total[some])],
-                                         ["a", "a_word", "b", "b_word", "c"])
+        # Sums of the steps inside the table.
+        yield rows(none, none, -1 - some, total[some])
 
-    pairs = texts.select(column).mapInArrow(count, "a long, a_word long, b long, b_word long, c long")
+    steps = texts.select(column).mapInArrow(count, "h long, to long, side int, c long")
+    first = steps.join(rare.select("h", F.col("k").alias("a")), "h", "left").groupBy("a", "to", "side").agg(F.sum("c").alias("c"))
+    second = first.join(rare.select(F.col("h").alias("to"), F.col("k").alias("b")), "to", "left").groupBy("a", "b", "side").agg(F.sum("c"))
     out = np.zeros((classes, classes))
-    for a, b, c in _joined(pairs, rare).groupBy("a", "b").agg(F.sum("c")).collect():
-        out[a, b] = c
+    for a, b, side, c in second.collect():
+        if side < 0:
+            a, b = divmod(-1 - side, classes)
+        elif side < classes:
+            b = side
+        elif side < 2 * classes:
+            a, b = side - classes, a
+        out[a, b] += c
     return out
 
 
