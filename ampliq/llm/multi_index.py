@@ -71,14 +71,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, *, cosine: float = 0.93, recall: float = 0.995,
-                    sample: int = 20_000, queries: int = 512, per_cell: float = 8.0, max_codes: int = 1024, block: int = 512) -> DataFrame:
+                    sample: int = 20_000, queries: int = 512, per_cell: float = 8.0, max_codes: int = 1024, block: int = 512,
+                    enough: int = 128) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (least id reachable), kept.
 
     Rows are compared when their labels are equal and not null and their vectors equally long. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing. Equal vectors of a label link and are searched
     once. Repeated rows and ids are separate rows; a null id is the least only where no other is reachable. Empty
     input: no rows. Extra columns are not read. The codebooks are fitted on about `sample` rows chosen by hash and the
-    visits on about `queries` of them against all rows; every row is indexed.
+    visits on turns of `queries` of them against all rows, at most 8, until `enough` have a partner; every row is indexed.
 
     Skew: a cell with more than `block` vectors is cut into blocks; visitors are streamed past a block, links are
     counted there and only edges of a spanning forest leave it, never the pairs of a group.
@@ -94,7 +95,7 @@ def near_duplicates(vectors: DataFrame, id_col: str, vector_col: str, label_col:
         .select("rid", "lead", "k")
     found = None
     for size, n in sorted((r[0], r[1]) for r in distinct.groupBy(F.size("v")).count().collect()):
-        some = _links(distinct.where(F.size("v") == size), size, n, cosine, recall, sample, queries, per_cell, max_codes, block)
+        some = _links(distinct.where(F.size("v") == size), size, n, cosine, recall, sample, queries, per_cell, max_codes, block, enough)
         found = some if found is None else found.unionAll(some)
     if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -113,46 +114,69 @@ def _hash_share(ident: Column, share: float) -> Column:
     return F.abs(F.xxhash64(ident)) / F.lit(float(2 ** 63)) < share
 
 
-def _links(distinct: DataFrame, size: int, n: int, cosine: float, recall: float, sample: int, queries: int, per_cell: float,
-           max_codes: int, block: int) -> DataFrame:
-    """(node, other, n): edges of a spanning forest (other set) and links of a node by number of rows (other null)."""
-    got = distinct.where(_hash_share(F.col("rid"), sample / n)).select("rid", "room", "v").orderBy("rid").toPandas()
-    if not len(got):
-        got = distinct.select("rid", "room", "v").orderBy("rid").limit(1).toPandas()
-    x = np.stack(got["v"].to_list()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rng, cut = np.random.default_rng(3), max(1, size // 2)
-    k = int(min(max_codes, max(2, round((n / per_cell) ** 0.5))))
-    halves = (codebook(x[:, :cut], k, rng), codebook(x[:, cut:], k, rng) if size > 1 else np.zeros((1, 0)))
-    grid = Grid(halves)
-    asked = np.arange(min(len(x), queries))
-    q, q_room = x[asked], got["room"].to_numpy()[asked]
+def visits_for(places: list[list[tuple[int, int]]], recall: float) -> int:
+    """Least number of cells that reaches the mean recall over queries, each given by (place, count) of its true partners.
+
+    Every query weighs the same, however many partners it has.
+    """
+    if not places:
+        return 0
+    at = np.concatenate([[p for p, _ in one] for one in places])
+    share = np.concatenate([np.array([c for _, c in one]) / sum(c for _, c in one) for one in places]) / len(places)
+    order = np.argsort(at, kind="stable")
+    reached = np.cumsum(share[order]) >= recall - 1e-9
+    return int(at[order][reached.argmax() if reached.any() else -1]) + 1
+
+
+def _ranks(distinct: DataFrame, grid: Grid, q: np.ndarray, q_rid: np.ndarray, q_room: np.ndarray, cosine: float) -> DataFrame:
+    """(query, place, c): places, in each query's order of cells, of the cells of its true partners, itself left out."""
     qa, qb = grid.distances(q)
-    cells = qa.shape[1] * qb.shape[1]
-    flat = np.sort((qa[:, :, None] + qb[:, None, :]).reshape(len(q), -1), axis=1) if cells * len(q) <= 4e7 else None
+    flat = np.sort((qa[:, :, None] + qb[:, None, :]).reshape(len(q), -1), axis=1) if qa.shape[1] * qb.shape[1] * len(q) <= 4e7 else None
 
     def ranks(batches):
-        """Place, in each query's order of cells, of the cell of every true partner."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y, room = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            hit = (q @ y.T >= cosine) & (q_room[:, None] == room[None, :])
+            y, room, rid = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            hit = (q @ y.T >= cosine) & (q_room[:, None] == room[None, :]) & (q_rid[:, None] != rid[None, :])
             i, j = np.nonzero(hit)
             own = grid.cells(y[j]) if len(j) else np.zeros(0, np.int64)
             at = qa[i, own // qb.shape[1]] + qb[i, own % qb.shape[1]] if len(j) else np.zeros(0)
             place = [int(np.searchsorted(flat[a], d - 1e-12)) if flat is not None else int((qa[a][:, None] + qb[a][None, :] < d - 1e-12).sum())
                      for a, d in zip(i.tolist(), at.tolist())]
-            value, count = np.unique(np.array(place, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], ["place", "c"])
-
-    tally = distinct.select("room", "v").mapInArrow(ranks, "place long, c long").groupBy("place").agg(F.sum("c").alias("c")).orderBy("place").collect()
-    total, seen = sum(r["c"] for r in tally), 0
-    for r in tally:
-        seen += r["c"]
-        grid.visits = max(8, r["place"] + 1)
-        if seen >= recall * total:
-            break
+            both, count = np.unique(np.stack([i, np.array(place, np.int64)], axis=1).reshape(-1, 2), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(count)], ["query", "place", "c"])
+
+    return distinct.select("room", "v", "rid").mapInArrow(ranks, "query long, place long, c long").groupBy("query", "place").agg(F.sum("c").alias("c"))
+
+
+def _links(distinct: DataFrame, size: int, n: int, cosine: float, recall: float, sample: int, queries: int, per_cell: float,
+           max_codes: int, block: int, enough: int) -> DataFrame:
+    """(node, other, n): edges of a spanning forest (other set) and links of a node by number of rows (other null)."""
+    got = distinct.where(_hash_share(F.col("rid"), sample / n)).select("rid", "room", "v").orderBy("rid").toPandas()
+    if not len(got):
+        got = distinct.select("rid", "room", "v").orderBy("rid").limit(1).toPandas()
+    x = np.stack(got["v"].to_list()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rng, cut = np.random.default_rng(3), max(1, size // 2)
+    k = int(min(max_codes, max(2, round((n / per_cell) ** 0.5))))
+    halves = (codebook(x[:, :cut], k, rng), codebook(x[:, cut:], k, rng) if size > 1 else np.zeros((1, 0)))
+    grid = Grid(halves)
+    # The sample is a hash choice over the whole table; queries are taken from it in random order, not in that of the ids.
+    turns, places = np.random.default_rng(5).permutation(len(x)), {}
+    rids, rooms = got["rid"].to_numpy(), got["room"].to_numpy()
+    cells = len(halves[0]) * len(halves[1])
+    done = 0
+    while done < len(turns) and len(places) < min(enough, queries) and done < 8 * queries:
+        asked = turns[done:done + queries]
+        done += len(asked)
+        q, q_rid, q_room = x[asked], rids[asked], rooms[asked]
+        for r in _ranks(distinct, grid, q, q_rid, q_room, cosine).collect():
+            places.setdefault(int(q_rid[r["query"]]), []).append((r["place"], r["c"]))
+    grid.visits = max(8, visits_for(list(places.values()), recall))
+    if len(places) < min(enough, queries) and done < n:
+        # Too few queries have a partner to set a number by.
+        grid.visits = max(grid.visits, 64)
     grid.visits = int(min(grid.visits, cells))
 
     def assign(batches):

@@ -147,6 +147,29 @@ def test_embedding_links(spark):
     assert multi_index.near_duplicates(frame.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+def test_small_groups_are_found_beside_a_huge_one(spark):
+    rnd = np.random.default_rng(7)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    huge = unit(unit(rnd.normal(size=(1, 16))) + 0.01 * rnd.normal(size=(1500, 16)))
+    one = unit(rnd.normal(size=(1500, 16)))
+    side = rnd.normal(size=one.shape)
+    side = unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    two = 0.935 * one + math.sqrt(1 - 0.935 ** 2) * side
+    x = np.concatenate([huge, one, two])
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(frame, "vec_id", "embedding", "label").collect()}
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    small = range(1500, 4500)
+    assert sum(got[i] for i in small) >= 0.985 * want[1500:].sum()
+    assert sum(got[i] for i in range(1500)) >= 0.985 * want[:1500].sum()
+
+
+def test_visits_weigh_queries_alike():
+    # A query with many partners nearby must not hide one whose only partner is far.
+    assert multi_index.visits_for([[(0, 1000)], [(30, 1)]], 0.995) == 31
+    assert multi_index.visits_for([], 0.995) == 0
+
+
 def test_multi_sequence_order():
     rnd = np.random.default_rng(0)
     grid = multi_index.Grid((rnd.normal(size=(9, 3)), rnd.normal(size=(7, 3))), visits=20)
