@@ -159,8 +159,7 @@ def designed_assays(spark, folder):
             .withColumn("tm", T.melting_temperature(F.col("oligo")))
             .withColumn("runs", D.I.stable_runs(F.col("oligo"), -2.0)))
     made = D.pair_primers(kept, ["item_id"], SHORT)
-    top = D.top_per_key(made, ["item_id"], [F.col("score"), F.col("forward"), F.col("reverse"), F.col("f_start"), F.col("r_end")], 300)
-    beam = D.retain_diverse_pairs(top, ["item_id"], limit=8, region=20).filter("decision = 'retained'")
+    beam = D.retain_diverse_pairs(made, ["item_id"], limit=8, region=20).filter("decision = 'retained'")
     return beam.select("item_id", "f_start", "r_end", "forward", "reverse", "amplicon", "dimer", F.round("score", 6).alias("score"))
 
 

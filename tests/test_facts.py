@@ -211,3 +211,18 @@ def test_reversals_of_very_large_ranks(spark):
     got = R.reversed_pairs(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), ["run"], "id").collect()
     want = sum(1 for i in range(30) for j in range(i) if right[j][2] > right[i][2])
     assert got[0]["n_reversed"] == want
+
+
+def test_designed_assays_choose_among_all_pairs(spark):
+    from ampliq.functions import thermo
+    from ampliq.operators import design
+    from ampliq.plans import design as plan, shapes
+    folder = "/root/testdata/sf0.001"
+    wins = design.enumerate_windows(shapes.templates(spark, folder), ["item_id"], "t", 12, 13)
+    kept = (wins.filter(design.primer_rejection(F.col("oligo"), plan.SHORT).isNull())
+            .withColumns({"tm": thermo.melting_temperature(F.col("oligo")), "runs": design.I.stable_runs(F.col("oligo"), -2.0)}))
+    pairs = design.pair_primers(kept, ["item_id"], plan.SHORT)
+    want = design.retain_diverse_pairs(pairs, ["item_id"], limit=8, region=20).filter("decision = 'retained'")
+    key = ["item_id", "f_start", "r_end", "forward", "reverse"]
+    got = plan.designed_assays(spark, folder)
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
