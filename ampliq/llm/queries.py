@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, lines, mixing, multi_index, ngram_join, secrets, suffixes, toxicity
+from . import brown, decontam, langid, lines, middle, mixing, multi_index, ngram_join, quality, resample, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_language_id": (langid.op1_language_id, None),
@@ -15,4 +15,7 @@ QUERIES = {
     "op7_line_dedup": (lines.op7_line_dedup, lines.SQL),
     "op8_ngram_jaccard": (ngram_join.op8_ngram_jaccard, ngram_join.SQL),
     "op9_bucket_pointers": (suffixes.op9_bucket_pointers, suffixes.SQL),
+    "op11_rank_index_middle": (middle.op11_rank_index_middle, middle.SQL),
+    "op12_target_resampling": (resample.op12_target_resampling, resample.SQL),
+    "op13_positive_unlabelled": (quality.op13_positive_unlabelled, None),
 }
