@@ -164,21 +164,6 @@ def melting_temperature(col: Column, cond: Conditions = Conditions()) -> Column:
     return tm_from_sums(col, enthalpy(col), entropy(col), cond)
 
 
-def resolved_range(oligos: DataFrame, keys: list[str], oligo: str, *, cap: int = 64) -> DataFrame:
-    """Lowest and highest melting temperature over all resolutions of a degenerate oligo.
-
-    Every oligo gives a row: one with more than ``cap`` resolutions is flagged ``capped`` and has no range.
-    """
-    from . import seq as S
-
-    rows = oligos.select(*keys, F.col(oligo).alias("oligo")).withColumn("fold", S.degeneracy_fold(F.col("oligo")))
-    within = F.col("fold") <= cap
-    each = rows.withColumn("seq", F.explode(F.when(within, S.resolutions(F.col("oligo"))).otherwise(F.array(F.lit(None).cast("string")))))
-    each = each.withColumn("tm", melting_temperature(F.col("seq")))
-    return (each.groupBy(*keys, "fold").agg(F.min("tm").alias("tm_min"), F.max("tm").alias("tm_max"))
-            .withColumn("capped", F.col("fold") > cap))
-
-
 def free_energy(dh: Column, ds: Column, kelvin: float = 310.15) -> Column:
     return dh - kelvin * ds / 1000.0
 

@@ -102,19 +102,21 @@ def diverse_pair_beam(spark, folder):
     return out.select("item_id", "f_start", "r_end", "decision")
 
 
-_PROBED = f"""{_SCORED}, t4 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, forward, reverse, f_start, r_end) AS rn FROM sp),
-pw AS (SELECT * FROM wins JOIN melt USING (oligo) WHERE e - s = 12 AND NOT contains(left(oligo, 3), 'G')
+_PROBED = f"""{_SCORED}, pw AS (SELECT * FROM wins JOIN melt USING (oligo) WHERE e - s = 12 AND NOT contains(left(oligo, 3), 'G')
   AND length(oligo) - length(replace(oligo, 'C', '')) >= length(oligo) - length(replace(oligo, 'G', '')) AND {_GRUN} < 4 AND {_RUN} < 4),
-trip AS (SELECT t4.*, pw.oligo AS probe, pw.strand AS p_strand, pw.s AS p_start, pw.e AS p_end, pw.tm - greatest(f_tm, r_tm) AS off FROM t4 JOIN pw
-  ON t4.item_id = pw.item_id AND t4.f_end <= pw.s AND pw.e <= t4.r_start WHERE rn <= 12 AND pw.tm - greatest(f_tm, r_tm) BETWEEN -30 AND 20)"""
+trip AS (SELECT sp.*, pw.oligo AS probe, pw.strand AS p_strand, pw.s AS p_start, pw.e AS p_end, pw.tm - greatest(f_tm, r_tm) AS off FROM sp JOIN pw
+  ON sp.item_id = pw.item_id AND sp.f_end <= pw.s AND pw.e <= sp.r_start WHERE pw.tm - greatest(f_tm, r_tm) BETWEEN -30 AND 20)"""
 
 
-def triplets(spark, folder):
-    order = [F.col("score"), F.col("forward"), F.col("reverse"), F.col("f_start"), F.col("r_end")]
-    best = D.top_per_key(pairs(spark, folder).withColumn("score", F.round("score", 6)), ["item_id"], order, 12)
+def probes(spark, folder):
     wins = D.enumerate_windows(spread(X.templates(spark, folder), "item_id"), ["item_id"], "t", 12, 12)
-    probes = wins.filter(D.probe_rejection(F.col("oligo"), SHORT).isNull()).withColumn("tm", T.melting_temperature(F.col("oligo")))
-    return D.attach_probes(best, probes, ["item_id"], SHORT)
+    return wins.filter(D.probe_rejection(F.col("oligo"), SHORT).isNull()).withColumn("tm", T.melting_temperature(F.col("oligo")))
+
+
+def triplets(spark, folder):
+    """Every pair with every probe between its primers; limits belong to the beams."""
+    made = pairs(spark, folder).withColumn("score", F.round("score", 6))
+    return D.attach_probes(made, probes(spark, folder), ["item_id"], SHORT)
 
 
 @query("probe_candidates", f"""WITH {_PROBED} SELECT item_id, forward, reverse, probe, p_strand, p_start::BIGINT AS p_start, round(off, 4) AS "offset" FROM trip""")

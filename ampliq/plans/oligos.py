@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..functions import thermo as T
 from ..operators import interactions as I
+from ..operators import melting_range as M
 from ..session import spread, table
 from . import shapes as X
 from .registry import query
@@ -112,10 +113,25 @@ r AS (SELECT id, a.base || b.base || c.base || substr(oligo, 4) AS seq FROM d JO
 SELECT id, count(*)::BIGINT AS fold, round(min(tm), 3) AS tm_min, round(max(tm), 3) AS tm_max, false AS capped FROM melt GROUP BY id""")
 def degenerate_resolutions(spark, folder):
     oligo = F.concat(F.translate(F.left("seq", F.lit(3)), "ACGT", "RYSW"), F.substr("seq", F.lit(4), F.lit(100)))
-    out = T.resolved_range(X.pool(spark, folder).select("id", oligo.alias("oligo")), ["id"], "oligo")
+    out = M.resolved_range(X.pool(spark, folder).select("id", oligo.alias("oligo")), ["id"], "oligo")
     return out.select("id", "fold", F.round("tm_min", 3).alias("tm_min"), F.round("tm_max", 3).alias("tm_max"), "capped")
 
 
+_WIDE = "translate(left(oligo, 6), 'ACGT', 'RYSW') || 'NN' || substr(oligo, 9)"
+
+
+@query("degenerate_tm_range", f"""WITH RECURSIVE {X.ASSAYS}, o AS (SELECT DISTINCT {_WIDE} AS oligo FROM (SELECT forward AS oligo FROM assays UNION ALL SELECT reverse FROM assays) z),
+codes(code, base) AS (VALUES ('R', 'A'), ('R', 'G'), ('Y', 'C'), ('Y', 'T'), ('S', 'C'), ('S', 'G'), ('W', 'A'), ('W', 'T'), ('N', 'A'), ('N', 'C'), ('N', 'G'), ('N', 'T')),
+r(oligo, done, k) AS (SELECT oligo, '', 0 FROM o UNION ALL SELECT oligo, done || base, k + 1 FROM r JOIN codes ON code = oligo[k + 1] WHERE k < 8),
+f AS (SELECT row_number() OVER () AS id, oligo, done || substr(oligo, 9) AS seq FROM r WHERE k = 8), {nn_sql('f', 'id', 'seq')}, {tm_sql()}
+SELECT oligo, count(*)::DOUBLE AS fold, round(min(tm), 3) AS tm_min, round(max(tm), 3) AS tm_max FROM melt JOIN f USING (id) GROUP BY 1""")
+def degenerate_tm_range(spark, folder):
+    """Ranges of primers with a thousand forms and more each."""
+    oligo = F.concat(F.translate(F.left("oligo", F.lit(6)), "ACGT", "RYSW"), F.lit("NN"), F.substr("oligo", F.lit(9), F.lit(100)))
+    rows = X.assay_oligos(spark, folder).select(oligo.alias("oligo")).distinct()
+    return M.tm_extremes(rows, ["oligo"], "oligo").select("oligo", "fold", F.round("tm_min", 3).alias("tm_min"), F.round("tm_max", 3).alias("tm_max"))
+
+
 _RUNS = f"""{X.POOL}, {_STEP_CTE}, lens AS (SELECT id, seq, unnest(generate_series(1, length(seq) - 1)) AS i FROM pool),
 spans AS (SELECT id, seq, i, unnest(generate_series(2, length(seq) - i + 1)) AS k FROM lens),
 spos AS (SELECT id, i, k, substr(seq, i, k) AS run, unnest(generate_series(1, k - 1)) AS p FROM spans),

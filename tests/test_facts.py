@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ampliq.functions import thermo as T
 from ampliq.operators import expression as X
 from ampliq.operators import interactions as I
+from ampliq.operators import melting_range as M
 from ampliq.operators import quant as Q
 from ampliq.operators import ranking as R
 from ampliq.operators import redesign as RD
@@ -182,7 +183,7 @@ def test_wide_ranking_equals_plain_ranking(spark):
 
 def test_degenerate_oligos_beyond_the_cap_keep_a_row(spark):
     rows = spark.createDataFrame([(1, "ACGTACGTACGTACGTACGT"), (2, "RCGTACGTACGTACGTACGT"), (3, "NNNNACGTACGTACGTACGT")], "id int, oligo string")
-    got = {r["id"]: r for r in T.resolved_range(rows, ["id"], "oligo").collect()}
+    got = {r["id"]: r for r in M.resolved_range(rows, ["id"], "oligo").collect()}
     assert [(got[i]["fold"], got[i]["capped"], got[i]["tm_min"] is None) for i in (1, 2, 3)] == [(1, False, False), (2, False, False), (256, True, True)]
     assert got[1]["tm_min"] == got[1]["tm_max"] and got[2]["tm_min"] < got[2]["tm_max"]
 
