@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .components import components
 from .decontam import _near
+from .scratch import forget, tidy
 from ..session import cut_lineage, table
 
 SLICE = 4 << 20
@@ -195,7 +196,9 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
         return (pairs.join(left, "a").join(right, "b")
                 .where(overlap * 100 >= (F.size("sa") + F.size("sb") - overlap) * percent).select("a", "b"))
 
-    links, named = None, prefix.withColumn("root", F.col("dk"))
+    forget(alive)
+    tidy(spark)
+    links, named, parts = None, prefix.withColumn("root", F.col("dk")), []
     for turn in range(2):
         # One leader per list: its centre, and from the second turn on the centre of what the first did not reach.
         lead = F.min(F.struct((-F.col("hub")).alias("far"), "dk", "n", "root"))
@@ -205,10 +208,15 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
         pairs = (named.join(lists, "e").where(F.col("root") != F.col("lead.root"))
                  .select(F.col("dk").alias("a"), F.col("n").alias("na"), F.col("lead.dk").alias("b"), F.col("lead.n").alias("nb")))
         found = cut_lineage(verify(pairs))
+        parts.append(found)
         links = found if links is None else links.unionAll(found)
         roots = components(links, "a", "b")
+        last = named
         named = cut_lineage(prefix.join(roots.withColumnRenamed("node", "dk"), "dk", "left").withColumn("root", F.coalesce("root", "dk"))
                             .select("dk", "n", "hub", "e", "root"))
+        if turn:
+            forget(last)
+    forget(prefix)
     # What is left: lists that still hold several components. The side outside the largest one meets all others.
     sizes = named.groupBy("e", "root").agg(F.count("*").alias("k"))
     main = (sizes.groupBy("e").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("m")).where("roots > 1")
@@ -222,8 +230,10 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
     near = differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     pairs = outside.join(others, (outside["e"] == others["e"]) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits & near)
     pairs = pairs.select("a", "na", "b", "nb")
-    links = links.unionAll(cut_lineage(verify(pairs)))
-    roots = components(links, "a", "b").withColumnRenamed("node", "dk")
+    parts.append(cut_lineage(verify(pairs)))
+    forget(named, sets)
+    roots = components(links.unionAll(parts[-1]), "a", "b").withColumnRenamed("node", "dk")
+    forget(*parts)
     joined = rows.join(roots, "dk", "left").withColumn("root", F.coalesce("root", "dk"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "dk")
     least = joined.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"), F.min(place).alias("first"))

@@ -15,10 +15,11 @@ from ..session import cut_lineage, table
 ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
           r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: kind, pattern, group that holds the value. A longer run than the least length is the same leftmost match, so the
-#: bounds of access and hex stand in the pattern; that of assign is checked after matching. A token has at most 16
-#: letters before its first digit, which keeps the search linear in runs of any length.
+#: bounds of access and hex stand in the pattern; that of assign is checked after matching. A bare token is a whole run of
+#: the letters of an assign value but for `=`, with a digit in it; runs are entered at their start alone, so the search is
+#: linear in runs of any length.
 KINDS = (("assign", ASSIGN, 2), ("access", "AKIA[A-Z0-9]{16,}", 0), ("hex", "[0-9a-f]{24,}", 0),
-         ("token", "[A-Za-z+/_-]{0,16}+[0-9][A-Za-z0-9+/_-]{7,}", 0))
+         ("token", "(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{6,}+", 0))
 BASE = 3
 
 
@@ -33,9 +34,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
     """One row per input row: id, repo, owner, digest (md5 of the text) and `spans`, an array of (start, kind_no, kind, end, value_sha, repos,
     owners, live) ordered by start, then kind. Positions are code points, end exclusive.
 
-    kind_no below 3: base spans (assign, access, hex), leftmost non-overlapping per kind. `token`: a bare token equal
-    to the value of a base span that is live and outside every base span of its text. live: fewer than `copied_from`
-    owners hold the value. Null texts are empty; null repositories and owners each count as one. Repeated rows stay
+    kind_no below 3: base spans (assign, access, hex), leftmost non-overlapping per kind. `token`: a bare token that equals,
+    dots and `=` at the end aside, the value of a base span that is live, and lies outside every base span of its text; it
+    has at least six characters, a letter and a digit. Values without a digit are words too and are not looked for bare,
+    nor are values with `=` inside. live: fewer than `copied_from` owners hold the value. Null texts are empty; null repositories and owners each count as one. Repeated rows stay
     separate rows. Empty input: no rows. Extra columns are not read.
 
     Skew: a value in a third of all rows is first reduced to one row per (value, repository, owner) by partial
@@ -62,11 +64,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
     ends = F.sum(F.col("g") + length).over(order)
     kind = F.element_at(F.array(*[F.lit(k) for k, *_ in KINDS]), F.col("no") + 1)
     value = F.when(F.col("no") == 0, F.regexp_extract("m", ASSIGN, 2)).otherwise(F.col("m"))
+    core = F.regexp_replace("value", "[.=]+$", "")
+    bare = F.when(F.col("no") < BASE, F.col("end")).otherwise(F.col("start") + F.length("core"))
     placed = (hits.where(F.col("no").isNotNull())
-              .withColumns({"end": ends.cast("long"), "start": (ends - length).cast("long"), "kind": kind, "value": value})
+              .withColumns({"end": ends.cast("long"), "start": (ends - length).cast("long"), "kind": kind, "value": value}).withColumn("core", core)
               .where((F.col("no") != 0) | (F.length("value") >= 6))
-              .where((F.col("no") < BASE) | (F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]")))
-              .select("rid", "repo", "owner", "no", "kind", "start", "end", F.sha2("value", 256).alias("sha")))
+              .where((F.col("no") < BASE) | ((F.length("core") >= 6) & F.col("core").rlike("[0-9]") & F.col("core").rlike("[A-Za-z]")))
+              .select("rid", "repo", "owner", "no", "kind", "start", bare.cast("long").alias("end"), F.sha2("value", 256).alias("sha"),
+                      F.sha2("core", 256).alias("core_sha")))
     base = placed.where(F.col("no") < BASE)
     holders = base.groupBy("sha", "repo", "owner").agg(F.lit(1).alias("one"))
     by_owner = holders.groupBy("sha", "owner").agg(F.count("*").alias("pairs"))
@@ -74,9 +79,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
              .join(by_owner.groupBy("sha").agg(F.count("*").alias("owners")), "sha")
              .withColumn("live", F.col("owners") < copied_from))
     spans = F.struct("start", F.col("no").alias("kind_no"), "kind", "end", F.col("sha").alias("value_sha"), "repos", "owners", "live")
+    # Values that differ in dots or padding at their end are looked for together.
+    sought = (base.select("sha", "core_sha").distinct().join(owned.where("live"), "sha").groupBy("core_sha")
+              .agg(F.max("repos").alias("repos"), F.max("owners").alias("owners"), F.lit(True).alias("live")))
+    found = (base.join(owned, "sha").select("rid", spans.alias("span"))
+             .unionByName(placed.where(F.col("no") == BASE).join(sought, "core_sha").select("rid", spans.alias("span"))))
     # One list per row of the input: base spans and bare tokens of live values.
-    lists = (placed.join(owned, "sha").where((F.col("no") < BASE) | F.col("live"))
-             .groupBy("rid").agg(F.array_sort(F.collect_list(spans)).alias("all")))
+    lists = found.groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("all"))
     kept = F.filter("all", lambda t: (t["kind_no"] < BASE) | ~F.exists(
         F.filter("all", lambda b: b["kind_no"] < BASE), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     heads = hits.groupBy("rid").agg(F.first("id").alias("id"), F.first("repo").alias("repo"), F.first("owner").alias("owner"), F.first("digest").alias("digest"))
@@ -127,20 +136,21 @@ def op3_secret_ownership(spark, folder: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 p(no, kind, pat) AS (VALUES (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
-  (1, 'access', 'AKIA[A-Z0-9]{16,}'), (2, 'hex', '[0-9a-f]{24,}'), (3, 'token', '[A-Za-z+/_-]{0,16}[0-9][A-Za-z0-9+/_-]{7,}')),
+  (1, 'access', 'AKIA[A-Z0-9]{16,}'), (2, 'hex', '[0-9a-f]{24,}'), (3, 'token', '[A-Za-z0-9+/_.-]{6,}')),
 x AS (SELECT rid, no, kind, pat, unnest(range(1, len(m) + 1)) AS pos, m, g FROM (
   SELECT rid, 0 AS no, 'assign' AS kind, (SELECT pat FROM p WHERE no = 0) AS pat, regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
     string_split_regex(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g FROM d
   UNION ALL SELECT rid, 1, 'access', '', regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}'), string_split_regex(t, 'AKIA[A-Z0-9]{16,}') FROM d
   UNION ALL SELECT rid, 2, 'hex', '', regexp_extract_all(t, '[0-9a-f]{24,}'), string_split_regex(t, '[0-9a-f]{24,}') FROM d
-  UNION ALL SELECT rid, 3, 'token', '', regexp_extract_all(t, '[A-Za-z+/_-]{0,16}[0-9][A-Za-z0-9+/_-]{7,}'), string_split_regex(t, '[A-Za-z+/_-]{0,16}[0-9][A-Za-z0-9+/_-]{7,}') FROM d) z),
+  UNION ALL SELECT rid, 3, 'token', '', regexp_extract_all(t, '[A-Za-z0-9+/_.-]{6,}'), string_split_regex(t, '[A-Za-z0-9+/_.-]{6,}') FROM d) z),
 y AS (SELECT rid, no, kind, m[pos] AS v, sum(length(g[pos]) + length(m[pos])) OVER (PARTITION BY rid, no ORDER BY pos)::BIGINT AS e,
         CASE WHEN no = 0 THEN regexp_extract(m[pos], pat, 2) ELSE m[pos] END AS value FROM x),
-f AS (SELECT y.*, e - length(v) AS s, d.source FROM y JOIN d USING (rid) WHERE (no <> 0 OR length(value) >= 6)
-        AND (no < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
-o AS (SELECT value, count(DISTINCT coalesce('+' || source, '-')) AS owners FROM f WHERE no < 3 GROUP BY value),
-k AS (SELECT f.*, owners FROM f JOIN o USING (value) WHERE no < 3 OR (owners < 3 AND NOT EXISTS (
-        SELECT 1 FROM f b WHERE b.rid = f.rid AND b.no < 3 AND b.s < f.e AND f.s < b.e))),
+f AS (SELECT y.* REPLACE (CASE WHEN no < 3 THEN e ELSE e - length(v) + length(core) END AS e), e - length(v) AS s, d.source
+        FROM (SELECT *, regexp_replace(value, '[.=]+$', '') AS core FROM y) y JOIN d USING (rid) WHERE (no <> 0 OR length(value) >= 6)
+        AND (no < 3 OR (length(core) >= 6 AND regexp_matches(core, '[0-9]') AND regexp_matches(core, '[A-Za-z]')))),
+o AS (SELECT value, any_value(core) AS core, count(DISTINCT coalesce('+' || source, '-')) AS owners FROM f WHERE no < 3 GROUP BY value),
+k AS (SELECT f.*, owners FROM f JOIN o USING (value) WHERE no < 3 UNION ALL SELECT f.*, 1 AS owners FROM f WHERE no = 3 AND core IN (SELECT core FROM o WHERE owners < 3)
+        AND NOT EXISTS (SELECT 1 FROM f b WHERE b.rid = f.rid AND b.no < 3 AND b.s < f.e AND f.s < b.e)),
 a AS (SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans, count(*) FILTER (owners < 3) AS n_live FROM k GROUP BY rid)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import oracle
 import texts as X
 import corpus_pipeline
-from ampliq.llm import mixing, secrets
+from ampliq.llm import mixing
 from ampliq.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,18 +63,16 @@ def test_repeated_bytes(spark, docs):
 
 
 def redacted(rows):
-    """Brute-force secrets stage; token spans as the operator defines them."""
+    """Brute-force secrets stage: the values themselves are searched for."""
     owners, out = defaultdict(set), []
     for _, t, _, s in rows:
         for *_, value in X.base_spans(t):
             owners[value].add(s)
+    live = [v for v, held in owners.items() if len(held) < 3]
     for d, t, lg, s in rows:
         base = X.base_spans(t)
         spans = [(a, b, k) for a, _, k, b, v in base if len(owners[v]) < 3]
-        for m in secrets_token.finditer(t):
-            inside = any(a < m.end() and m.start() < b for a, _, _, b, _ in base)
-            if not inside and m.group() in owners and len(owners[m.group()]) < 3 and any(c.isalpha() for c in m.group()):
-                spans.append((m.start(), m.end(), "token"))
+        spans += [(a, b, "token") for a, b in X.bare_values(t, live) if not any(x < b and a < y for x, _, _, y, _ in base)]
         at, text = 0, ""
         for a, b, k in sorted(spans):
             if a >= at:
@@ -84,11 +82,6 @@ def redacted(rows):
     return out
 
 
-import re  # noqa: E402
-
-secrets_token = re.compile(secrets.KINDS[3][1].replace("}+", "}"))
-
-
 def test_pipeline_stages(spark, docs, con):
     frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)

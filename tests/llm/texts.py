@@ -130,5 +130,22 @@ def base_spans(text):
     return sorted(found)
 
 
+def bare_values(text, values):
+    """Where values stand as whole tokens: search for each, then look at what surrounds it."""
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
+    found = set()
+    for core in {v.rstrip(".=") for v in values}:
+        if len(core) < 6 or set(core) - letters or not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
+            continue
+        at = text.find(core)
+        while at >= 0:
+            end = at + len(core)
+            after = text[end:].lstrip(".")[:1]
+            if (at == 0 or text[at - 1] not in letters) and after not in letters:
+                found.add((at, end))
+            at = text.find(core, at + 1)
+    return sorted(found)
+
+
 def held(ident, parts):
     return ident is None or zlib.crc32(str(ident).encode()) % parts == 0
