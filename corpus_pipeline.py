@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliq.llm import decontam, langid, mixing, ngram_join, secrets
+from ampliq.llm.scratch import forget, tidy
 from ampliq.session import cut_lineage, table
 
 #: Least pooled probability of the most likely language.
@@ -52,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = cut_lineage(docs)
+            if before is not None:
+                forget(before)
+            before = docs
+            tidy(spark)
     return docs
