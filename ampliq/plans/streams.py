@@ -47,3 +47,50 @@ def streamed_window_counts(spark, folder):
     SD.write_counts(SD.rolling_counts(calls, assay="item_id"), place, keys).awaitTermination()
     out = SD.latest_counts(spark, place, keys)
     return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
+
+
+_ARRIVED = f"""{X.SUBJECTS}, parts AS (SELECT doc_id, grp, seq, doc_id % 8 AS part, make_timestamp(2024, 1, 1, 0, 0, 0.0) + to_minutes((doc_id * 29)::BIGINT) AS arrived FROM subjects),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY part, arrived, doc_id) AS nth FROM parts)"""
+
+
+def _arrivals(spark, folder):
+    """The documents as eight files that arrive one after the other; each spans all days, so most rows of a later file are late."""
+    place = SD.work_folder(spark, "arrivals")
+    start = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 1740)
+    rows = X.subjects(spark, folder).select("doc_id", "grp", "seq", start.alias("arrived_at"), (F.col("doc_id") % 8).alias("part"))
+    for part in range(8):
+        rows.where(F.col("part") == part).repartition(1).write.mode("append").parquet(f"{place}/in")
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    return place, SD.arriving_sequences(raw)
+
+
+def _first_arrivals(spark, folder):
+    place, stream = _arrivals(spark, folder)
+    SD.first_arrivals(stream, place, record="doc_id").awaitTermination()
+    return place
+
+
+@query("streamed_first_arrivals", f"""WITH {_ARRIVED} SELECT part AS batch, grp, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_doc FROM firsts WHERE nth = 1 GROUP BY 1, 2""")
+def streamed_first_arrivals(spark, folder):
+    """How many sequences each arriving file brings that no earlier file held."""
+    fresh = spark.read.parquet(f"{_first_arrivals(spark, folder)}/fresh")
+    return fresh.groupBy("batch", "grp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+_LATE = """marks AS (SELECT part, max(arrived) AS top FROM firsts WHERE nth = 1 GROUP BY 1),
+taken AS (SELECT f.*, date_trunc('day', arrived) AS day, (SELECT max(top) - INTERVAL 2 DAY FROM marks m WHERE m.part < f.part - 1) AS mark FROM firsts f WHERE nth = 1)"""
+
+
+@query("streamed_late_arrivals", f"""WITH {_ARRIVED}, {_LATE} SELECT strftime(day, '%Y-%m-%d') AS day, grp, count(*)::BIGINT AS n FROM taken
+WHERE mark IS NULL OR day + INTERVAL 1 DAY > mark GROUP BY 1, 2""")
+def streamed_late_arrivals(spark, folder):
+    """New sequences per day and group; rows that come after the watermark has passed their day are not counted."""
+    place = _first_arrivals(spark, folder)
+    done = spark.read.parquet(f"{place}/fresh")
+    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/fresh")
+    counts = (stream.withWatermark("arrived_at", "2 days").groupBy(F.window("arrived_at", "1 day").alias("w"), F.coalesce("grp", F.lit("")).alias("grp"))
+              .agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "grp", "n"))
+    keys = ["window_start", "grp"]
+    SD.write_counts(counts, place, keys).awaitTermination()
+    out = SD.latest_counts(spark, place, keys)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), F.nullif("grp", F.lit("")).alias("grp"), "n")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import committed
+from .committed import write_snapshot  # noqa: F401
+
 # Synthesis scale and purification per oligo kind.
 ORDER_KINDS = {"primer": ("25nm", "STD"), "probe_zen": ("100nm", "HPLC"), "probe_lna": ("100nm", "HPLC")}
 
@@ -39,17 +42,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("error").option("header", True).csv(path)
 
 
-def fragment_lines(blocks: DataFrame) -> DataFrame:
-    """Fragment records as FASTA text; names keep safe letters only, unresolved bases raise."""
+def fragment_lines(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fragment records as FASTA text, names in safe letters only, and the rows with unresolved, invalid or no bases."""
     seq = F.upper(F.regexp_replace("seq", r"\s+", ""))
-    checked = F.when(seq.rlike("^[ACGT]+$"), seq).otherwise(F.raise_error(F.lit("fragment holds unresolved or invalid bases")))
-    name = F.trim(F.regexp_replace("name", "[^A-Za-z0-9_.+-]+", "_"))
-    return blocks.select(F.concat(F.lit(">"), name, F.lit("\n"), checked).alias("value"))
-
-
-def write_snapshot(records: DataFrame, path: str, snapshot_id: str) -> None:
-    """Append-once snapshot: its folder must not exist yet."""
-    records.write.mode("error").parquet(f"{path.rstrip('/')}/snapshot_id={snapshot_id}")
+    fine = F.coalesce(seq.rlike("^[ACGT]+$"), F.lit(False))
+    name = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), "[^A-Za-z0-9_.+-]+", "_"))
+    return (blocks.where(fine).select(F.concat(F.lit(">"), name, F.lit("\n"), seq).alias("value")),
+            blocks.where(~fine).withColumn("error", F.lit("fragment holds unresolved or invalid bases")))
 
 
 # Columns of a plate sheet, in order.
@@ -78,12 +77,6 @@ def panel_report(assays: DataFrame, *evidence: DataFrame, key: str = "assay_id")
                               for f in REPORT_FIELDS])
 
 
-def append_vulnerability_records(records: DataFrame, path: str) -> None:
-    """Append records whose fingerprint the table does not hold yet."""
-    spark = records.sparkSession
-    fresh = records.dropDuplicates(["fingerprint"])
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        fresh = fresh.join(spark.read.parquet(path).select("fingerprint"), "fingerprint", "left_anti")
-    fresh.write.mode("append").parquet(path)
+def append_vulnerability_records(records: DataFrame, path: str, batch: str) -> bool:
+    """Append records whose fingerprint the table does not hold yet; a retry under the same batch name changes nothing."""
+    return committed.append(records, path, batch)

@@ -18,13 +18,18 @@ from ..operators import drift as D
 from ..operators.corpus import keep_first, split_records
 
 SEEN = "sequence_sha256 string, arrived_at timestamp"
+#: Leading hex digits of a hash that name its bucket of the seen table.
+PREFIX = 2
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place the cluster names; a local one only where none is set."""
+    """A fresh folder in the shared place the cluster names; a local one only in a single-process session that names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
 
 
@@ -36,11 +41,41 @@ def arriving_sequences(raw: DataFrame, *, watermark: str | None = None, seq: str
     return accepted.withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["sequence_sha256"])
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+def unseen(batch: DataFrame, batch_id: int, folder: str, record: str) -> DataFrame:
+    """Rows of a batch whose sequence no earlier batch held, the first arrival of each.
+
+    ``folder/seen`` keeps hashes by prefix, so a batch reads only the prefixes it brings. Only batches before this one
+    count, so a replay of the batch finds the same rows.
+    """
+    spark = batch.sparkSession
+    first = keep_first(batch, ["sequence_sha256"], [F.col("arrived_at"), F.col(record)])
     if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    table = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
-    return table.filter(F.col("batch") < batch_id).drop("batch")
+        return first
+    touched = [r[0] for r in first.select(F.left("sequence_sha256", F.lit(PREFIX))).distinct().collect()]  # at most 16 ** PREFIX
+    path = f"{folder}/seen"
+    known = (spark.read.schema(f"{SEEN}, prefix string, batch long").option("basePath", path).parquet(path)
+             .where(F.col("prefix").isin(touched) & (F.col("batch") < batch_id)))
+    return first.join(known.select("sequence_sha256"), "sequence_sha256", "left_anti")
+
+
+def remember(new: DataFrame, batch_id: int, folder: str) -> None:
+    """Add the hashes of a batch; writing the batch again replaces its own files alone."""
+    rows = new.select("sequence_sha256", "arrived_at", F.left("sequence_sha256", F.lit(PREFIX)).alias("prefix"), F.lit(batch_id).cast("long").alias("batch"))
+    (rows.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("prefix", "batch").parquet(f"{folder}/seen"))
+
+
+def first_arrivals(stream: DataFrame, folder: str, *, record: str, available_now: bool = True):
+    """Write the rows of a stream whose sequence never arrived before to ``folder/fresh``, a folder per batch.
+
+    Exact over any number of batches, whatever their arrival times; a watermark is only needed by what counts on top of it.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        unseen(batch, batch_id, folder, record).write.mode("overwrite").parquet(f"{folder}/fresh/batch={batch_id}")
+        remember(batch.sparkSession.read.parquet(f"{folder}/fresh/batch={batch_id}"), batch_id, folder)
+
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def monitor(stream: DataFrame, assays: DataFrame, folder: str, *, assay: str, record: str, min_product: int = 40,
@@ -49,13 +84,9 @@ def monitor(stream: DataFrame, assays: DataFrame, folder: str, *, assay: str, re
 
     The stream carries ``record, seq, role, grp, arrived_at, sequence_sha256``.
     """
-    seen_path = f"{folder}/seen"
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = keep_first(batch.select("sequence_sha256", record, "seq", "role", "grp", "arrived_at"),
-                           ["sequence_sha256"], [F.col("arrived_at"), F.col(record)])
-        fresh = first.join(_earlier(spark, seen_path, batch_id, SEEN).select("sequence_sha256"), "sequence_sha256", "left_anti")
+        fresh = unseen(batch.select("sequence_sha256", record, "seq", "role", "grp", "arrived_at"), batch_id, folder, record)
         here = f"batch={batch_id}"
         # The new records are written first and read back: one scan feeds every output.
         fresh.write.mode("overwrite").parquet(f"{folder}/fresh/{here}")
@@ -65,7 +96,7 @@ def monitor(stream: DataFrame, assays: DataFrame, folder: str, *, assay: str, re
         tagged.write.mode("overwrite").parquet(f"{folder}/calls/{here}")
         made = spark.read.parquet(f"{folder}/calls/{here}").select(assay, record, "coherent", "signal")
         D.drift_reasons(assays, new, made, assay=assay, record=record).write.mode("overwrite").parquet(f"{folder}/reasons/{here}")
-        new.select("sequence_sha256", "arrived_at").write.mode("overwrite").parquet(f"{seen_path}/{here}")
+        remember(new, batch_id, folder)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

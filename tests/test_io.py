@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ampliq.sources import committed as CM
 from ampliq.sources import readers as RD
 from ampliq.sources import sinks as SK
 from ampliq.streaming import drift as SD
@@ -68,17 +69,59 @@ def test_sinks(spark, tmp_path):
     good, bad = SK.order_rows(rows)
     assert {tuple(r) for r in good.collect()} == {("'=x", "ACGTACG", "25nm", "STD"), ("p", "/56-FAM/AC+GTACG/3IABkFQ/", "100nm", "HPLC")}
     assert bad.count() == 1
-    SK.write_snapshot(rows, str(tmp_path / "snap"), "s1")
-    with pytest.raises(Exception):
-        SK.write_snapshot(rows, str(tmp_path / "snap"), "s1")
-    records = spark.createDataFrame([("f1", 1), ("f1", 1), ("f2", 2)], "fingerprint string, v int")
-    for _ in range(2):
-        SK.append_vulnerability_records(records, str(tmp_path / "vr"))
-    assert spark.read.parquet(str(tmp_path / "vr")).count() == 2
-    assert SK.fragment_lines(spark.createDataFrame([("a b", "ac gt")], "name string, seq string")).first()[0] == ">a_b\nACGT"
+    assert SK.write_snapshot(rows, str(tmp_path / "snap"), "s1") and not SK.write_snapshot(rows.limit(1), str(tmp_path / "snap"), "s1")
+    assert spark.read.parquet(str(tmp_path / "snap")).where("snapshot_id = 's1'").count() == 3
+    good, bad = SK.fragment_lines(spark.createDataFrame([("a b", "ac gt"), ("x", "ACN"), (None, None), (None, "gg")], "name string, seq string"))
+    assert {r[0] for r in good.collect()} == {">a_b\nACGT", ">\nGG"} and bad.count() == 2
     assert len(SK.panel_report(spark.createDataFrame([("a", "n")], "assay_id string, name string")).columns) == 31
 
 
+def test_interleaved_writers_leave_one_row_per_key(spark, tmp_path):
+    folder = str(tmp_path / "vr")
+    schema = "fingerprint string, v int"
+    rows = lambda *x: spark.createDataFrame([(f"{i:02x}f", v) for i, v in x], schema)
+    show = lambda: {(r.fingerprint, r.v, r.batch) for r in CM.visible(spark, folder, schema).collect()}
+    assert show() == set()
+    # Both writers look before either commits; the one that commits first is shown.
+    CM.stage(rows((1, 1), (2, 1), (2, 1)), folder, "a")
+    CM.stage(rows((2, 2), (3, 2)), folder, "b")
+    assert show() == set()
+    assert CM.commit(spark, folder, "b") and CM.commit(spark, folder, "a") and not CM.commit(spark, folder, "b")
+    want = {("01f", 1, "a"), ("02f", 2, "b"), ("03f", 2, "b")}
+    assert show() == want
+    # A retry of a committed batch changes nothing, also with other rows; a failed one may be staged again.
+    assert not SK.append_vulnerability_records(rows((9, 9)), folder, "a")
+    CM.stage(rows((4, 4)), folder, "c")
+    assert show() == want
+    assert SK.append_vulnerability_records(rows((4, 5), (1, 5)), folder, "c")
+    assert show() == want | {("04f", 5, "c")}
+    assert CM.log(spark, folder) == ["b", "a", "c"]
+    # Two writers that saw the same last entry: the loser takes the next number.
+    files = CM._Files(spark, folder)
+    for name in ("d", "e"):
+        files.write(f"{folder}/draft/{name}", name)
+    assert files.move(f"{folder}/draft/d", f"{folder}/log/000000000004") and not files.move(f"{folder}/draft/e", f"{folder}/log/000000000004")
+
+
+def test_replayed_batch_finds_the_same_first_arrivals(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    batch = lambda *x: spark.createDataFrame(x, "sequence_sha256 string, doc_id long, day int").select(
+        "sequence_sha256", "doc_id", F.timestamp_seconds(F.col("day") * 86400).alias("arrived_at"))
+    arriving = [batch(("aa1", 1, 5), ("aa1", 2, 4), ("bb2", 3, 1)), batch(("aa1", 4, 0), ("cc3", 5, 0), ("ab4", 6, 9)), batch(("cc3", 7, 1), ("ab4", 8, 1), ("dd5", 9, 0))]
+    want = [{2, 3}, {5, 6}, {9}]
+
+    def run(n):
+        got = SD.unseen(arriving[n], n, folder, "doc_id")
+        ids = {r.doc_id for r in got.collect()}
+        SD.remember(got, n, folder)
+        return ids
+
+    assert [run(0), run(1)] == want[:2]
+    assert run(1) == want[1] and run(2) == want[2]
+    assert run(1) == want[1] and run(0) == want[0]
+    assert spark.read.parquet(f"{folder}/seen").count() == 5
+
+
 def test_stream_monitor_sees_each_sequence_once(spark, tmp_path):
     good, lost = F_ + "GATTACA" * 6 + rc(R_), "GATTACA" * 12
     src = tmp_path / "in"
