@@ -81,11 +81,10 @@ def ranked_wide(candidates: DataFrame, run: list[str], ties: list[str], slices:
 
 
 def decisive_component(df: DataFrame, run: list[str], objective_name: str) -> DataFrame:
-    """First key component that separates a candidate from the next rank."""
-    w = Window.partitionBy(*run).orderBy("rank")
+    """First key component that separates a candidate from the next rank, whose key may be given as ``__next``."""
     labels = F.array(*[F.lit(x) for x in key_labels(objective_name)])
-    nxt = F.lead("rank_key").over(w)
-    df = df.withColumn("__next", nxt)
+    if "__next" not in df.columns:
+        df = df.withColumn("__next", F.lead("rank_key").over(Window.partitionBy(*run).orderBy("rank")))
     spots = F.filter(F.sequence(F.lit(1), F.size("rank_key")),
                      lambda i: F.element_at("rank_key", i) != F.element_at("__next", i))
     label = F.when(F.col("__next").isNull(), F.lit(None)).when(
@@ -122,10 +121,11 @@ NEIGHBOUR_FIELDS = ["hard_valid", "signal_subjects", "product_subjects", "target
 
 
 def preference_states(df: DataFrame, run: list[str]) -> DataFrame:
-    """How firmly a candidate is preferred to the next rank; the first rule that applies decides."""
-    w = Window.partitionBy(*run).orderBy("rank")
+    """How firmly a candidate is preferred to the next rank, whose fields may be given as ``nx``; the first rule that
+    applies decides."""
     df = df.withColumn("missing", missing_required())
-    df = df.withColumn("nx", F.lead(F.struct(*NEIGHBOUR_FIELDS)).over(w))
+    if "nx" not in df.columns:
+        df = df.withColumn("nx", F.lead(F.struct(*NEIGHBOUR_FIELDS)).over(Window.partitionBy(*run).orderBy("rank")))
     c, n = F.col, lambda f: F.col(f"nx.{f}")
     lacking = F.size(F.array_union("missing", n("missing"))) > 0
     cover = F.abs(c("target_coverage") - n("target_coverage"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators import ranking_wide as RW
 from ..operators.stats import wilson_interval
 from ..session import table
 from .registry import query
@@ -131,6 +132,38 @@ def rank_reversal_triggers(spark, folder):
     return out.select("run", "id", F.array_join("triggers", ",").alias("triggers"))
 
 
+_WHOLE = (_PREF.replace("p_brand AS run", "'all' AS run").replace("'R' || p_partkey % 41 AS reverse", "'R' || p_partkey % 41 AS reverse, p_partkey % 6 <> 0 AS junction_ok")
+          .replace("practical_penalty, off_ok, panel_ok)) OVER", "practical_penalty, off_ok, panel_ok, junction_ok, k)) OVER")
+          .replace("id % 4 <> 0 AS panel_ok FROM", """id % 4 <> 0 AS panel_ok, [(NOT hard_valid)::INT::DOUBLE, n_failures, signal_subjects, product_subjects,
+  -target_coverage, -worst_3prime, -coalesce(probe_identity, 0), -robustness, triplet_penalty, -worst_dimer, practical_penalty, degeneracy_fold] AS k FROM""")
+          .replace("pref AS (SELECT run, id, rank, x,", "pref AS (SELECT run, id, rank, x, k, probe_identity, n_failures, junction_ok,"))
+
+
+@query("explained_ranking", f"""WITH {_WHOLE}, b AS (SELECT *, CASE WHEN lag(preference) OVER (PARTITION BY run ORDER BY rank) IN
+  ('near-equivalent alternatives', 'insufficient evidence to distinguish') THEN 0 ELSE 1 END AS b FROM pref)
+SELECT id, rank::BIGINT AS rank, CASE WHEN x IS NULL THEN NULL WHEN k = x[12] THEN 'deterministic_tie_breaker' ELSE ['hard_validity', 'hard_failure_count', 'offtarget', 'offtarget',
+  'coverage', 'coverage', 'coverage', 'robustness', 'triplet', 'triplet', 'practical', 'practical'][list_min(list_filter(range(1, 13), lambda i: k[i] <> x[12][i]))] END AS decisive,
+  preference, (sum(b) OVER (PARTITION BY run ORDER BY rank))::BIGINT AS band, CASE WHEN x IS NULL THEN 'another_candidate_available' ELSE coalesce(nullif(concat_ws(',',
+  CASE WHEN x[4] > target_coverage + 1e-9 THEN 'broad_inclusivity' END,
+  CASE WHEN x[2] < signal_subjects OR (x[2] = signal_subjects AND x[3] < product_subjects) THEN 'confirmatory_exclusivity' END,
+  CASE WHEN x[6] > robustness + 1e-9 THEN 'condition_variation' END, CASE WHEN x[8] + 0.5 < practical_penalty THEN 'practical_priority' END,
+  CASE WHEN x[7] + 0.75 < triplet_penalty THEN 'triplet_priority' END, CASE WHEN NOT off_ok OR NOT x[9] THEN 'offtarget_corpus_supplied' END,
+  CASE WHEN NOT panel_ok OR NOT x[10] THEN 'panel_supplied' END, CASE WHEN NOT junction_ok OR NOT x[11] THEN 'junction_verified' END,
+  CASE WHEN preference IN ('near-equivalent alternatives', 'insufficient evidence to distinguish') THEN 'same_band' END), ''), 'new_bench_evidence') END AS triggers,
+  concat_ws(',', CASE WHEN target_coverage >= 0.999 THEN CASE WHEN probe_identity IS NOT NULL THEN 'all_targets_with_probe' ELSE 'all_targets' END END,
+    CASE WHEN off_ok AND signal_subjects = 0 THEN 'no_offtarget_signal' END, CASE WHEN robustness >= 1 THEN 'all_conditions' END) AS strengths,
+  concat_ws(',', CASE WHEN target_coverage < 0.999 AND target_coverage > 0 THEN 'targets_missed' END, CASE WHEN NOT off_ok THEN 'exclusivity_unresolved'
+    WHEN signal_subjects > 0 THEN 'offtarget_signal' END, CASE WHEN robustness < 1 THEN 'conditions_failed' END, CASE WHEN n_failures > 0 THEN 'hard_failures' END) AS weaknesses FROM b""")
+def explained_ranking(spark, folder):
+    """The whole table as one run, ranked and explained over slices."""
+    rows = candidates(spark, folder).withColumns({
+        "run": F.lit("all"), "objective": F.lit("balanced"), "target_epcr": F.lit(True), "condition_robustness": F.lit(True),
+        "offtarget_epcr": F.col("id") % 9 != 0, "panel": F.col("id") % 4 != 0, "junction": F.col("id") % 6 != 0})
+    out = RW.explained(R.keyed(rows), ["run"], ["f_start", "forward", "reverse", "id"], has_probe=F.col("probe_identity").isNotNull())
+    listed = [F.array_join(c, ",").alias(c) for c in ("triggers", "strengths", "weaknesses")]
+    return out.select("id", "rank", "decisive", "preference", "band", *listed)
+
+
 @query("pareto_fronts", f"""WITH RECURSIVE {_CAND}, d AS (SELECT a.run, a.id AS winner, b.id AS loser FROM cand a JOIN cand b ON a.run = b.run
   AND a.p_size <= b.p_size AND a.p_retailprice <= b.p_retailprice AND a.name_len <= b.name_len AND a.id % 17 <= b.id % 17
   AND (a.p_size, a.p_retailprice, a.name_len, a.id % 17) <> (b.p_size, b.p_retailprice, b.name_len, b.id % 17)),
