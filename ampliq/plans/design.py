@@ -178,13 +178,13 @@ def oligo_lint(spark, folder):
     return out.filter(~F.col("rule").isin("no degenerate bases", "hairpin", "self-dimer"))
 
 
-@query("oligo_quality_flags", f"""WITH {X.SUBJECTS}, o AS (SELECT doc_id, left(seq, 40) AS oligo FROM subjects), q AS (SELECT doc_id, {_RUN} AS r, 100.0::DOUBLE * length(translate(oligo, 'AT', '')) / length(oligo) AS gc,
+@query("oligo_quality_flags", f"""WITH {X.POOL}, o AS (SELECT id, seq AS oligo FROM pool), q AS (SELECT id, {_RUN} AS r, 100.0::DOUBLE * length(translate(oligo, 'AT', '')) / length(oligo) AS gc,
   list_max(list_transform(['AC','AG','AT','CA','CG','CT','GA','GC','GT','TA','TC','TG'], lambda p: coalesce(list_max(list_transform(regexp_extract_all(oligo, '(?:' || p || ')+'), lambda x: length(x))), 0) // 2)) AS d FROM o)
-SELECT doc_id, concat_ws(',', CASE WHEN r >= 5 THEN r || '-base run' END, CASE WHEN d >= 3 THEN d || 'x dinucleotide repeat' END, CASE WHEN gc > 72 THEN 'GC high' WHEN gc < 28 THEN 'GC low' END) AS flags,
+SELECT id, concat_ws(',', CASE WHEN r >= 5 THEN r || '-base run' END, CASE WHEN d >= 3 THEN d || 'x dinucleotide repeat' END, CASE WHEN gc > 72 THEN 'GC high' WHEN gc < 28 THEN 'GC low' END) AS flags,
   (CASE WHEN r >= 6 THEN 2 WHEN r = 5 THEN 0.5 ELSE 0 END + CASE WHEN d >= 4 THEN 2 WHEN d = 3 THEN 0.8 ELSE 0 END + CASE WHEN gc > 72 THEN 1.5 WHEN gc < 28 THEN 1 ELSE 0 END)::DOUBLE AS penalty FROM q""")
 def oligo_quality_flags(spark, folder):
-    flags, penalty = D.quality_flags(F.left("seq", F.lit(40)))
-    return X.subjects(spark, folder).select("doc_id", F.array_join(flags, ",").alias("flags"), F.round(penalty, 4).alias("penalty"))
+    flags, penalty = D.quality_flags(F.col("seq"))
+    return X.pool(spark, folder).select("id", F.array_join(flags, ",").alias("flags"), F.round(penalty, 4).alias("penalty"))
 
 
 @query("degenerate_consensus", f"""WITH {_PLACED}, b AS (SELECT item_id, role, oligo, p, w[p] AS base, count(*) AS n FROM (SELECT *, unnest(generate_series(1, 12)) AS p FROM placed WHERE neg <= 3) GROUP BY ALL),

@@ -125,18 +125,23 @@ def case_disagreements(spark, folder):
     return R.case_disagreements(calls.select("doc_id", "item_id", state.alias("state")), "doc_id", "item_id", panel)
 
 
-_PLATE = """cands AS (SELECT p_brand AS plan, p_partkey AS cand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ci,
-  count(*) OVER (PARTITION BY p_brand) AS nc FROM part WHERE p_size % 10 = 3),
-cases AS (SELECT p_brand AS plan, 'case-' || p_partkey AS kase, row_number() OVER (PARTITION BY p_brand ORDER BY 'case-' || p_partkey) - 1 AS si FROM part WHERE p_size % 10 = 7),
+# Forty neighbouring parts are one plan: even keys its candidates, odd ones its cases.
+_PLATE = """cands AS (SELECT p_partkey // 40 AS plan, p_partkey AS cand, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS ci,
+  count(*) OVER (PARTITION BY p_partkey // 40) AS nc FROM part WHERE p_partkey % 2 = 0),
+cases AS (SELECT p_partkey // 40 AS plan, 'case-' || p_partkey AS kase, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY 'case-' || p_partkey) - 1 AS si FROM part WHERE p_partkey % 2 = 1),
 e AS (SELECT plan, kase, cand, r AS replicate, ((ci - si - r + 1) % nc + nc) % nc AS turn, sha256('7|' || plan || '|' || kase || '|' || r) AS block
   FROM cases JOIN cands USING (plan), range(1, 4) t(r)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY block, turn) - 1 AS slot FROM e)"""
 
 
+def _plan():
+    return F.floor(F.col("p_partkey") / 40)
+
+
 def plates(spark, folder):
-    part = table(spark, folder, "part").select(F.col("p_brand").alias("plan"), "p_partkey", "p_size")
-    cands = part.filter("p_size % 10 = 3").select("plan", F.col("p_partkey").alias("cand"))
-    cases = part.filter("p_size % 10 = 7").select("plan", F.concat(F.lit("case-"), "p_partkey").alias("kase"))
+    part = table(spark, folder, "part").select(_plan().alias("plan"), "p_partkey")
+    cands = part.filter("p_partkey % 2 = 0").select("plan", F.col("p_partkey").alias("cand"))
+    cases = part.filter("p_partkey % 2 = 1").select("plan", F.concat(F.lit("case-"), "p_partkey").alias("kase"))
     placed = R.plate_entries(cands, cases, "cand", "kase", 3, 7, ["plan"])
     wells = R.well_table(spark).withColumnRenamed("slot", "ws")
     return (placed.withColumn("plate", F.floor(F.col("slot") / 96)).withColumn("ws", F.col("slot") % 96).join(wells, "ws").drop("ws"))
@@ -149,7 +154,7 @@ def plate_layout(spark, folder):
 
 
 @query("plate_result_checks", f"""WITH {_PLATE}, w AS (SELECT DISTINCT plan, chr((65 + slot % 96 % 8)::INT) || (slot % 96 // 8 + 1) AS well FROM placed),
-r AS (SELECT p_brand AS plan, p_partkey AS line, chr((65 + p_partkey % 9)::INT) || (p_partkey % 12 + 1) AS well, p_size * 2.0::DOUBLE AS cq,
+r AS (SELECT p_partkey // 40 AS plan, p_partkey AS line, chr((65 + p_partkey % 9)::INT) || (p_partkey % 12 + 1) AS well, p_size * 2.0::DOUBLE AS cq,
   CASE p_partkey % 5 WHEN 0 THEN 'amplified' WHEN 1 THEN 'not_amplified' WHEN 2 THEN 'missing' WHEN 3 THEN 'invalid' ELSE 'odd' END AS observed FROM part),
 j AS (SELECT r.*, w.well IS NOT NULL AS planned, row_number() OVER (PARTITION BY r.plan, r.well ORDER BY line) AS nth FROM r LEFT JOIN w ON r.plan = w.plan AND r.well = w.well)
 SELECT plan, coalesce(CASE WHEN NOT planned THEN 'unknown well' WHEN nth > 1 THEN 'duplicate well' WHEN observed = 'odd' THEN 'observed state is not allowed'
@@ -159,7 +164,7 @@ def plate_result_checks(spark, folder):
     k = F.col("p_partkey")
     observed = F.element_at(F.array(*[F.lit(x) for x in ("Amplified", "not amplified", "missing", "invalid", "odd")]), (k % 5 + 1).cast("int"))
     rows = table(spark, folder, "part").select(
-        F.col("p_brand").alias("plan"), k.alias("line"), F.concat(F.char(65 + k % 9), (k % 12 + 1).cast("string")).alias("well"),
+        _plan().alias("plan"), k.alias("line"), F.concat(F.char(65 + k % 9), (k % 12 + 1).cast("string")).alias("well"),
         (F.col("p_size") * 2.0).alias("cq"), F.lit(None).cast("double").alias("efficiency"), observed.alias("observed"))
     out = R.check_results(rows, wells, ["plan"])
     return out.groupBy("plan", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))

@@ -78,14 +78,15 @@ def trace_baselines(spark, folder):
                       F.round("threshold", 5).alias("threshold"))
 
 
-@query("trace_arrays", f"""WITH {_TRACES}, x AS (SELECT well, cycle, fluor FROM traces WHERE cycle <= 4 + well % 4)
+@query("trace_arrays", """WITH x AS (SELECT user_id || ':' || event_type AS well, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS cycle FROM events)
 SELECT well, CASE WHEN count(*) < 6 THEN 'need >= 6 cycles of fluorescence' ELSE 'ok' END AS state,
-  round(sum(cycle * fluor), 3) AS moment FROM x GROUP BY well""")
+  round(sum(cycle * value), 3) AS moment FROM x GROUP BY well""")
 def trace_arrays(spark, folder):
-    """Array-shaped wells back to readings, with short wells flagged."""
-    wells = (traces(spark, folder).filter("cycle <= 4 + well % 4").groupBy("well")
-             .agg(F.sort_array(F.collect_list(F.struct("cycle", "fluor"))).alias("r"))
-             .select("well", F.col("r.fluor").alias("fluor")))
+    """Array-shaped wells back to readings, with short wells flagged; the readings of a user and kind of event are a well."""
+    events = table(spark, folder, "events")
+    wells = (events.groupBy(F.concat_ws(":", "user_id", "event_type").alias("well"))
+             .agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
+             .select("well", F.col("r.value").alias("fluor")))
     rows = T.explode_traces(wells, ["well"])
     bad = T.trace_errors(rows, ["well"])
     moment = rows.groupBy("well").agg(F.round(F.sum(F.col("cycle") * F.col("fluor")), 3).alias("moment"))
