@@ -184,8 +184,9 @@ def label(docs: DataFrame, text_col: str, net: Net, *, lang: str = "lang_pred",
     """All rows and columns of docs plus the language and its pooled probability (columns of the same names are
     replaced). `und` and 0.0: null, empty or letterless texts, or a net without languages."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    carried = docs.drop(lang, score).withColumn("_letters", letters)
-    schema = carried.drop("_letters").schema.add(lang, "string").add(score, "double")
+    mark, = tx.fresh(docs.columns, "_letters")
+    carried = docs.drop(lang, score).withColumn(mark, letters)
+    schema = carried.drop(mark).schema.add(lang, "string").add(score, "double")
     names, core, margin = net.languages, net.core, net.margin
 
     def run(batches):

@@ -244,17 +244,19 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
 
 
 def first_of_each(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """The rows of docs, all columns, one per component; texts without shingles all stay."""
+    """The rows of docs, all columns, one per component; texts without shingles all stay. Of rows equal in id and text
+    one stays."""
     found = jaccard_components(docs, id_col, text_col, **options)
-    lists = cut_lineage(found.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
-                        .agg(F.max("stays").alias("_stays"), F.max("n_shingles").alias("_n"), F.count("*").alias("_k")).where("_stays"))
+    ident, dig, stays, some, times = tx.fresh(docs.columns, "_id", "_digest", "_stays", "_n", "_k")
+    lists = cut_lineage(found.groupBy(F.col(id_col).alias(ident), F.col("digest").alias(dig))
+                        .agg(F.max("stays").alias(stays), F.max("n_shingles").alias(some), F.count("*").alias(times)).where(F.col(stays)))
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
-    again = kept.where("_k > 1 and _n > 0")
+    kept = docs.join(lists, F.col(id_col).eqNullSafe(F.col(ident)) & (digest == F.col(dig)))
     # Rows equal in id and text are rare; only they are compared once more.
-    single = kept.where("not (_k > 1 and _n > 0)").drop("_id", "_digest", "_stays", "_n", "_k")
-    if lists.where("_k > 1 and _n > 0").limit(1).count():
-        return single.unionByName(again.dropDuplicates(["_digest"]).drop("_id", "_digest", "_stays", "_n", "_k"))
+    repeated = (F.col(times) > 1) & (F.col(some) > 0)
+    single = kept.where(~repeated).select(*docs.columns)
+    if lists.where(repeated).limit(1).count():
+        return single.unionByName(kept.where(repeated).dropDuplicates([dig]).select(*docs.columns))
     return single
 
 

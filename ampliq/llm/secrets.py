@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as tx
 from ..session import cut_lineage, table
 
 ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
@@ -106,20 +107,21 @@ def redact(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col
     Copied examples stay. Texts without live spans, null texts and their lengths are unchanged.
     """
     found = scan(docs, id_col, text_col, repo_col, owner_col, **options)
+    dig, listed, fresh = tx.fresh(docs.columns, "_digest", "_spans", "_new")
     # Where a span stands depends on the text alone.
-    live = cut_lineage(found.select(F.col("digest").alias("_digest"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
-                       .where(F.size("_spans") > 0).dropDuplicates(["_digest"]))
+    live = cut_lineage(found.select(F.col("digest").alias(dig), F.filter("spans", lambda s: s["live"]).alias(listed))
+                       .where(F.size(listed) > 0).dropDuplicates([dig]))
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
+    done = F.aggregate(listed, start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
         s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
                                        F.lit("["), s["kind"], F.lit("]")).alias("out")))
         .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2 ** 31 - 1))))
-    joined = docs.join(live, F.md5(text) == F.col("_digest"), "left")
-    new = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done))
-    return new.select(*[F.coalesce("_new", text).alias(c) if c == text_col else
-                        F.when(F.col("_new").isNotNull(), F.length("_new").cast(k)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c)
+    joined = docs.join(live, F.md5(text) == F.col(dig), "left")
+    new = joined.withColumn(fresh, F.when(F.col(listed).isNotNull(), done))
+    return new.select(*[F.coalesce(F.col(fresh), text).alias(c) if c == text_col else
+                        F.when(F.col(fresh).isNotNull(), F.length(fresh).cast(k)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c)
                         for c, k in docs.dtypes])
 
 

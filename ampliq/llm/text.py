@@ -36,6 +36,18 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, changed where a table has them already (case aside)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
