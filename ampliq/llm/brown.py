@@ -257,8 +257,8 @@ def assigned(texts: DataFrame, column: str, start: Classes, steps: np.ndarray) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array(to), pa.array(seen[:, :n].sum(axis=1).astype(np.int64))],
                                              ["h", "place", "k", "c"])
 
-    # Tasks have summed already, so one shuffle on the word serves both groupings.
-    cells = texts.select(column).mapInArrow(count, "h long, key int, c long").repartition("h").groupBy("h", "key").agg(F.sum("c").alias("c"))
+    # A word's cells are summed apart; at most 2 * classes of them then meet.
+    cells = texts.select(column).mapInArrow(count, "h long, key int, c long").groupBy("h", "key").agg(F.sum("c").alias("c"))
     each = cells.groupBy("h").agg(F.collect_list(F.struct("key", "c")).alias("x")).select("h", "x.key", "x.c")
     return cut_lineage(each.mapInArrow(best, "h long, place long, k long, c long"))
 
@@ -277,7 +277,9 @@ def _joined(pairs: DataFrame, rare: DataFrame) -> DataFrame:
 def class_steps(texts: DataFrame, column: str, cls: Classes, rare: DataFrame, classes: int) -> np.ndarray:
     """classes x classes counts of neighbours over all texts; at most 3 * classes ** 2 rows leave Spark.
 
-    Steps with a word outside the table on one side are rows (h, null, side), on both sides (h, next, 2 * classes).
+    Steps with a word outside the table on one side are rows (h, salt, side), on both sides (h, next, 2 * classes); sums of the
+    steps inside the table are rows (salt, salt, -1 - cell). Salts spread over the tasks and name no word that counts: what
+    they join is not read.
     """
     units = cls.units
 
@@ -297,11 +299,18 @@ def class_steps(texts: DataFrame, column: str, cls: Classes, rare: DataFrame, cl
             total += np.bincount((line[:-1] * classes + line[1:])[~(a | b)], minlength=classes * classes)
             i = np.flatnonzero(a | b)
             side = np.where(a[i] & b[i], 2 * classes, np.where(a[i], line[i + 1], classes + line[i]))
-            yield rows(pa.array(np.where(a[i], name[i], name[i + 1])), pa.array(name[i + 1], mask=~(a[i] & b[i])), side, np.ones(len(i), np.int64))
+            h = np.where(a[i], name[i], name[i + 1])
+            salt = tx.mixed((side * 64 + (h & 63)).astype(np.uint64)).view(np.int64)
+            to = np.where(a[i] & b[i], name[i + 1], salt)
+            # Equal steps of a slice leave as one row.
+            order = np.lexsort((side, to, h))
+            h, to, side = h[order], to[order], side[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (to[1:] != to[:-1]) | (side[1:] != side[:-1])
+            yield rows(pa.array(h[new]), pa.array(to[new]), side[new], np.diff(np.append(np.flatnonzero(new), len(h))))
         some = np.flatnonzero(total)
-        none = pa.nulls(len(some), pa.int64())
-        # Sums of the steps inside the table.
-        yield rows(none, none, -1 - some, total[some])
+        salt = pa.array(tx.mixed(some.astype(np.uint64)).view(np.int64))
+        yield rows(salt, salt, -1 - some, total[some])
 
     steps = texts.select(column).mapInArrow(count, "h long, to long, side int, c long")
     first = steps.join(rare.select("h", F.col("k").alias("a")), "h", "left").groupBy("a", "to", "side").agg(F.sum("c").alias("c"))
