@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..operators import placement as B
 from ..operators import products as P
+from ..operators import tallies as T
 from ..operators.sites import find_sites
 from . import shapes as X
 from .registry import query
@@ -250,10 +251,11 @@ def best_placement(spark, folder):
 SELECT oligo_key, p::BIGINT AS pos, round(100.0::DOUBLE * sum(n) FILTER (base = oligo[p]) / sum(n), 4) AS pct_match,
   max((n, base))[2] AS major, sum(n)::BIGINT AS n FROM pos GROUP BY oligo_key, p, oligo""")
 def oligo_conservation(spark, folder):
-    out = B.conservation(_placed(spark, folder), "oligo_key")
-    n = F.aggregate(F.map_values("dist"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    oligos = X.assay_oligos(spark, folder)
+    out = T.conservation_profile(T.placement_tallies(oligos, X.subjects(spark, folder)))
     hit = F.when(F.col("pct_match") > 0, F.round("pct_match", 4))
-    return out.select("oligo_key", "pos", hit.alias("pct_match"), "major", n.alias("n"))
+    named = oligos.select("oligo", F.concat_ws(":", "item_id", "role").alias("oligo_key"))
+    return named.join(out, "oligo").select("oligo_key", "pos", hit.alias("pct_match"), "major", "n")
 
 
 @query("oligo_discrimination", f"""WITH {_PLACED}, o AS (
