@@ -20,7 +20,7 @@ from . import text as tx
 from .langid import held_out
 from ..session import cut_lineage, table
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 ADD = 0.1
 
 
