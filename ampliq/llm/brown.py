@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .langid import held_out
+from .scratch import forget, tidy
 from ..session import cut_lineage, table
 
 SLICE = 1 << 20
@@ -343,16 +344,20 @@ def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_w
     n_texts = docs.where(learn).count()
     n_all, n_words = got[0] + n_texts, got[1] + (n_texts > 0)
     units = frequent_units(counts, table_words=table_words, unit_words=unit_words, endings=endings)
+    forget(counts)
+    tidy(docs.sparkSession)
     pairs = bigrams(corpus, "t", units)
     # The edge before the first text of a slice and behind its last one stand for one text end between any two texts.
     unit_class = exchange(pairs, classes)
     one = np.eye(classes)[unit_class]
     cls = Classes(units, unit_class, unit_class[np.where(units.unit >= 0, units.unit, units.shared)])
     found = assigned(corpus, "t", cls, one.T @ pairs @ one)
+    tidy(docs.sparkSession)
     for place, k in found.where("place >= 0").select("place", "k").collect():  # at most table_words rows
         cls.word[place] = k
     beyond = found.where("place < 0").select("h", "k", "c")
     change = transitions(class_steps(corpus, "t", cls, beyond, classes))
+    tidy(docs.sparkSession)
 
     mass, kinds = np.bincount(cls.word, units.counts, classes), np.bincount(cls.word, minlength=classes).astype(float)
     for k, c, v in beyond.groupBy("k").agg(F.sum("c"), F.count("*")).collect():
