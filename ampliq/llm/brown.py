@@ -258,8 +258,9 @@ def assigned(texts: DataFrame, column: str, start: Classes, steps: np.ndarray) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array(to), pa.array(seen[:, :n].sum(axis=1).astype(np.int64))],
                                              ["h", "place", "k", "c"])
 
-    # A word's cells are summed apart; at most 2 * classes of them then meet.
-    cells = texts.select(column).mapInArrow(count, "h long, key int, c long").groupBy("h", "key").agg(F.sum("c").alias("c"))
+    # Tasks have summed already: a word arrives as at most 2 * classes rows of a task, and one shuffle on the word serves both
+    # groupings.
+    cells = texts.select(column).mapInArrow(count, "h long, key int, c long").repartition("h").groupBy("h", "key").agg(F.sum("c").alias("c"))
     each = cells.groupBy("h").agg(F.collect_list(F.struct("key", "c")).alias("x")).select("h", "x.key", "x.c")
     return cut_lineage(each.mapInArrow(best, "h long, place long, k long, c long"))
 
