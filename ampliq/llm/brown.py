@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .langid import held_out
 from .scratch import forget, tidy
-from ..session import cut_lineage, table
+from ..session import cut_lineage, cut_to_parquet, table
 
 SLICE = 1 << 20
 ADD = 0.1
@@ -262,18 +263,7 @@ def assigned(texts: DataFrame, column: str, start: Classes, steps: np.ndarray) -
     # groupings.
     cells = texts.select(column).mapInArrow(count, "h long, key int, c long").repartition("h").groupBy("h", "key").agg(F.sum("c").alias("c"))
     each = cells.groupBy("h").agg(F.collect_list(F.struct("key", "c")).alias("x")).select("h", "x.key", "x.c")
-    return cut_lineage(each.mapInArrow(best, "h long, place long, k long, c long"))
-
-
-def _joined(pairs: DataFrame, rare: DataFrame) -> DataFrame:
-    """Pairs of neighbours (a, a_word, b, b_word, ...) with the classes of words outside the table put in; others have no word."""
-    known = rare.select(F.col("h").alias("_name"), F.col("k").alias("_k"))
-    for side, other in (("a", "b"), ("b", "a")):
-        # Rows without a word on this side must not meet in one task; the flag keeps them from matching.
-        pairs = pairs.withColumns({"_on": F.coalesce(f"{side}_word", f"{other}_word", F.lit(0)), "_is": F.col(f"{side}_word").isNotNull()}) \
-            .join(known, F.col("_on") == F.col("_name"), "left") \
-            .withColumn(side, F.when(F.col("_is"), F.coalesce("_k", side)).otherwise(F.col(side))).drop("_on", "_is", "_name", "_k")
-    return pairs
+    return cut_to_parquet(each.mapInArrow(best, "h long, place long, k long, c long"))
 
 
 def class_steps(texts: DataFrame, column: str, cls: Classes, rare: DataFrame, classes: int) -> np.ndarray:
@@ -414,34 +404,49 @@ def score(docs: DataFrame, id_col: str, text_col: str, learn: Column, *, table_w
                                               pa.array(tally), pa.array(model), words, often, kind, moved],
                                              ["rid", "id", "held_out", "n", "sure", "tally", "model", "words", "times", "ks", "moves"])
 
+    def flat(lists):
+        """Lengths and joined values of a column of lists; a null is an empty list."""
+        return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), lists.flatten()
+
+    def finish(batches):
+        for batch in batches:
+            m, get = batch.num_rows, dict(zip(batch.schema.names, batch.columns))
+            many, own = flat(get["ks"])
+            start, owner = np.cumsum(many) - many, np.repeat(np.arange(m), many)
+            k, times = own.to_numpy().astype(np.int64), flat(get["times"])[1].to_numpy()
+            c = np.zeros(len(k), np.int64)
+            many, told = flat(get["told"])
+            at = np.repeat(start, many) + told.field("pos").to_numpy()
+            k[at], c[at] = told.field("k").to_numpy(), told.field("c").to_numpy()
+            emitted = np.bincount(owner, times * below[k], m)
+            more = np.bincount(owner, times * np.log10(c + ADD), m)
+            found = np.bincount(owner, times * (c > 0), m).astype(np.int64)
+            many, moves = flat(get["moves"])
+            moves, first = moves.to_numpy(), np.repeat(start, many)
+
+            def ends(x):
+                x, rare = x.copy(), x >= classes
+                x[rare] = k[first[rare] + x[rare] - classes]
+                return x
+
+            stepped = np.bincount(np.repeat(np.arange(m), many), change[ends(moves >> 32), ends(moves & (2 ** 32 - 1))], m)
+            whole = get["tally"].to_numpy() + more
+            n = get["n"].to_numpy()
+            result = whole + get["model"].to_numpy() + stepped - emitted
+            yield pa.RecordBatch.from_arrays(
+                [get["id"], get["held_out"], get["n"], pa.array(get["sure"].to_numpy() + found + (1 if n_texts else 0)),
+                 pa.array(np.full(m, int(n_all))), pa.array(whole + edge_count - n * each), pa.array(result), pa.array(10.0 ** (-result / n))],
+                [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
     kind = dict(docs.dtypes)[id_col]
-    scored = cut_lineage(rows.mapInArrow(run, f"rid long, id {kind}, held_out boolean, n long, sure long, tally double, model double, "
-                                              "words array<long>, times array<long>, ks array<long>, moves array<long>"))
-    emit = F.element_at(F.array(*[F.lit(float(x)) for x in below]), (F.coalesce("k", "own") + 1).cast("int"))
-    rare = (scored.select("rid", F.explode(F.arrays_zip("words", "times", "ks")).alias("w"))
-            .select("rid", F.col("w.words").alias("h"), F.col("w.times").alias("times"), F.col("w.ks").alias("own"))
-            .join(beyond, "h", "left")
-            .groupBy("rid").agg(F.sum(F.col("times") * emit).alias("emitted"),
-                                F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"),
-                                F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("found")))
-    plain = lambda x: x < classes
-    side = lambda x: (F.when(plain(x), x).otherwise(F.get("ks", (x - classes).cast("int"))),
-                      F.when(~plain(x), F.get("words", (x - classes).cast("int"))))
-    names = ("a", "a_word", "b", "b_word")
-    ends = lambda x: [c.alias(n) for c, n in zip((*side(F.shiftright(x, 32)), *side(x.bitwiseAND(F.lit(2 ** 32 - 1)))), names)]
-    loose = scored.select("rid", F.explode(F.transform("moves", lambda x: F.struct(*ends(x)))).alias("p")).select("rid", "p.*")
-    step = F.element_at(F.array(*[F.lit(float(x)) for x in change.ravel()]), (F.col("a") * classes + F.col("b") + 1).cast("int"))
-    stepped = _joined(loose, beyond).groupBy("rid").agg(F.sum(step).alias("stepped"))
-    whole = F.col("tally") + F.coalesce("more", F.lit(0.0))
-    tokens = F.col("n")
     each = float(np.log10(n_all + ADD * (n_words + 1)))
-    result = whole + F.col("model") + F.coalesce("stepped", F.lit(0.0)) - F.coalesce("emitted", F.lit(0.0))
-    return scored.join(rare, "rid", "left").join(stepped, "rid", "left").select(
-        F.col("id").alias(id_col), "held_out", tokens.alias("n_tokens"),
-        (F.col("sure") + F.coalesce("found", F.lit(0)) + F.lit(1 if n_texts else 0)).cast("long").alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (whole + F.lit(float(edge_count)) - tokens * F.lit(each)).alias("base_score"), result.alias("score"),
-        F.pow(F.lit(10.0), -result / tokens).alias("perplexity"))
+    scored = cut_to_parquet(rows.mapInArrow(run, f"rid long, id {kind}, held_out boolean, n long, sure long, tally double, model double, "
+                                                 "words array<long>, times array<long>, ks array<long>, moves array<long>"))
+    # A text gets the classes and counts of its own words back as one list, no longer than its row.
+    told = (scored.select("rid", F.posexplode("words").alias("pos", "h")).join(beyond, "h")
+            .groupBy("rid").agg(F.collect_list(F.struct("pos", "k", "c")).alias("told")))
+    return scored.drop("words").join(told, "rid", "left").mapInArrow(
+        finish, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op4_brown_classes(spark, folder: str) -> DataFrame:
