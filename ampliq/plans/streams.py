@@ -17,7 +17,8 @@ _FIRST = _CALLS + """, f AS (SELECT doc_id, sha256(seq) AS sha, grp, make_timest
 
 def _run_monitor(spark, folder):
     schema = table(spark, folder, "documents").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    # The table may be one file or a folder of files of any name; a source takes a single file only by a pattern.
+    raw = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/documents.parque[t]")
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420)
     arriving = raw.select("doc_id", F.col("lang").alias("grp"), S.letters_only(F.col("text")).alias("seq"), start.alias("arrived_at"),
                           F.when(F.col("lang") == "en", "target").otherwise("off_target").alias("role")).filter(F.length("seq") >= 24)

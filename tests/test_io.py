@@ -144,3 +144,14 @@ def test_stream_monitor_sees_each_sequence_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/seen").select("sequence_sha256").distinct().count() == spark.read.parquet(f"{out}/seen").count() == 4
     got = {(r.doc_id, r.code) for r in spark.read.parquet(f"{out}/reasons").collect()}
     assert got == {(3, "new_target_lost_coherent_product"), (5, "new_target_lost_coherent_product"), (6, "new_signal_generating_off_target")}
+
+
+def test_stream_queries_read_a_table_of_several_files(spark, tmp_path):
+    """documents.parquet may be a folder; its files carry other names."""
+    import __spark_entry__ as E
+    src = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{src}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{src}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("streamed_drift_reasons", "streamed_window_counts"):
+        one, many = (sorted(E.queries()[name](spark, f).collect(), key=repr) for f in (src, str(tmp_path)))
+        assert one == many and one
