@@ -54,20 +54,20 @@ _ARRIVED = f"""{X.SUBJECTS}, parts AS (SELECT doc_id, grp, seq, doc_id % 8 AS pa
 firsts AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY part, arrived, doc_id) AS nth FROM parts)"""
 
 
-def _arrivals(spark, folder):
-    """The documents as eight files that arrive one after the other; each spans all days, so most rows of a later file are late."""
+def _first_arrivals(spark, folder):
+    """The documents arrive in eight deliveries, each of any number of files; each spans all days, so most rows of a later one are late.
+
+    A run of the stream takes all that has arrived, so a delivery is a batch. The rows are read and cut once, before the first.
+    """
     place = SD.work_folder(spark, "arrivals")
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 1740)
     rows = X.subjects(spark, folder).select("doc_id", "grp", "seq", start.alias("arrived_at"), (F.col("doc_id") % 8).alias("part"))
+    rows.write.partitionBy("part").parquet(f"{place}/out")
+    waiting = spark.read.schema(rows.schema).option("basePath", f"{place}/out").parquet(f"{place}/out")
     for part in range(8):
-        rows.where(F.col("part") == part).repartition(1).write.mode("append").parquet(f"{place}/in")
-    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-    return place, SD.arriving_sequences(raw)
-
-
-def _first_arrivals(spark, folder):
-    place, stream = _arrivals(spark, folder)
-    SD.first_arrivals(stream, place, record="doc_id").awaitTermination()
+        waiting.where(F.col("part") == part).write.mode("append").parquet(f"{place}/in")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        SD.first_arrivals(SD.arriving_sequences(arrived), place, record="doc_id").awaitTermination()
     return place
 
 
@@ -87,10 +87,10 @@ WHERE mark IS NULL OR day + INTERVAL 1 DAY > mark GROUP BY 1, 2""")
 def streamed_late_arrivals(spark, folder):
     """New sequences per day and group; rows that come after the watermark has passed their day are not counted."""
     place = _first_arrivals(spark, folder)
-    done = spark.read.parquet(f"{place}/fresh")
-    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/fresh")
-    counts = (stream.withWatermark("arrived_at", "2 days").groupBy(F.window("arrived_at", "1 day").alias("w"), F.coalesce("grp", F.lit("")).alias("grp"))
-              .agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "grp", "n"))
+    fresh = spark.read.parquet(f"{place}/fresh").withColumn("grp", F.coalesce("grp", F.lit("")))
+    stream = SD.tallied_batches(fresh, place, 8, ["grp"], "1 day")
+    counts = (stream.withWatermark("arrived_at", "2 days").groupBy(F.window("arrived_at", "1 day").alias("w"), "grp")
+              .agg(F.sum("n").alias("n")).select(F.col("w.start").alias("window_start"), "grp", "n"))
     keys = ["window_start", "grp"]
     SD.write_counts(counts, place, keys).awaitTermination()
     out = SD.latest_counts(spark, place, keys)

@@ -110,6 +110,22 @@ def rolling_counts(calls: DataFrame, *, assay: str, width: str = "1 day", late:
             .select(F.col("w.start").alias("window_start"), assay, "grp", "coherent_products", "signal_products"))
 
 
+def tallied_batches(rows: DataFrame, folder: str, batches: int, keys: list[str], width: str) -> DataFrame:
+    """A stream of counts ``n`` per window and key of finished batches, one micro-batch per batch however many files it has.
+
+    ``rows`` carry ``arrived_at`` and ``batch``. The latest time of a window and key stands for its rows: it falls into the
+    same window and moves a watermark as far as they do. The counts of a batch are one file, since files are what a trigger
+    limits.
+    """
+    spark, path = rows.sparkSession, f"{folder}/tallied"
+    tallied = None
+    for batch in range(batches):
+        tallied = (rows.where(F.col("batch") == batch).groupBy(F.window("arrived_at", width).alias("w"), *keys)
+                   .agg(F.count("*").alias("n"), F.max("arrived_at").alias("arrived_at")).drop("w"))
+        tallied.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(tallied.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def write_counts(counts: DataFrame, folder: str, keys: list[str]):
     """Run the windowed counts in update mode; ``latest_counts`` reads the newest value per key."""
     def handle(batch: DataFrame, batch_id: int) -> None:
