@@ -21,7 +21,7 @@ def single_placement_products(assays: DataFrame, subjects: DataFrame, *, assay:
     """
     oligos = assays.select(assay, F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("oligo")) for r, c in (("F", "forward"), ("R", "reverse"))])).alias("o")) \
         .select(F.to_json(F.struct(assay, "o.role")).alias("__key"), assay, "o.role", "o.oligo").where("oligo is not null and oligo <> ''")
-    placed = best_placements(oligos, subjects, oligo_key="__key", subject_key=subject)
+    placed = best_placements(oligos, subjects, oligo_key="__key", subject_key=subject, least=min_ident)
     n, i = F.length("oligo"), F.col("offset")
     ends = F.substr("window", n, F.lit(1))
     fits = (ends == "N") | F.array_contains(S.base_set(F.substr("oligo", n, F.lit(1))), ends)
