@@ -44,3 +44,22 @@ def test_batches_that_leave_a_task_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["slice", "block", "kind", "id", "text", "start", "slen"])
     sizes = [b.num_rows for b in B.stream(iter([batch]), lambda ids, texts: B._Placed(ids, texts, 0.0), "start", "slen")]
     assert sum(sizes) == 1_000_000 and max(sizes) < B.FLUSH + 100 and np.mean(sizes) > 20000
+
+
+def test_windows_hold_the_bases_that_end_there(spark, monkeypatch):
+    """Every word of every position, across blocks of 15 and chunk ends, and text is converted once a block, not once a position."""
+    from ampliq.functions import seq as S
+    from ampliq.operators import sites as SI
+    monkeypatch.setattr(SI, "CHUNK", 32)
+    rnd = random.Random(5)
+    seqs = {n: "".join(rnd.choice("ACGTN") for _ in range(n)) for n in (1, 14, 15, 16, 31, 32, 33, 64, 100)}
+    got = SI.windows(spark.createDataFrame(list(seqs.items()), "d int, seq string"), ["d"], "seq", 30, "+")
+    code = dict(zip(S.IUPAC_LETTERS, S.IUPAC_HEX))
+    held = lambda s, stop: int("".join(code[c] for c in s[max(stop - 15, 0):max(stop, 0)]) or "0", 16)
+    want = {(n, q, held(s, q + 1)) for n, s in seqs.items() for q in range(n)}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.d, r.q, r.m0) for r in rows} == want
+    # The second word may lack bases beyond the 30 that were asked for, never one of them.
+    assert all(r.m1 == held(seqs[r.d], r.q - 14) for r in rows if r.q % 32 >= 29 or r.q < 32)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(sequence(0, more")[0]
+    assert "conv(" not in above
