@@ -8,6 +8,7 @@ from ..operators import design as D
 from ..operators import records as R
 from ..operators import selection as C
 from ..operators import tallies as T
+from ..session import cut_to_parquet
 from . import shapes as X
 from .design import _PAIRS, SHORT, pairs, probes
 from .registry import query
@@ -20,10 +21,11 @@ st AS (SELECT doc_id, item_id, CASE WHEN has_probe AND ident < 85 THEN 'product_
 
 def candidate_states(spark, folder):
     """(doc_id, item_id, state) of every candidate that amplifies a case, or fails on its primers' ends."""
-    calls = _calls(spark, folder)
+    amplified = cut_to_parquet(_amplified(spark, folder))
+    calls = _calls(spark, folder, amplified)
     state = R.prediction_state(F.lit(True), F.col("probe").isNotNull(), F.col("probe_binds"))
     failed = (_states(spark, folder).groupBy("item_id", "doc_id").agg(F.bool_or(F.col("state") == "3prime").alias("terminal")).where("terminal")
-              .join(_amplified(spark, folder).select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti"))
+              .join(amplified.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti"))
     return (calls.select("doc_id", "item_id", state.alias("state"))
             .unionByName(failed.select("doc_id", "item_id", F.lit("no_product_terminal").alias("state"))))
 

@@ -63,3 +63,12 @@ def test_windows_hold_the_bases_that_end_there(spark, monkeypatch):
     assert all(r.m1 == held(seqs[r.d], r.q - 14) for r in rows if r.q % 32 >= 29 or r.q < 32)
     above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(sequence(0, more")[0]
     assert "conv(" not in above
+
+
+def test_failure_reasons_sweep_products_once(spark):
+    """What is read twice is worked out once: the final plan holds no sweep and no site search any more."""
+    import __spark_entry__ as E
+    out = E.queries()["failed_amplification_reasons"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "bit_count" not in plan
+    assert out.count() > 0
