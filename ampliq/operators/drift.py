@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import products as P
+from . import product_scan as A
 
 # Assay ids that travel together in one row.
 BLOCK = 1024
@@ -14,12 +14,9 @@ BLOCK = 1024
 def scan_assays(assays: DataFrame, records: DataFrame, *, assay: str, record: str, min_product: int = 40,
                 max_product: int = 3000, min_ident: float = 85.0, max_len: int = 60) -> DataFrame:
     """Coherent and signal products of every assay on every record that yields one."""
-    sites = P.priming_sites(assays, records, [assay], [record], max_len=max_len)
-    made = P.amplify(sites, [assay, record], min_product=min_product, max_product=max_product)
-    judged = P.probe_identity(made, records, assays, [assay], [record], min_ident=min_ident)
-    return judged.select(assay, record, F.lit(True).alias("coherent"),
-                         (F.col("probe").isNull() | F.coalesce("probe_binds", F.lit(False))).alias("signal"),
-                         F.col("product"), "probe_ident")
+    made = A.amplified(assays, records, [assay], [record], min_product=min_product, max_product=max_product, max_len=max_len)
+    judged = A.judged(made, assays, [assay], min_ident)
+    return judged.select(assay, record, F.lit(True).alias("coherent"), "signal", F.col("product"), "probe_ident")
 
 
 def reason_code(role: Column, coherent: Column, signal: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as D
 from ..operators import records as R
+from ..session import cut_to_parquet
 from . import shapes as X
 from .registry import query
 from .sites import _CALLS
@@ -22,6 +23,11 @@ def fresh_records(spark, folder):
     return D.new_records(rows.filter("doc_id % 10 < 8"), rows.filter("doc_id % 10 >= 1"))
 
 
+def _kept(spark, folder):
+    """New records, worked out once for all that reads them."""
+    return cut_to_parquet(fresh_records(spark, folder).select("doc_id", "seq", "sequence_sha256", "role"))
+
+
 def _scan(spark, folder, fresh):
     return D.scan_assays(X.assays(spark, folder), fresh, assay="item_id", record="doc_id", min_product=20, max_len=30)
 
@@ -39,7 +45,7 @@ dc AS (SELECT a.item_id, (SELECT count(*) FROM fresh WHERE role = 'target') AS n
 @query("drift_states", f"""WITH {_COUNTS} SELECT item_id, nt::BIGINT AS n_target, no::BIGINT AS n_off, (nt - t)::BIGINT AS lost_product, lp::BIGINT AS lost_probe, os::BIGINT AS off_signal,
   CASE WHEN cur = 0 THEN 'Evidence insufficient' WHEN os > 0 THEN 'Possible signal-generating off-target' WHEN nt - t > 0 OR lp > 0 THEN 'Possible target dropout' WHEN nt + no > 0 THEN 'Stable with new variation' ELSE 'Stable' END AS state FROM dc""")
 def drift_states(spark, folder):
-    fresh = fresh_records(spark, folder)
+    fresh = _kept(spark, folder)
     out = D.drift_counts(X.assays(spark, folder), fresh, _scan(spark, folder, fresh), assay="item_id", record="doc_id")
     current = X.subjects(spark, folder).filter("grp = 'en' and doc_id % 10 >= 1").agg(F.count("*").alias("n_current"))
     out = out.crossJoin(current)  # one row
@@ -55,6 +61,6 @@ def drift_states(spark, folder):
   SELECT DISTINCT item_id, code, sha, sha256('scan-1|' || item_id || '|' || code || '|' || sha) AS fp FROM r WHERE code IS NOT NULL)
 SELECT item_id, code, 'VR-2026-' || upper(left(fp, 12)) AS record_id FROM k""")
 def vulnerability_records(spark, folder):
-    fresh = fresh_records(spark, folder)
+    fresh = _kept(spark, folder)
     reasons = D.drift_reasons(X.assays(spark, folder), fresh, _scan(spark, folder, fresh), assay="item_id", record="doc_id")
     return D.vulnerability_records(reasons, assay="item_id", scan_id="scan-1", year=2026).select("item_id", "code", "record_id")

@@ -21,7 +21,7 @@ st AS (SELECT doc_id, item_id, CASE WHEN has_probe AND ident < 85 THEN 'product_
 
 def candidate_states(spark, folder):
     """(doc_id, item_id, state) of every candidate that amplifies a case, or fails on its primers' ends."""
-    amplified = cut_to_parquet(_amplified(spark, folder))
+    amplified = cut_to_parquet(_amplified(spark, folder, probes=True))
     calls = _calls(spark, folder, amplified)
     state = R.prediction_state(F.lit(True), F.col("probe").isNotNull(), F.col("probe_binds"))
     failed = (_states(spark, folder).groupBy("item_id", "doc_id").agg(F.bool_or(F.col("state") == "3prime").alias("terminal")).where("terminal")
