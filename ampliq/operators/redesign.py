@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import seq as S
+from .sites import find_sites
 
 
 def placement_status(q3: Column, q3_definite: Column, is_primer: Column) -> Column:
@@ -13,20 +13,18 @@ def placement_status(q3: Column, q3_definite: Column, is_primer: Column) -> Colu
             .when(q3, "possible_ambiguous").otherwise("mismatch"))
 
 
-def one_base_repairs(hits: DataFrame, oligos: DataFrame, templates: DataFrame, oligo_keys: list[str],
-                     template_key: str, *, seq: str = "seq") -> DataFrame:
+def one_base_repairs(oligos: DataFrame, templates: DataFrame, oligo_keys: list[str], template_key: str, *,
+                     seq: str = "seq", max_len: int = 60) -> DataFrame:
     """Substitutions that turn a single-mismatch placement into an exact one.
 
-    Forward oligos count on the plus strand, reverse ones on the minus strand, probes on both;
-    placements over ambiguous bases are left out.
+    ``oligos`` carry ``role`` and ``oligo``. Forward ones count on the plus strand, reverse ones on the minus strand, probes on
+    both; placements over ambiguous bases are left out. The letters of a site come with it, so no sequence is joined.
     """
-    right_way = ((F.col("role") == "P") | ((F.col("role") == "F") & (F.col("strand") == "+"))
-                 | ((F.col("role") == "R") & (F.col("strand") == "-")))
-    single = hits.filter((F.col("mm") == 1) & (F.col("ambiguous_bases") == 0) & right_way)
-    text = single.join(oligos, oligo_keys).join(templates.select(template_key, seq), template_key)
-    plus = F.substr(F.col(seq), F.col("lo") + 1, F.col("olen"))
-    site = F.when(F.col("strand") == "+", plus).otherwise(S.revcomp(plus))
-    out = text.withColumn("new", site).filter(~F.col("new").rlike("[^ACGT]"))
+    on = F.when(F.col("role") == "F", "+").when(F.col("role") == "R", "-").when(F.col("role") == "P", "+-").otherwise("")
+    hits = find_sites(oligos.withColumn("__way", on), templates, oligo_keys=oligo_keys, subject_keys=[template_key], seq=seq, anchor=0, max_mm=1,
+                      max_len=max_len, strand_of_oligo="__way", site=True)
+    single = hits.filter((F.col("mm") == 1) & (F.col("ambiguous_bases") == 0))
+    out = single.join(oligos, oligo_keys).withColumn("new", F.col("site")).filter(~F.col("new").rlike("[^ACGT]"))
     spot = F.filter(F.sequence(F.lit(1), F.col("olen")),
                     lambda i: F.substr(F.col("oligo"), i, F.lit(1)) != F.substr(F.col("new"), i, F.lit(1)))
     out = out.withColumn("position", F.get(spot, F.lit(0)))

@@ -33,6 +33,9 @@ BLOCK = 4096
 _MASKS = np.zeros(256, np.uint8)
 for _letter, _hex in zip(S.IUPAC_LETTERS, S.IUPAC_HEX):
     _MASKS[ord(_letter)] = int(_hex, 16)
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+for _letter, _other in zip(S.IUPAC_LETTERS, S.IUPAC_COMPLEMENT):
+    _COMPLEMENT[ord(_letter)] = ord(_other)
 _TURNED = np.array([(m & 1) << 3 | (m & 2) << 1 | (m & 4) >> 1 | (m & 8) >> 3 for m in range(16)], np.uint8)
 _CODES = np.zeros(16, np.int32)
 _CODES[[1, 2, 4, 8]] = range(4)
@@ -89,9 +92,17 @@ class Texts:
         raw = np.frombuffer((gap + gap.join(texts) + gap).encode("ascii", "replace"), np.uint8)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = room + np.concatenate([[0], np.cumsum(self.sizes[:-1] + room)]).astype(np.int64)
-        self.masks, self.n = _MASKS[raw], len(raw)
+        self.raw, self.masks, self.n = raw, _MASKS[raw], len(raw)
         self.made: dict[bool, Strand] = {}
 
+    def letters(self, subject: np.ndarray, lo: np.ndarray, size: np.ndarray, minus: np.ndarray) -> pa.StringArray:
+        """Letters of sites, in the direction of their strand."""
+        first, ends = self.starts[subject] + lo, np.cumsum(size)
+        k = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        back = np.repeat(minus, size)
+        seen = self.raw[np.where(back, np.repeat(first + size - 1, size) - k, np.repeat(first, size) + k)]
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.where(back, _COMPLEMENT[seen], seen)))
+
     def strand(self, minus: bool) -> Strand:
         if minus not in self.made:
             self.made[minus] = Strand(_TURNED[self.masks[::-1]] if minus else self.masks)
@@ -301,14 +312,15 @@ def stream(batches: Iterator[pa.RecordBatch], start: Callable) -> Iterator[pa.Re
 class _Listed:
     """Lists every site."""
 
-    def __init__(self, oligos: pa.Table, room: int, **rules) -> None:
-        self.o, self.room = oligos.column("o").combine_chunks(), room
+    def __init__(self, oligos: pa.Table, room: int, site: bool, **rules) -> None:
+        self.o, self.room, self.site = oligos.column("o").combine_chunks(), room, site
         on = oligos.column("x").combine_chunks().field("on").to_pylist()
         self.oligos = Oligos(oligos.column("text").to_pylist(), on, **rules)
 
     def take(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own, until, begin = (rows.column(c).to_numpy().astype(np.int64) for c in ("own", "until", "begin"))
-        for h in self.oligos.search(Texts(rows.column("text").to_pylist(), self.room)):
+        texts = Texts(rows.column("text").to_pylist(), self.room)
+        for h in self.oligos.search(texts):
             at = h.lo + begin[h.subject]
             k = np.flatnonzero((at >= own[h.subject]) & (at < until[h.subject]))
             if len(k):
@@ -316,21 +328,23 @@ class _Listed:
                 yield pa.RecordBatch.from_arrays(
                     [self.o.take(pa.array(h.oligo[k])), rows.column("s").take(pa.array(h.subject[k])), pa.array(["+", "-"]).take(pa.array(h.minus[k].astype(np.int8))),
                      pa.array(size, pa.int32()), pa.array(h.mm[k], pa.int32()), pa.array(at[k], pa.int32()), pa.array(at[k] + size - 1, pa.int32()),
-                     pa.array(h.q3[k]), pa.array(h.definite[k]), pa.array(h.mixed[k], pa.int32())],
-                    ["o", "s", "strand", "olen", "mm", "lo", "hi", "q3", "q3_definite", "ambiguous_bases"])
+                     pa.array(h.q3[k]), pa.array(h.definite[k]), pa.array(h.mixed[k], pa.int32()),
+                     *([texts.letters(h.subject[k], h.lo[k], size, h.minus[k])] if self.site else [])],
+                    ["o", "s", "strand", "olen", "mm", "lo", "hi", "q3", "q3_definite", "ambiguous_bases", *(["site"] if self.site else [])])
 
     def done(self) -> Iterator[pa.RecordBatch]:
         return iter(())
 
 
 def list_sites(oligos: DataFrame, subjects: DataFrame, *, oligo_keys: list[str], subject_keys: list[str], oligo: str, seq: str, max_len: int,
-               on: str, max_mm: int, anchor: int, exact_tail: bool) -> DataFrame:
-    """One row per site; ``on`` names the column of the strands that an oligo is looked for on."""
+               on: str, max_mm: int, anchor: int, exact_tail: bool, site: bool = False) -> DataFrame:
+    """One row per site, with its letters if ``site``; ``on`` names the column of the strands that an oligo is looked for on."""
     left = oligos.select(F.struct(*oligo_keys).alias("o"), F.col(oligo).alias("text"), F.struct(F.col(on).alias("on")).alias("x"))
     n_blocks = max(1, -(-oligos.count() // BLOCK))
     rows = cut_rows(subjects, subject_keys, seq, 0, max_len - 1)
     kinds = {c: t for c, t in [*left.dtypes, *rows.dtypes]}
-    names = (f"o {kinds['o']}, s {kinds['s']}, strand string, olen int, mm int, lo int, hi int, q3 boolean, q3_definite boolean, ambiguous_bases int")
+    names = (f"o {kinds['o']}, s {kinds['s']}, strand string, olen int, mm int, lo int, hi int, q3 boolean, q3_definite boolean, ambiguous_bases int"
+             + ", site string" * site)
     found = meet(left, rows, n_blocks, ["o", "text"]).mapInArrow(lambda batches: stream(
-        batches, lambda some: _Listed(some, max_len, max_mm=max_mm, anchor=anchor, exact_tail=exact_tail)), names)
+        batches, lambda some: _Listed(some, max_len, site, max_mm=max_mm, anchor=anchor, exact_tail=exact_tail)), names)
     return found.select("o.*", "s.*", *[c for c in found.columns if c not in ("o", "s")])

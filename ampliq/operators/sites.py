@@ -72,6 +72,7 @@ def find_sites(
     max_len: int = 60,
     subject_n_matches: bool = True,
     strand_of_oligo: str | None = None,
+    site: bool = False,
 ) -> DataFrame:
     """All sites of every oligo on every subject with at most ``max_mm`` mismatches.
 
@@ -80,7 +81,7 @@ def find_sites(
     Coordinates ``lo``/``hi`` are 0-based inclusive on the plus strand. An ambiguous subject
     base is a possible match unless ``subject_n_matches`` is off, in which case only A, C, G, T
     of the subject can match. ``strand_of_oligo`` names a column that restricts an oligo to one
-    strand.
+    strand. ``site`` adds the letters of the site as the oligo reads them.
     """
     alphabet = S.IUPAC_LETTERS if subject_n_matches else "ACGT"
     known = oligos.filter(F.length(oligo) >= F.lit(max(anchor, 1 if exact_tail else max_mm + 1)))
@@ -90,4 +91,4 @@ def find_sites(
     on = F.lit(which) if strand_of_oligo is None else F.when(F.instr(F.lit(which), F.col(strand_of_oligo)) > 0, F.col(strand_of_oligo)).otherwise("")
     clean = subjects.withColumn(seq, F.regexp_replace(seq, f"[^{alphabet}]", "0"))
     return list_sites(checked.withColumn("__on", on), clean, oligo_keys=oligo_keys, subject_keys=subject_keys, oligo=oligo, seq=seq,
-                      max_len=max_len, on="__on", max_mm=max_mm, anchor=anchor, exact_tail=exact_tail)
+                      max_len=max_len, on="__on", max_mm=max_mm, anchor=anchor, exact_tail=exact_tail, site=site)
