@@ -44,8 +44,8 @@ FROM (SELECT doc_id, text, packed, regexp_replace(packed, '[ACGTRYSWKMBDHVNU]',
   FROM (SELECT doc_id, text, text AS left_part FROM documents)))""")
 def sequence_cleaning(spark, folder):
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    clean, error = S.clean_sequence(F.regexp_replace("text", r"[^\x00-\x7F]", ""))
-    return docs.select("doc_id", error.alias("error"), F.sha2(clean, 256).alias("clean_sha"))
+    made = docs.select("doc_id", S.cleaned(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("made"))
+    return made.select("doc_id", "made.error", F.sha2("made.clean", 256).alias("clean_sha"))
 
 
 @query("record_acceptance", """WITH r AS (
