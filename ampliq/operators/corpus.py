@@ -19,12 +19,16 @@ def acceptance_reasons(seq: Column, max_length: int | None = None) -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def _judged(records: DataFrame, seq: str, max_length: int | None) -> DataFrame:
+    dna = F.translate(F.regexp_replace(F.upper(F.col(seq)), r"\s+", ""), "U", "T")
+    return (records.withColumn(seq, dna)
+            .withColumn("reasons", acceptance_reasons(F.col(seq), max_length))
+            .withColumn("length", F.coalesce(F.length(seq), F.lit(0))))
+
+
 def split_records(records: DataFrame, seq: str = "seq", max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted records with their content hash, and rejects with reasons."""
-    dna = F.translate(F.regexp_replace(F.upper(F.col(seq)), r"\s+", ""), "U", "T")
-    judged = (records.withColumn(seq, dna)
-              .withColumn("reasons", acceptance_reasons(F.col(seq), max_length))
-              .withColumn("length", F.coalesce(F.length(seq), F.lit(0))))
+    judged = _judged(records, seq, max_length)
     accepted = (judged.filter(F.size("reasons") == 0).drop("reasons")
                 .withColumn("sequence_sha256", F.sha2(F.col(seq), 256)))
     return accepted, judged.filter(F.size("reasons") > 0).drop(seq)
@@ -55,21 +59,35 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return picked.select(*keys, "row.*").select(*df.columns)
 
 
-def snapshot_metrics(marked: DataFrame, rejected: DataFrame, group: str = "grp") -> DataFrame:
-    """One row of corpus counts plus the unique-record count per group."""
-    unique = F.col("disposition") == "accepted_unique"
-    body = marked.agg(
-        F.count("*").alias("raw_record_count"),
-        F.count_if(unique).alias("unique_sequence_count"),
-        F.sum("length").alias("raw_total_bases"),
-        F.sum(F.when(unique, F.col("length"))).alias("unique_total_bases"),
-        F.count_if(~unique).alias("exact_duplicate_count"))
-    groups = (marked.filter(unique)
-              .groupBy(F.coalesce(F.col(group).cast("string"), F.lit("ungrouped")).alias("g"))
-              .agg(F.count("*").alias("n"))
-              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", "n")))).alias("group_counts")))
-    return (body.join(rejected.agg(F.count("*").alias("rejected_record_count")))
-            .join(groups))
+def snapshot_metrics(records: DataFrame, order: str, group: str = "grp", seq: str = "seq") -> DataFrame:
+    """One row of corpus counts plus the unique-record count per group.
+
+    Records are read once: they are counted per sequence and ``order``, then per sequence, then per group. The records of the
+    least ``order`` of a sequence are its unique ones, the later ones are duplicates.
+    """
+    ok = F.size("reasons") == 0
+    judged = _judged(records, seq, None).select(
+        F.when(ok, F.unhex(F.sha2(F.col(seq), 256))).alias("key"), F.when(ok, F.col(order)).alias("order"),
+        F.when(ok, F.coalesce(F.col(group).cast("string"), F.lit("ungrouped"))).alias("g"), F.when(ok, F.col("length")).alias("length"))
+    # Copies meet in the tasks before any shuffle; all rejects are one row.
+    rows = judged.groupBy("key", "order", "g").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+    placed = rows.groupBy("key", "order").agg(F.sum("n").alias("n"), F.max("length").alias("length"), F.collect_list(F.struct("g", "n")).alias("groups"))
+    known = F.col("order").isNotNull()
+    each = placed.groupBy("key").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("ordered"), F.max("length").alias("length"),
+        F.min_by(F.when(known, F.col("groups")), F.when(known, F.col("order"))).alias("first"))
+    spread = each.select("key", "n", "ordered", "length", F.posexplode_outer("first"))
+    head, accepted = F.coalesce("pos", F.lit(0)) == 0, F.col("key").isNotNull()
+    totals = spread.groupBy(F.col("col.g").alias("g")).agg(
+        F.sum(F.when(accepted & head, F.col("n"))).alias("raw"), F.sum("col.n").alias("unique"),
+        F.sum(F.when(accepted & head, F.col("n") * F.col("length"))).alias("raw_bases"), F.sum(F.col("col.n") * F.col("length")).alias("unique_bases"),
+        F.sum(F.when(accepted & head, F.col("ordered"))).alias("ordered"), F.sum(F.when(~accepted, F.col("n"))).alias("rejected"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return totals.agg(
+        total("raw").alias("raw_record_count"), total("unique").alias("unique_sequence_count"), F.sum("raw_bases").alias("raw_total_bases"),
+        F.sum("unique_bases").alias("unique_total_bases"), (total("ordered") - total("unique")).alias("exact_duplicate_count"),
+        total("rejected").alias("rejected_record_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("unique") > 0, F.struct("g", F.col("unique").alias("n")))))).alias("group_counts"))
 
 
 def snapshot_delta(base: DataFrame, follow: DataFrame, record_id: str, key: str = "sequence_sha256") -> DataFrame:

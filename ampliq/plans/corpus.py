@@ -80,8 +80,7 @@ SELECT count(*)::BIGINT AS raw_record_count, count(*) FILTER (doc_id = first_id)
     (SELECT grp AS g, count(*) AS n FROM hashed WHERE doc_id = first_id GROUP BY grp)) AS group_counts
 FROM hashed""")
 def snapshot_metrics(spark, folder):
-    accepted, rejected = C.split_records(X.subjects(spark, folder))
-    out = C.snapshot_metrics(C.mark_duplicates(accepted, "doc_id", "doc_id"), rejected)
+    out = C.snapshot_metrics(X.subjects(spark, folder), "doc_id")
     flat = F.array_join(F.transform(F.map_entries("group_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return out.withColumn("group_counts", flat)
 
