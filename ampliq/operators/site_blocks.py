@@ -8,17 +8,23 @@ pigeonhole principle makes the seeds exact for the allowed number of mismatches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyarrow import compute
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
 
+# What runs in tasks travels with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+WORD, ONES = S.WORD, S.ONES
 #: Letters that are searched at a time.
 LETTERS = 1 << 18
 #: Candidates that are verified at a time.
@@ -54,7 +60,7 @@ def _back(values: np.ndarray, n: int) -> np.ndarray:
 def flags(masks: np.ndarray) -> np.ndarray:
     """One set bit per nibble that is not zero."""
     either = masks | masks >> 1
-    return (either | either >> 2) & S.ONES
+    return (either | either >> 2) & ONES
 
 
 class Strand:
@@ -131,11 +137,11 @@ class Oligos:
         self.max_mm, self.anchor = max_mm, anchor
         self.sizes = np.array([len(o) for o in oligos], np.int64)
         self.longest = int(self.sizes.max()) if len(oligos) else 0
-        width = S.word_count(max(self.longest, 1)) * S.WORD
+        width = -(-max(self.longest, 1) // WORD) * WORD
         raw = np.frombuffer(bytearray("".join(o.rjust(width, "\0") for o in oligos).encode("ascii", "replace")), np.uint8)
         # Column k holds the base k before the 3' end.
         self.masks = _MASKS[raw].reshape(-1, width)[:, ::-1]
-        self.words = [sum(self.masks[:, k + j].astype(np.int64) << 4 * j for j in range(S.WORD)) for k in range(0, width, S.WORD)]
+        self.words = [sum(self.masks[:, k + j].astype(np.int64) << 4 * j for j in range(WORD)) for k in range(0, width, WORD)]
         self.plans = {minus: self._plans([i for i, w in enumerate(on) if ("-" if minus else "+") in w], 0 if exact_tail else max_mm + 1)
                       for minus in (False, True)}
 
@@ -212,8 +218,8 @@ class Oligos:
     def _verified(self, texts: Texts, strand: Strand, minus: bool, where: np.ndarray, oligo: np.ndarray, before: list[tuple[int, int]]) -> Hits:
         held, mm = [], np.zeros(len(where), np.int64)
         for k, words in enumerate(self.words):
-            same = flags(strand.words[np.maximum(where - k * S.WORD, 0)] & words[oligo])
-            mm += np.clip(self.sizes[oligo] - k * S.WORD, 0, S.WORD) - np.bitwise_count(same)
+            same = flags(strand.words[np.maximum(where - k * WORD, 0)] & words[oligo])
+            mm += np.clip(self.sizes[oligo] - k * WORD, 0, WORD) - np.bitwise_count(same)
             held.append(same)
             keep = mm <= self.max_mm
             if not keep.all():
@@ -230,9 +236,9 @@ class Oligos:
         where, oligo, tail = where[keep], oligo[keep], strand.words[where[keep]] & 4095
         mixed = np.zeros(len(where), np.int64)
         for k in range(len(self.words) if strand.mixed else 0):
-            cut = np.clip(self.sizes[oligo] - k * S.WORD, 0, S.WORD)
-            site = strand.words[np.maximum(where - k * S.WORD, 0)] & ((np.int64(1) << 4 * cut) - 1)
-            bits = [site >> b & S.ONES for b in range(4)]
+            cut = np.clip(self.sizes[oligo] - k * WORD, 0, WORD)
+            site = strand.words[np.maximum(where - k * WORD, 0)] & ((np.int64(1) << 4 * cut) - 1)
+            bits = [site >> b & ONES for b in range(4)]
             mixed += np.bitwise_count((bits[0] | bits[1]) & (bits[2] | bits[3]) | bits[0] & bits[1] | bits[2] & bits[3])
         definite = (tail & ~self.words[0][oligo] == 0) & (flags(tail) & 273 == 273)
         return Hits(subject[keep], oligo, np.full(len(where), minus), lo[keep], mm[keep], held[0][keep] & 273 == 273, definite, mixed)
@@ -240,8 +246,8 @@ class Oligos:
     @staticmethod
     def _all_set(held: list[np.ndarray], start: int, stop: int) -> np.ndarray:
         out = np.ones(len(held[0]), bool)
-        for k in range(start // S.WORD, (stop - 1) // S.WORD + 1):
-            want = sum(1 << 4 * (n - k * S.WORD) for n in range(max(start, k * S.WORD), min(stop, (k + 1) * S.WORD)))
+        for k in range(start // WORD, (stop - 1) // WORD + 1):
+            want = sum(1 << 4 * (n - k * WORD) for n in range(max(start, k * WORD), min(stop, (k + 1) * WORD)))
             if k >= len(held):
                 return np.zeros(len(held[0]), bool)
             out &= held[k] & want == want
@@ -299,7 +305,7 @@ def stream(batches: Iterator[pa.RecordBatch], start: Callable) -> Iterator[pa.Re
                 continue  # no oligo in this block
             if state is None:
                 state = start(pa.Table.from_batches(oligos))
-            sizes = np.cumsum(pa.compute.utf8_length(run.column("text")).to_numpy())
+            sizes = np.cumsum(compute.utf8_length(run.column("text")).to_numpy())
             done = 0
             while done < len(sizes):
                 stop = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + LETTERS, "right")))
