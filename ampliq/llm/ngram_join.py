@@ -19,6 +19,7 @@ from .decontam import _near
 from .scratch import forget, tidy
 from ..session import cut_lineage, table
 
+#: Bytes of text whose lower columns meet before the shuffle.
 SLICE = 4 << 20
 BITS = 1024
 STEPS = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(5).integers(1, 2**62, 16)]
@@ -86,7 +87,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
     buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches):
-        for part, offsets, data in tx.slices(batches, "t", SLICE):
+        for part, offsets, data in tx.slices(batches, "t"):
             n = [len(s) for s in shingle_sets(offsets, data, size)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64())], ["id", "dk", "n"])
 
@@ -165,7 +166,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, *, size: int
     n_alive = alive.count()
 
     def full(batches):
-        for part, offsets, data in tx.slices(batches, "t", SLICE):
+        for part, offsets, data in tx.slices(batches, "t"):
             sets = shingle_sets(offsets, data, size)
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
