@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_to_parquet
 
 
-def _gains(states: DataFrame, signatures: DataFrame, sizes: DataFrame, case: str, candidate: str) -> DataFrame:
-    """Per case: candidate pairs that share a signature and differ in this case.
+def _gains(cases: DataFrame, signatures: DataFrame, candidate: str) -> DataFrame:
+    """Cases with ``gain``, the candidate pairs that share a signature and differ in the case.
 
     A pair is covered once some chosen case has told it apart, so uncovered pairs are those inside a signature group; no
-    pair is ever written. Candidates without a row are in one further state together.
+    pair is ever written. Candidates without a row are in one further state together. A case's candidates (``held``) come
+    from one row and follow each other in its task, so nothing but the panel is moved.
     """
-    inside = (states.join(signatures, candidate).groupBy(case, "sig", "state").agg(F.count("*").alias("n"))
-              .groupBy(case, "sig").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.col("n")).alias("sq")).join(sizes, "sig"))
-    silent = F.col("size") - F.col("seen")
-    parted = F.col("size") * F.col("size") - F.col("sq") - silent * silent
-    return inside.groupBy(case).agg((F.sum(parted) / 2).cast("long").alias("gain"))
+    sizes = signatures.groupBy("sig").agg(F.count("*").alias("size"))
+    told = [c for c in cases.columns if c not in ("held", "row")]
+    rows = (cases.select(F.struct(*told).alias("head"), "row", F.posexplode("held"))
+            .select(F.when(F.col("pos") == 0, F.col("head")).alias("head"), "row", F.col(f"col.{candidate}").alias(candidate), F.xxhash64("col.state").alias("state"))
+            .join(F.broadcast(signatures.join(sizes, "sig")), candidate).select("head", "row", "sig", "state", "size"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gains(some: pa.Table) -> pa.RecordBatch:
+            row, sig, state, size = (some[c].to_numpy() for c in ("row", "sig", "state", "size"))
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            case = np.cumsum(np.diff(row, prepend=-1) != 0) - 1
+            order = np.lexsort((state, sig, case))
+            case, sig, state, size = case[order], sig[order], state[order], size[order]
+            group = np.append(True, (case[1:] != case[:-1]) | (sig[1:] != sig[:-1]))
+            kind = np.flatnonzero(np.append(True, group[1:] | (state[1:] != state[:-1])))
+            n = np.diff(np.append(kind, len(case)))
+            begin = np.flatnonzero(group)
+            inside = np.searchsorted(kind, begin)
+            seen, sq, size = np.add.reduceat(n, inside), np.add.reduceat(n * n, inside), size[begin]
+            gain = np.zeros(len(first), np.int64)
+            np.add.at(gain, case[begin], size * size - sq - (size - seen) ** 2)
+            return pa.RecordBatch.from_arrays([some["head"].combine_chunks().take(pa.array(first)), pa.array(gain // 2)], ["head", "gain"])
+
+        held = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            row = some["row"].to_numpy()
+            # The last case may go on in the next batch.
+            whole = int(np.flatnonzero(row != row[-1])[-1]) + 1 if len(row) and row[0] != row[-1] else 0
+            if whole:
+                yield gains(some.slice(0, whole))
+            held = some.slice(whole)
+        if held is not None and len(held):
+            yield gains(held)
+
+    return rows.mapInArrow(summed, f"head {dict(rows.dtypes)['head']}, gain long").select("head.*", "gain")
 
 
 def informative_cases(states: DataFrame, cases: DataFrame, candidates: DataFrame, case: str, candidate: str, *, max_cases: int = 12) -> DataFrame:
@@ -29,25 +65,25 @@ def informative_cases(states: DataFrame, cases: DataFrame, candidates: DataFrame
     takes the case with the most pairs not yet told apart; ties go to more states, then a (role, group) not chosen yet,
     then off-targets, then the smaller case. A null role or group is a group of its own.
 
-    Each round is one aggregate over the states, and none once every pair is covered: gains only fall.
+    The states of a case are gathered into one row, at most one entry a candidate. Each round is one pass over these rows
+    without a shuffle, and none reads the states once every pair is covered: gains only fall.
     """
-    states = cut_lineage(states.select(case, candidate, "state"))
     panel = candidates.select(candidate).distinct()
     signatures = cut_lineage(panel.withColumn("sig", F.lit(0).cast("long")))
-    kinds = (states.join(signatures, candidate).groupBy(case, "state").agg(F.count("*").alias("n")).groupBy(case)
-             .agg(F.count("*").alias("kinds"), F.sum("n").alias("seen")))
-    n_states = F.col("kinds") + F.when(F.col("panel") > F.col("seen"), 1).otherwise(0)
-    open_cases = cut_lineage(cases.select(case, "role", "grp").join(kinds, case).join(signatures.agg(F.count("*").alias("panel")))
-                             .select(case, "role", "grp", n_states.alias("n_states")).where("n_states > 1"))
+    own = (states.join(signatures.select(candidate), candidate).groupBy(case).agg(F.collect_list(F.struct(candidate, "state")).alias("held"))
+           .join(signatures.agg(F.count("*").alias("panel")))
+           .select(case, "held", (F.size(F.array_distinct(F.transform("held", lambda h: h["state"])))
+                                  + F.when(F.col("panel") > F.size("held"), 1).otherwise(0)).cast("long").alias("n_states")))
+    open_cases = cut_to_parquet(cases.select(case, "role", "grp").join(own, case).where("n_states > 1")
+                                .withColumn("row", F.monotonically_increasing_id()))
     chosen: list[tuple] = []
     covered = False
     while len(chosen) < max_cases:
         rest = open_cases.where(~F.col(case).isin([c for c, *_ in chosen])) if chosen else open_cases
         if covered:
-            scored = rest.withColumn("gain", F.lit(0).cast("long"))
+            scored = rest.select(case, "role", "grp", "n_states", F.lit(0).cast("long").alias("gain"))
         else:
-            sizes = signatures.groupBy("sig").agg(F.count("*").alias("size"))
-            scored = rest.join(_gains(states, signatures, sizes, case, candidate), case, "left").fillna(0, ["gain"])
+            scored = _gains(rest, signatures, candidate)
         known = F.lit(False)
         for _, role, grp, *_ in chosen:
             known = known | (F.col("role").eqNullSafe(F.lit(role)) & F.col("grp").eqNullSafe(F.lit(grp)))
@@ -58,16 +94,16 @@ def informative_cases(states: DataFrame, cases: DataFrame, candidates: DataFrame
         chosen.append((best[case], best["role"], best["grp"], best["gain"], best["n_states"]))
         covered = covered or best["gain"] == 0
         if not covered:
-            mine = states.where(F.col(case) == F.lit(best[case])).select(candidate, "state")
+            mine = open_cases.where(F.col(case) == F.lit(best[case])).select(F.explode("held").alias("h")).select("h.*").distinct()
             sig = F.when(F.col("state").isNull(), F.xxhash64("sig")).otherwise(F.xxhash64("sig", "state"))
             signatures = cut_lineage(signatures.join(mine, candidate, "left").select(candidate, sig.alias("sig")))
     kind = dict(cases.dtypes)
     picked = cases.sparkSession.createDataFrame(
         [(n, *row) for n, row in enumerate(chosen, 1)],
         f"round long, {case} {kind[case]}, role {kind['role']}, grp {kind['grp']}, new_pairs long, n_states long")
-    flags = (states.join(F.broadcast(picked.select(case)), case).groupBy(case)
-             .agg(F.bool_or(F.col("state") == "product_without_probe").alias("probe_disagreement"),
-                  F.bool_or(F.col("state") == "no_product_terminal").alias("terminal_mismatch")))
+    flags = (open_cases.where(F.col(case).isin([c for c, *_ in chosen])).select(case, F.explode("held").alias("h")).groupBy(case)
+             .agg(F.bool_or(F.col("h.state") == "product_without_probe").alias("probe_disagreement"),
+                  F.bool_or(F.col("h.state") == "no_product_terminal").alias("terminal_mismatch")))
     # At most max_cases rows.
     return picked.join(flags, case, "left").select("round", case, "role", "grp", "new_pairs", "n_states",
                                                    F.coalesce("probe_disagreement", F.lit(False)).alias("probe_disagreement"),

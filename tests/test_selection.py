@@ -46,6 +46,24 @@ def test_informative_cases_equal_greedy_over_pairs(spark, seed, limit):
     assert all(r["probe_disagreement"] == ("product_without_probe" in states[r["kase"]].values()) for r in got)
 
 
+def test_gains_of_cases_that_span_batches(spark):
+    rnd = random.Random(8)
+    panel = [(k, rnd.choice([5, 6, 7])) for k in range(20)]
+    held = {c: {k: rnd.choice(["x", "y", None]) for k in range(20) if rnd.random() < rnd.choice([.2, .9])} or {0: "x"} for c in range(40)}
+    cases = spark.createDataFrame([(c, c * 3, list(own.items())) for c, own in held.items()], "kase int, row long, held array<struct<cand:int,state:string>>").repartition(3)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "7")
+    try:
+        made = C._gains(cases, spark.createDataFrame(panel, "cand int, sig long"), "cand")
+        # Only the panel moves: the states of the cases are neither joined by a shuffle nor grouped by one.
+        assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        got = {r.kase: r.gain for r in made.collect()}
+    finally:
+        spark.conf.set(conf, before)
+    assert got == {c: sum(s == t and own.get(a, "-") != own.get(b, "-") for (a, s), (b, t) in itertools.combinations(panel, 2)) for c, own in held.items()}
+
+
 def test_no_informative_case(spark):
     states = spark.createDataFrame([(1, 1, "x"), (1, 2, "x")], "kase int, cand int, state string")
     cases = spark.createDataFrame([(1, "target", "a"), (2, "target", "b")], "kase int, role string, grp string")
